@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import handwritten, syntax, truncation
+from codeloom.llm import handwritten, pii, syntax, truncation
 from codeloom.session import table
 
 P1_FIELDS, P1_SOURCES = ["intro", "closing_summary"], ["config_id", "origin"]
@@ -45,5 +45,15 @@ def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     return syntax.error_rates(f, syntax.parse_errors(f))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in documents: kind and place of each item."""
+    return pii.find_personal(table(spark, sf, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with typed placeholders instead of personal data."""
+    return pii.redact_personal(table(spark, sf, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}
