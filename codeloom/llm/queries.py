@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import handwritten, pii, syntax, truncation
-from codeloom.session import table
+from codeloom.llm import handwritten, mixing, packing, pii, syntax, truncation
+from codeloom.llm.tokens import token_counter
+from codeloom.session import materialize, spread, table
 
 P1_FIELDS, P1_SOURCES = ["intro", "closing_summary"], ["config_id", "origin"]
 
@@ -45,6 +46,37 @@ def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     return syntax.error_rates(f, syntax.parse_errors(f))
 
 
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return packing.pack_documents(packing.size_documents(docs, token_counter()), table(spark, sf, "pack_sizes"))
+
+
+def p6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Window of every text in every kind of container."""
+    return _packed(spark, sf)
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows and unused space per kind of container."""
+    return packing.packing_report(_packed(spark, sf))
+
+
+def _sized_sources(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return materialize(docs.select("doc_id", "source", token_counter()(F.col("text")).alias("n_tokens")))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts drawn, with their copies, so that sources have their target shares."""
+    return mixing.mix(_sized_sources(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every source."""
+    sized, targets = _sized_sources(spark, sf), table(spark, sf, "mix_targets")
+    return mixing.mix_report(sized, targets, materialize(mixing.mix(sized, targets)))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in documents: kind and place of each item."""
     return pii.find_personal(table(spark, sf, "documents")).select("doc_id", "kind", "start_pos")
@@ -55,5 +87,5 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact_personal(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}
