@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    That is enough where the folder is on every machine, as in local mode; elsewhere pass the package with --py-files.
+    """
+    home = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    reachable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
