@@ -25,6 +25,10 @@ def query_terms(text: str) -> dict[str, int]:
     return Counter(t for t in re.split(r"[\W_]+", text.lower()) if t)
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, key: str, text: Column, query: str, weight: Column | None = None) -> DataFrame:
     """``docs`` with ``score`` for every document that holds a term of the query.
 
@@ -38,7 +42,7 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, weight: Column | N
     joined = base.join(F.broadcast(stats.withColumn("avgdl", F.greatest(F.lit(1.0), F.coalesce(F.col("total"), F.lit(0)) / F.greatest(F.col("n"), F.lit(1))))), F.lit(True))
     score, hit = F.lit(0.0), F.lit(False)
     for i, (t, times) in enumerate(terms.items()):
-        tf = F.size(F.filter("_terms", lambda x, t=t: x == t)).cast("double")
+        tf = F.size(F.filter("_terms", _is(t))).cast("double")
         idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1.0))
         score = score + times * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_terms") / F.col("avgdl")))
         hit = hit | F.array_contains("_terms", t)

@@ -106,9 +106,9 @@ _DOC_QUERY = "nightly snapshot interface locker"
 
 def _bm25_sql(docs: str, key: str, text: str, query: str, weight: str = "1.0") -> str:
     terms = search.query_terms(query)
-    tf = [f"len(list_filter(w, x -> x = '{t}'))" for t in terms]
+    tf = [f"len(list_filter(w, lambda x: x = '{t}'))" for t in terms]
     part = " + ".join(f"{n} * greatest(0, ln((n - d{i} + 0.5) / (d{i} + 0.5) + 1)) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * len(w) / avgdl))" for i, (f, n) in enumerate(zip(tf, terms.values())))
-    return f"""bd AS (SELECT *, list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS w FROM {docs}),
+    return f"""bd AS (SELECT *, list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {docs}),
 bs AS (SELECT count(*) AS n, greatest(1.0, sum(len(w)) / count(*)) AS avgdl, {', '.join(f"count(*) FILTER (list_contains(w, '{t}')) AS d{i}" for i, t in enumerate(terms))} FROM bd),
 bm AS (SELECT bd.* EXCLUDE (w), ({part}) * {weight} AS score FROM bd, bs WHERE {' OR '.join(f"list_contains(w, '{t}')" for t in terms)})"""
 
@@ -163,7 +163,7 @@ add(
 _SEV = "CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'moderate' WHEN complexity <= 20 THEN 'high' ELSE 'critical' END"
 add(
     "complexity_report", lambda s, f: analytics.complexity_report(code_graph(s, f).nodes),
-    f"WITH {NODES}, l AS (SELECT list(complexity ORDER BY complexity) AS v, count(*) AS n FROM gn WHERE label IN {CALLABLE} AND complexity IS NOT NULL) SELECT n, list_avg(v) AS avg_complexity, list_max(v) AS max_complexity, v[1 + round((n - 1) * 0.5)::INT] AS p50, v[1 + round((n - 1) * 0.9)::INT] AS p90, v[1 + round((n - 1) * 0.99)::INT] AS p99, len(list_filter(v, x -> x <= 5)) AS n_low, len(list_filter(v, x -> x > 5 AND x <= 10)) AS n_moderate, len(list_filter(v, x -> x > 10 AND x <= 20)) AS n_high, len(list_filter(v, x -> x > 20)) AS n_critical FROM l",
+    f"WITH {NODES}, l AS (SELECT list(complexity ORDER BY complexity) AS v, count(*) AS n FROM gn WHERE label IN {CALLABLE} AND complexity IS NOT NULL) SELECT n, list_avg(v) AS avg_complexity, list_max(v) AS max_complexity, v[1 + round((n - 1) * 0.5)::INT] AS p50, v[1 + round((n - 1) * 0.9)::INT] AS p90, v[1 + round((n - 1) * 0.99)::INT] AS p99, len(list_filter(v, lambda x: x <= 5)) AS n_low, len(list_filter(v, lambda x: x > 5 AND x <= 10)) AS n_moderate, len(list_filter(v, lambda x: x > 10 AND x <= 20)) AS n_high, len(list_filter(v, lambda x: x > 20)) AS n_critical FROM l",
 )
 add("complex_callables", lambda s, f: analytics.complex_callables(code_graph(s, f).nodes, 10, 20), f"WITH {NODES} SELECT id, name, file_path, complexity, {_SEV} AS severity FROM gn WHERE label IN {CALLABLE} AND complexity >= 10 ORDER BY complexity DESC, id LIMIT 20")
 _MODULE = "CASE WHEN len(string_split(file_path, '/')) > 1 AND NOT contains(string_split(file_path, '/')[2], '.') THEN string_split(file_path, '/')[1] || '/' || string_split(file_path, '/')[2] ELSE string_split(file_path, '/')[1] END"
@@ -193,7 +193,7 @@ _UNTIL = "2025-07-01"
 _OLD = NODES.replace("gn AS", "go AS").replace("id IS NOT NULL", f"id IS NOT NULL AND indexed_at <= TIMESTAMPTZ '{_UNTIL} 00:00:00+00'")
 add(
     "snapshot_diff_nodes", lambda s, f: analytics.graph_diff(code_graph(s, f, _UNTIL), code_graph(s, f), _DIFF)[0].withColumn("properties", F.array_join("properties", ",")),
-    f"WITH {NODES}, {_OLD}, j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'modified' END AS change, CASE WHEN a.id IS NULL OR b.id IS NULL THEN [] ELSE list_sort(list_filter([{', '.join(f'CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN {chr(39)}{c}{chr(39)} END' for c in _DIFF)}], x -> x IS NOT NULL)) END AS p FROM go a FULL JOIN gn b ON a.id = b.id) SELECT id, change, array_to_string(p, ',') AS properties FROM j WHERE change <> 'modified' OR len(p) > 0",
+    f"WITH {NODES}, {_OLD}, j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'modified' END AS change, CASE WHEN a.id IS NULL OR b.id IS NULL THEN [] ELSE list_sort(list_filter([{', '.join(f'CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN {chr(39)}{c}{chr(39)} END' for c in _DIFF)}], lambda x: x IS NOT NULL)) END AS p FROM go a FULL JOIN gn b ON a.id = b.id) SELECT id, change, array_to_string(p, ',') AS properties FROM j WHERE change <> 'modified' OR len(p) > 0",
 )
 add(
     "snapshot_diff_edges", lambda s, f: analytics.graph_diff(code_graph(s, f, _UNTIL), code_graph(s, f), _DIFF)[1],
@@ -336,7 +336,11 @@ b AS (SELECT call_id, min((k, id)) AS b FROM u GROUP BY 1) SELECT call_id, b[2]
 
 add("edge_csv_rows", lambda s, f: interchange.edge_rows(code_graph(s, f).edges), f"WITH {EDGES} SELECT source_id AS \"from\", target_id AS \"to\", type, printf('%.4f', coalesce(confidence, 1.0)) AS confidence, coalesce(reason, '') AS reason, step FROM ge")
 add("node_csv_rows", lambda s, f: interchange.node_rows(code_graph(s, f).nodes), f"WITH {NODES} SELECT label, id, name, file_path AS filePath, '' AS content, start_line AS startLine, end_line AS endLine, language, is_exported AS isExported FROM gn")
-add("dot_export", lambda s, f: interchange.dot_lines(code_graph(s, f)).select("value"), f"""WITH {NODES}, {EDGES} SELECT 'digraph G {{' AS value UNION ALL SELECT '}}' UNION ALL SELECT '  "' || id || '" [label="' || label || ': ' || name || '"];' FROM gn UNION ALL SELECT '  "' || source_id || '" -> "' || target_id || '" [label="' || type || '"];' FROM ge""")
+_Q = "replace(replace({c}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+add(
+    "dot_export", lambda s, f: interchange.dot_lines(code_graph(s, f)).select("value"),
+    f"""WITH {NODES}, {EDGES} SELECT 'digraph G {{' AS value UNION ALL SELECT '}}' UNION ALL SELECT '  "' || {_Q.format(c='id')} || '" [label="' || label || ': ' || {_Q.format(c='name')} || '"];' FROM gn UNION ALL SELECT '  "' || {_Q.format(c='source_id')} || '" -> "' || {_Q.format(c='target_id')} || '" [label="' || type || '"];' FROM ge""",
+)
 add("registry_latest", lambda s, f: interchange.registry(table(s, f, "registry")).select("name", "indexed_at", "last_commit"), "SELECT name, indexed_at, last_commit FROM registry QUALIFY row_number() OVER (PARTITION BY name ORDER BY indexed_at DESC, path) = 1")
 
 

@@ -54,11 +54,11 @@ def watch(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], N
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """``start, event_type, n, total``: event-time windows that close once the watermark has passed."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """``user_id, start, n``: sessions of a user that end after a gap."""
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return w.select("user_id", F.col("w.start").alias("start"), "n")
