@@ -112,7 +112,7 @@ def communities(g: PropertyGraph, passes: int = 10, resolution: float = 1.0) ->
     ids = g.nodes.where(F.col("label").isin(*LOUVAIN_LABELS)).select("id")
     e = g.out_edges(*LOUVAIN_TYPES).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
     e = e.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    e = materialize(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     deg = materialize(e.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("deg")))
     m2 = deg.agg(F.sum("deg")).first()[0] or 1.0
     c = materialize(deg.select(F.col("a").alias("id"), "deg", F.col("a").alias("community")))

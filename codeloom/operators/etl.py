@@ -77,11 +77,11 @@ def endpoints(files: DataFrame) -> DataFrame:
     """``framework, http_method, route, file_path, line``; the first of a method and route counts."""
     t = lines(files)
 
-    def found(pattern: str, name: str) -> DataFrame:
-        m = t.where(F.col("text").rlike(pattern))
+    def found(pattern: str, name: str, ext: str) -> DataFrame:
+        m = t.where(F.col("file_path").rlike(rf"\.(?:{ext})$") & F.col("text").rlike(pattern))
         return m.select(F.lit(name).alias("framework"), F.regexp_extract("text", pattern, 1).alias("verb"), F.regexp_extract("text", pattern, 2).alias("route"), "file_path", "line", "text")
 
-    web = found(EXPRESS, "express").unionByName(found(PYTHON_ROUTE, "python")).unionByName(found(SPRING, "spring"))
+    web = found(EXPRESS, "express", "[cm]?[jt]sx?").unionByName(found(PYTHON_ROUTE, "python", "py")).unionByName(found(SPRING, "spring", "java|kt"))
     verb = F.upper(F.regexp_replace("verb", "Mapping$", ""))
     method = F.when(verb == "REQUEST", F.coalesce(F.nullif(F.regexp_extract("text", r"RequestMethod\.(\w+)", 1), F.lit("")), F.lit("GET"))).when(verb == "ROUTE", "GET").otherwise(verb)
     web = web.select("framework", method.alias("http_method"), normalize_route(F.col("route")).alias("route"), "file_path", "line")

@@ -135,7 +135,7 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 def read_source_tree(spark: SparkSession, path: str) -> DataFrame:
     """``path, content`` of all files below a folder, paths relative to it."""
     f = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content"))
-    root = F.lit(path.rstrip("/") + "/")
+    root = path.rstrip("/") + "/"
     return f.select(F.substring_index(F.regexp_replace("full", "^file:/+", "/"), root, -1).alias("path"), "content")
 
 
