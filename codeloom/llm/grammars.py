@@ -76,13 +76,13 @@ def _neighbours(tokens: list, language: str) -> str | None:
             elif kind == "s":
                 if not ruby and not (c and re.fullmatch(r"[A-Z_][A-Za-z0-9_]*", prev)) and not go and not (rust and value[:1] == "'"):
                     return f"{prev} string"
-            elif php or (go and not nl and before in ("=", ":=", "+", "(", "return", "==")) or (rust and prev not in ("union", "auto", "default", "dyn", "macro_rules")):
+            elif php or (go and not nl and before in ("=", ":=", "+", "return", "==")) or (rust and prev not in ("union", "auto", "default", "dyn", "macro_rules")):
                 # PHP puts a type before a variable
                 if not (go and nl) and not (php and prev[:1] != "$"):
                     return f"{prev} {value}"
         elif kind == "k" and value in _STATEMENT and prev_kind in _OPERAND and not name_like:
             if typed or php:
-                if not (prev_kind == "i" and prev in ("else",)):
+                if not (language == "csharp" and value == "switch"):  # an expression there
                     return f"{prev} {value}"
             elif js and not nl:
                 return f"{prev} {value}"
@@ -125,7 +125,7 @@ def _semicolons(tokens: list, language: str) -> str | None:
         if kind == "b" and value == "{":
             enum = _head_has(tokens, i, "enum")
             listy = last in ("=", ",", "(", "[", "{", "return", "]", ":", "?", "??", "with", "switch") and not (last == ":" and top[0] == "block") and not (last == "{" and top[0] == "block")
-            listy = listy or (top[0] == "list" and last not in (")", "=>", "->")) or (language == "csharp" and last != "=>" and _head_has(tokens, i, "new")) or (language == "php" and _head_has(tokens, i, "match"))
+            listy = listy or (top[0] == "list" and last not in (")", "=>", "->")) or (language == "csharp" and last != "=>" and _head_has(tokens, i, "new") and not any(_head_has(tokens, i, w) for w in ("class", "struct", "interface", "record", "where"))) or (language == "php" and _head_has(tokens, i, "match"))
             listy = listy or (language == "c" and last == ")" and _cast_before(tokens, i))
             stack.append(["enum" if enum else "list" if listy else "block", True])
         elif kind == "b" and value == "}":

@@ -4,7 +4,8 @@ Items are spread by a hash over groups of about WINDOWS containers' worth of tok
 so no task grows with the data. Within a group the method of Karmarkar and Karp merges partial partitions: the two
 with the greatest imbalance are joined so that the fullest windows of one meet the emptiest of the other. The window
 count starts at the least that the sizes allow and rises whenever a window exceeds the capacity; windows that are
-full to within SLACK are closed meanwhile, so that only the rest is divided anew.
+full to within a slack, which grows from SLACK to MOST_SLACK, are closed meanwhile, so that only the rest is divided
+anew.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import materialize
 
-WINDOWS, SLACK = 400, 0.01
+WINDOWS, SLACK, MOST_SLACK = 400, 0.01, 0.2
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
@@ -66,21 +67,26 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     done = int(full.sum())
     window[full] = np.arange(done)
     window[sizes <= 0] = 0
-    rest, raised = np.flatnonzero((sizes > 0) & ~full), 0
+    rest, raised, slack = np.flatnonzero((sizes > 0) & ~full), 0, SLACK
     while len(rest):
         total = int(sizes[rest].sum())
         k = max(-(-total // capacity), int((sizes[rest] * 2 > capacity).sum())) + raised
         parts = differencing(sizes[rest], min(k, len(rest)))
         sums = np.array([sizes[rest[p]].sum() for p in parts])
         fits = sums <= capacity
-        last = bool(fits.all())
-        close = fits if last else fits & (sums >= (1 - SLACK) * capacity)
+        close = fits if fits.all() else fits & (sums >= (1 - slack) * capacity)
         for p in np.flatnonzero(close):
             window[rest[parts[p]]] = done
             done += 1
+        few = close.sum() <= len(parts) // 20
         rest = np.sort(np.concatenate([rest[parts[p]] for p in np.flatnonzero(~close)])) if not close.all() else rest[:0]
-        # a rise that closed nothing must be followed by a greater one
-        raised = 0 if close.sum() > len(parts) // 20 else raised + max(1, len(parts) // 100)
+        # first be content with a little more free space, then raise the count
+        if not few:
+            raised = 0
+        elif slack < MOST_SLACK:
+            slack *= 1.5
+        else:
+            raised += max(1, len(parts) // 100)
     return window
 
 
