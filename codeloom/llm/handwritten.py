@@ -31,7 +31,7 @@ TUNED = {
     "csharp": {"numbers": 0.26, "shapes": 0.16, "mean": 100.0, "space": 0.10},
     "java": {"numbers": 0.26, "shapes": 0.16, "mean": 100.0, "space": 0.09},
 }
-LEAST_CHARS, LEAST_LINES, LONG_LINE, ENCODED_SHARE = 200, 20, 300, 0.4
+LEAST_CHARS, LEAST_DENSE, LEAST_LINES, LONG_LINE, ENCODED_SHARE = 200, 100, 20, 300, 0.4
 
 #: What programs say at the head of a file they wrote, in the languages of the corpus.
 GENERATED_HEAD = (
@@ -105,8 +105,8 @@ def classify_files(files: DataFrame) -> DataFrame:
     lang, path = F.col("language"), F.coalesce(F.col("file_path"), F.lit(""))
     big = F.col("n") >= LEAST_CHARS
     dense = (F.col("space") < _tuned(lang, "space")) & ((F.col("mean_line") > _tuned(lang, "mean")) | (F.col("max_line") > LONG_LINE))
-    data = big & ((F.col("numbers") >= _tuned(lang, "numbers")) | (F.col("encoded") >= ENCODED_SHARE))
-    minified = (big & dense) | path.rlike(MINIFIED_PATH)
+    data = (big & (F.col("numbers") >= _tuned(lang, "numbers"))) | ((F.col("n") >= LEAST_DENSE) & (F.col("encoded") >= ENCODED_SHARE))
+    minified = ((F.col("n") >= LEAST_DENSE) & dense) | path.rlike(MINIFIED_PATH)
     uniform = (F.col("n_lines") >= LEAST_LINES) & (F.col("shapes") < _tuned(lang, "shapes"))
     lines = F.split("head", "\n")
     says = lambda rx: F.exists(lines, lambda x: F.regexp_replace(x, r"^\s*(?://+|#+|/\*+|\*+|--|;)\s?", "").rlike(rx))
