@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.graph import code_graph, star_graph
 from codeloom.lang.compile import run_query
-from codeloom.operators import algorithms, analytics, etl, search, traverse
+from codeloom.operators import algorithms, analytics, etl, search, traverse, views
 from codeloom.session import table
 from codeloom.sources import interchange
 from codeloom.streaming.watch import sessions, windowed_counts
@@ -332,6 +332,20 @@ u AS (SELECT call_id, 0 AS k, n.id FROM c JOIN n ON n.file_path = c.file AND n.n
 b AS (SELECT call_id, min((k, id)) AS b FROM u GROUP BY 1) SELECT call_id, b[2] AS target_id, CASE b[1] WHEN 0 THEN 'same_file' WHEN 2 THEN 'import_scoped' ELSE 'global' END AS tier, CASE b[1] WHEN 0 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM b""",
 )
 
+# views
+
+add("path_prefix", lambda s, f: views.under(code_graph(s, f).nodes, "src/billing").select("id"), f"WITH {NODES} SELECT id FROM gn WHERE file_path = 'src/billing' OR starts_with(file_path, 'src/billing/')")
+add("glob_files", lambda s, f: views.glob_files(code_graph(s, f), "src/**/*.py").select("file_path"), f"WITH {NODES} SELECT file_path FROM gn WHERE label = 'File' AND regexp_matches(file_path, '^src/(?:.*/)?[^/]*\\.py$')")
+add("find_names", lambda s, f: views.find_names(code_graph(s, f).nodes, "^(load|save)[A-Z]"), f"WITH {NODES} SELECT id, label, name, file_path FROM gn WHERE regexp_matches(name, '^(load|save)[A-Z]') ORDER BY name, id LIMIT 50")
+add("marker_probes", lambda s, f: views.marker_probes(code_graph(s, f).nodes, {"has_ledger": "ledger", "has_unicorn": "unicorn"}), f"WITH {NODES} SELECT coalesce(bool_or(contains(lower(name), 'ledger')), false) AS has_ledger, coalesce(bool_or(contains(lower(name), 'unicorn')), false) AS has_unicorn FROM gn")
+add("enrichment_priority", lambda s, f: analytics.enrichment_priority(g := code_graph(s, f), g.nodes.limit(0).select(F.col("file_path").alias("file"), F.lit(0.0).alias("score"))).withColumn("priority", F.round("priority", 9)))
+add(
+    "retrieve", lambda s, f: views.retrieve(code_graph(s, f).nodes, "ledger mapper billing", 20).select("rank", "id", F.round("score", 6).alias("score")),
+    f"WITH {NODES}, {_NODE_BM} SELECT row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank, id, round(score, 6) AS score FROM bm ORDER BY 1 LIMIT 20",
+)
+_IMPORT = r"""(?:from|require\(|import)\s*["']([^"']+)["']"""
+add("resolve_imports", lambda s, f: views.resolve_imports(etl.lines(t := table(s, f, "source_files")).select(F.col("file_path").alias("file"), F.regexp_extract("text", _IMPORT, 1).alias("module")).where("module <> ''"), t.select(F.col("file_path").alias("path"))))
+
 # interchange and streams
 
 add("edge_csv_rows", lambda s, f: interchange.edge_rows(code_graph(s, f).edges), f"WITH {EDGES} SELECT source_id AS \"from\", target_id AS \"to\", type, printf('%.4f', coalesce(confidence, 1.0)) AS confidence, coalesce(reason, '') AS reason, step FROM ge")

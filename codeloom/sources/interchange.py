@@ -172,3 +172,31 @@ def parse_diff(lines: DataFrame) -> DataFrame:
     start = F.regexp_extract("text", rx, 1).cast("long")
     count = F.coalesce(F.regexp_extract("text", rx, 2).try_cast("long"), F.lit(1))
     return d.select("file", start.alias("start"), (start + F.greatest(count, F.lit(1)) - 1).alias("end"))
+
+
+def docx_text(blob: bytes) -> str:
+    """Paragraphs of a word-processor file, headings as Markdown."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    out = []
+    for p in root.iter(f"{w}p"):
+        text = "".join(t.text or "" for t in p.iter(f"{w}t"))
+        style = p.find(f"{w}pPr/{w}pStyle")
+        level = re.search(r"(\d)$", style.get(f"{w}val", "")) if style is not None and "eading" in style.get(f"{w}val", "") else None
+        out.append("#" * int(level[1]) + " " + text if level else text)
+    return "\n\n".join(x for x in out if x.strip())
+
+
+def _docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"source_path": pdf["path"], "content": [docx_text(bytes(b)) for b in pdf["content"]]})
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """``source_path, content`` of word-processor files, ready for chunking."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInPandas(_docx, "source_path string, content string")

@@ -183,3 +183,34 @@ def test_sessions(spark):
     e = spark.createDataFrame([(1, t, "v", 1.0), (1, t + dt.timedelta(minutes=20), "v", 1.0), (1, t + dt.timedelta(minutes=60), "v", 1.0), (2, t, "v", 1.0)], "user_id long, ts timestamp, event_type string, value double")
     assert got(W.sessions(e).select("user_id", "n")) == [(1, 1), (1, 2), (2, 1)]
     assert got(W.windowed_counts(e).select("event_type", "n"))[0] == ("v", 4)
+
+
+def test_views(spark):
+    from codeloom.operators import views as V
+
+    n = spark.createDataFrame([("a", "Method", "load", "src/a/x.py", None), ("f", "File", "x.py", "src/a/x.py", None), ("g", "File", "y.py", "src/ab/y.py", None), ("e", "DbEntity", "Order", "db", None), ("C", "Community", "core", "c", None), ("d", "DocChunk", "doc", "d", "t" * 900)], "id string, label string, name string, file_path string, content string")
+    e = spark.createDataFrame([("1", "a", "P", "STEP_IN_PROCESS", None), ("2", "a", "e", "ACCESSES", "write"), ("3", "a", "e", "ACCESSES", "READ"), ("4", "a", "C", "MEMBER_OF", None), ("5", "d", "a", "MENTIONS", None)], "id string, source_id string, target_id string, type string, reason string")
+    g = PropertyGraph(n, e)
+    assert got(V.under(n, "src/a").select("id")) == [("a",), ("f",)] and got(V.glob_files(g, "src/*/?.py").select("id")) == [("f",), ("g",)] and got(V.glob_files(g, "**/y.py").select("id")) == [("g",)]
+    assert got(V.process_entities(g)) == [("P", "e", "Order", "read+write")] and got(V.features(g)) == [("C", "core", 1)]
+    assert got(V.evidence(g, n.where("id = 'a'"))) == [("d", "a")] and V.marker_probes(n, {"x": "LOAD", "y": "zzz"}).first() == (True, False)
+    assert ("community", "C", "core") in got(V.insights(g, "a")) and [x["id"] for x in V.find_names(n, "^x").collect()] == ["f"]
+    assert V.retrieve(n, "load").first()["id"] == "a"
+    near = spark.createDataFrame([("d", 1), ("a", 2)], "id string, rank int")
+    assert len(V.doc_chunks(n, near).first()["excerpt"]) == 600 and V.retrieve(n, "load", near=near).first()["id"] == "a"
+    i = spark.createDataFrame([("m.js", "../lib/store"), ("m.py", "pkg.mod"), ("m.py", "none")], "file string, module string")
+    f = spark.createDataFrame([("src/lib/store.js",), ("other/lib/store/index.js",), ("pkg/mod.py",), ("m.py",)], "path string")
+    assert got(V.resolve_imports(i, f)) == [("m.js", "../lib/store", "src/lib/store.js"), ("m.py", "pkg.mod", "pkg/mod.py")]
+
+
+def test_docx(spark, tmp_path):
+    import io
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    doc = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>Body </w:t><w:t>text</w:t></w:r></w:p></w:body></w:document>'
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("word/document.xml", doc)
+    (tmp_path / "a.docx").write_bytes(b.getvalue())
+    assert I.read_docx(spark, str(tmp_path)).first()["content"] == "## Title\n\nBody text"
