@@ -14,6 +14,7 @@ from codeloom.operators.components import connected, strongly_connected
 from codeloom.session import is_empty, materialize
 
 SHINGLE, CLONE_LEAST, CLONE_SIMILARITY = 30, 30, 0.9
+SETTLED = 0.005  # a pass that moves a smaller share of the nodes is the last
 LOUVAIN_LABELS = ("Function", "Method", "Class", "Interface", "Struct", "Constructor", "Enum", "Trait")
 LOUVAIN_TYPES = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS")
 FLOW_DEPTH, FLOW_BRANCH, FLOW_LEAST, FLOW_TRACES, FLOW_SEEDS, FLOW_KEPT = 10, 4, 3, 4096, 200, 75
@@ -106,8 +107,8 @@ def communities(g: PropertyGraph, passes: int = 10, resolution: float = 1.0) ->
     """``id, community``: one level of modularity moves, all nodes of one half at a time.
 
     Nodes move to the neighbouring community with the greatest modularity gain, ties to the least key; in every pass
-    first the nodes of even hash move and then the others, so that two nodes do not swap for ever. Communities of one
-    node are dropped. Weights count distinct neighbours; a hub meets its neighbours in a grouped sum.
+    first the nodes of even hash move and then the others, so that two nodes do not swap for ever. A pass that moves
+    hardly a node is the last. Communities of one node are dropped. Weights count distinct neighbours; a hub meets its neighbours in a grouped sum.
     """
     ids = g.nodes.where(F.col("label").isin(*LOUVAIN_LABELS)).select("id")
     e = g.out_edges(*LOUVAIN_TYPES).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
@@ -116,7 +117,7 @@ def communities(g: PropertyGraph, passes: int = 10, resolution: float = 1.0) ->
     deg = materialize(e.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("deg")))
     m2 = deg.agg(F.sum("deg")).first()[0] or 1.0
     c = materialize(deg.select(F.col("a").alias("id"), "deg", F.col("a").alias("community")))
-    quiet = False
+    n, moved = c.count(), 1 << 62
     for k in range(2 * passes):
         tot = c.groupBy("community").agg(F.sum("deg").alias("tot"))
         to = e.join(c.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count(F.lit(1)).alias("w"))
@@ -131,9 +132,9 @@ def communities(g: PropertyGraph, passes: int = 10, resolution: float = 1.0) ->
         moves = turn & F.col("to").isNotNull() & (F.col("to") != F.col("community")) & (F.col("gain") > F.coalesce("stay", alone) + 1e-9)
         new = materialize(j.select("id", "deg", F.when(moves, F.col("to")).otherwise(F.col("community")).alias("community"), F.coalesce(moves, F.lit(False)).alias("moved")))
         c = new.drop("moved")
-        if k % 2 and is_empty(new.where("moved")) and quiet:
+        moved, last = new.where("moved").count(), moved
+        if moved + last <= SETTLED * n:
             break
-        quiet = is_empty(new.where("moved"))
     big = c.groupBy("community").count().where("count > 1").select("community")
     return c.join(big, "community", "left_semi").select("id", "community")
 
