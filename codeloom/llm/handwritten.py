@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize
+from codeloom.session import materialize, spread
 
 #: Language by extension.
 LANGUAGES = {
@@ -101,7 +101,7 @@ def classify_files(files: DataFrame) -> DataFrame:
     content is judged by path and repository alone; a null path by content alone; repeated rows come out repeatedly.
     A repository counts as a whole by its name or if nearly all of at least WHOLE_LEAST files are such by themselves.
     """
-    f = layout(files.select("file_id", "repo", "file_path", "content")).withColumn("language", language_of(F.col("file_path")))
+    f = layout(spread(files.select("file_id", "repo", "file_path", "content"))).withColumn("language", language_of(F.col("file_path")))
     lang, path = F.col("language"), F.coalesce(F.col("file_path"), F.lit(""))
     big = F.col("n") >= LEAST_CHARS
     dense = (F.col("space") < _tuned(lang, "space")) & ((F.col("mean_line") > _tuned(lang, "mean")) | (F.col("max_line") > LONG_LINE))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize
+from codeloom.session import materialize, spread
 
 #: What programs put after a cut, and phrases that mean their dots.
 CUT_WORDS = "truncated|cut|cut off|more|continued|snip|snipped|clipped|shortened|tronqué|suite|gekürzt|abgeschnitten|mehr|truncado|cortado|más"
@@ -85,7 +85,7 @@ def find_truncated(table: DataFrame, key: str, fields: list[str], sources: list[
     no cases; a null source is a source of its own; repeated rows come out once each.
     """
     texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
-    v = table.select(F.col(key).alias("_key"), *sources, F.explode(texts).alias("v")).select("_key", *sources, "v.field", "v.text").where(F.col("text").rlike(r"\S"))
+    v = spread(table.select(key, *sources, *fields)).select(F.col(key).alias("_key"), *sources, F.explode(texts).alias("v")).select("_key", *sources, "v.field", "v.text").where(F.col("text").rlike(r"\S"))
     v = ends(v.withColumn("n_chars", F.length("text")).withColumn("n_bytes", F.octet_length("text"))).drop("text")
     v = v.withColumn("sure", F.col("mark") | F.col("broken") | F.col("open_code"))
     v = v.withColumn("open_end", F.col("sure") | ~(F.col("terminal") | F.col("closed") | F.col("so_on")))
