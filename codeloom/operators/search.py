@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.kernels import cosine, label_weight, path_weight, tokens
+from codeloom.session import spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Labels with a text index, and labels that the file search asks for.
@@ -36,7 +37,7 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, weight: Column | N
     never built, since the terms are known. Null texts count as empty documents.
     """
     terms = query_terms(query)
-    base = docs.withColumn("_terms", tokens(text))
+    base = spread(docs).withColumn("_terms", tokens(text))
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_terms")).alias("total"), *[F.count_if(F.array_contains("_terms", t)).alias(f"df{i}") for i, t in enumerate(terms)])
     # one row
     joined = base.join(F.broadcast(stats.withColumn("avgdl", F.greatest(F.lit(1.0), F.coalesce(F.col("total"), F.lit(0)) / F.greatest(F.col("n"), F.lit(1))))), F.lit(True))

@@ -61,9 +61,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, per_slot: int = 3) -> DataFrame:
-    """Spread few input splits over all slots before Python work; a plain round robin of whole rows."""
-    n = max(partitions(df.sparkSession), per_slot * df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n)
+    """Spread few input splits over all slots before costly work on each row; many splits stay as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(max(partitions(df.sparkSession), per_slot * slots))
 
 
 def month_index(ts: Column) -> Column:
