@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType
 
 from codeloom.llm import grammars, lexers
 from codeloom.llm.handwritten import language_of
-from codeloom.session import spread
+from codeloom.session import materialize, spread
 
 PIECE = 1 << 18
 GROUP = 64
@@ -105,10 +105,11 @@ def parse_errors(files: DataFrame) -> DataFrame:
     order marks do not matter.
     """
     f = files.select("file_id", language_of(F.col("file_path")).alias("language"), "content").where("language is not null and content is not null")
-    maps = spread(f).mapInPandas(_maps, "file_id long, piece int, map string, error string")
+    # written once: three readers follow, and lexing is the cost
+    maps = materialize(spread(f).mapInPandas(_maps, "file_id long, piece int, map string, error string").where("map is not null or error is not null"))
     # long files: fold neighbouring pieces, then the groups; then the local grammar where the brackets close
     long = maps.where("map is not null").withColumn("grp", F.floor(F.col("piece") / GROUP))
-    folded = _folded(_folded(long, ["file_id", "grp"], "piece"), ["file_id"], "grp").select("file_id", _verdict("map").alias("error"))
+    folded = materialize(_folded(_folded(long, ["file_id", "grp"], "piece"), ["file_id"], "grp").select("file_id", _verdict("map").alias("error")))
     open_ = folded.where("error is null or error = 'unsure'").select("file_id").join(f, "file_id").select("file_id", _grammar("content", "language").alias("error"))
     return maps.where("error is not null").select("file_id", "error").unionByName(folded.where("error is not null and error <> 'unsure'")).unionByName(open_.where("error is not null"))
 
