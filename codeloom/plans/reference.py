@@ -338,7 +338,10 @@ add("path_prefix", lambda s, f: views.under(code_graph(s, f).nodes, "src/billing
 add("glob_files", lambda s, f: views.glob_files(code_graph(s, f), "src/**/*.py").select("file_path"), f"WITH {NODES} SELECT file_path FROM gn WHERE label = 'File' AND regexp_matches(file_path, '^src/(?:.*/)?[^/]*\\.py$')")
 add("find_names", lambda s, f: views.find_names(code_graph(s, f).nodes, "^(load|save)[A-Z]"), f"WITH {NODES} SELECT id, label, name, file_path FROM gn WHERE regexp_matches(name, '^(load|save)[A-Z]') ORDER BY name, id LIMIT 50")
 add("marker_probes", lambda s, f: views.marker_probes(code_graph(s, f).nodes, {"has_ledger": "ledger", "has_unicorn": "unicorn"}), f"WITH {NODES} SELECT coalesce(bool_or(contains(lower(name), 'ledger')), false) AS has_ledger, coalesce(bool_or(contains(lower(name), 'unicorn')), false) AS has_unicorn FROM gn")
-add("enrichment_priority", lambda s, f: analytics.enrichment_priority(g := code_graph(s, f), g.nodes.limit(0).select(F.col("file_path").alias("file"), F.lit(0.0).alias("score"))).withColumn("priority", F.round("priority", 9)))
+add(
+    "enrichment_priority", lambda s, f: analytics.enrichment_priority(g := code_graph(s, f), g.nodes.limit(0).select(F.col("file_path").alias("file"), F.lit(0.0).alias("score"))).withColumn("priority", F.round("priority", 9)),
+    f"WITH {NODES}, {EDGES}, {_DEG}, q AS (SELECT gn.id, (0.25 * least((coalesce(n_in, 0) + coalesce(n_out, 0)) / 20.0, 1.0) + 0.2 * least(coalesce(end_line - start_line + 1, 0) / 500.0, 1.0) + CASE WHEN coalesce(is_traced, false) THEN 0 ELSE 0.1 END + CASE WHEN coalesce(is_dead_candidate, false) THEN 0.1 ELSE 0 END)::DOUBLE AS p FROM gn LEFT JOIN d ON gn.id = d.id) SELECT id, round(p, 9) AS priority FROM q WHERE p >= 0.05",
+)
 add(
     "retrieve", lambda s, f: views.retrieve(code_graph(s, f).nodes, "ledger mapper billing", 20).select("rank", "id", F.round("score", 6).alias("score")),
     f"WITH {NODES}, {_NODE_BM} SELECT row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank, id, round(score, 6) AS score FROM bm ORDER BY 1 LIMIT 20",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.graph import REL_TYPES, PropertyGraph
 
+#: The mark of the embedding file format, and the greatest lengths of contents in CSV.
 MAGIC = b"GNEMB001"
 CONTENT_MOST = {"File": 10_000, "default": 5_000}
 
