@@ -19,7 +19,7 @@ from codeloom.llm.pii_candidates import KINDS, N_FEATURES, candidates, features
 from codeloom.llm.pii_training import Maker
 from codeloom.session import spread
 
-N_TRAIN, SEED, PRECISION = 8000, 11, 0.96
+N_TRAIN, SEED, PRECISION = 10000, 11, 0.96
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
 

@@ -9,7 +9,7 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 
 #: Common given names of the four languages.
 GIVEN = frozenset(
-    "aaron abigail adam adele adrian agnes aidan alan albert alejandro alex alexander alexandre alfred alice alicia alma alvaro amanda amelia amelie amparo ana anais andrea andreas andrew angela anita anja anke anna anne anneke antoine antonio apolline arthur astrid aurelie avery axel barbara bastien beatriz ben benjamin bernd birgit brian bruno camille carla carlos carmen caroline catherine charles charlotte christian christine claire clara claudia clive clement colin corentin cristina daniel david dexter diana diego dieter dominik dora edith eduardo edward elena elias elise elizabeth elke ella elodie emil emily emma enrique eric erik esther eva fabian felipe felix fernando florian francisco franz frederic friederike gabriel gael george gonzalo greta guillaume gustav hannah hans harry hattie heike helen helena henning henry hugo ian ignacio imogen ines ingrid irene isabel jack james jan jane javier jean jens joan john jonas jorge jose juan judith julia julian julie karin karl kaspar kathe katrin kevin klaus lars laura lea leo leon lena lisa louis lucas lucia luis lukas maelis manon manuel marc maria marie margaux mark marlene marta martin matteo max michael miguel monika morgan moritz nadia nerea nicolas nina nolan nora olga oliver oscar otto pablo paige patricia paul paula pedro peter philipp pierre rafael ralf ramon rebecca robert rocio rosa rowan ruth samuel sandra sarah sebastian sergio silvia simon sofia solene sophie stefan susanne svenja teo teresa tessa theo thomas till tim tobias tom ulrike valentin vera victor walter werner william ximena yanis yves".split()
+    "adam alan albert alejandro alex alexander alice alvaro amelia amparo ana andrea andreas andrew anna anne anneke antoine antonio apolline arthur avery barbara bastien beatriz ben benjamin bernd brian bruno camille carla carlos carmen caroline catherine charles charlotte christian christine claire clara claudia clive corentin daniel david dexter diana diego dieter edward elena eliot elizabeth elodie emil emily emma eric eva felix fernando francisco frank franz friederike gabriel gael george gonzalo greta guillaume hannah hans harry hattie helen henning henry hugo ian imogen ines isabel jack james jane javier jean joan john jonas jorge jorn jose juan judith julia julian julie karin karl kaspar kathe katrin kevin klaus laura lea lena leo lisa louis lucas lucia luis lukas maelis manuel marc margaux maria marie mark marlene marta martin max michael miguel monika morgan nadia nerea nicolas nina nolan nora oliver oscar otto pablo paige patricia paul paula pedro peter philipp pierre rafael robert rocio rosa rowan ruth samuel sandra sarah sebastian sergio simon sofia solene sophie stefan susanne svenja teo tessa theo thomas till tim tom ulrike victor walter werner ximena yanis".split()
 )
 #: Words that lead to an item of a kind, and words that lead to look-alikes.
 CUES = {

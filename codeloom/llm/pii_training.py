@@ -21,11 +21,11 @@ _AREAS = "billing search sync notify stock routing archive".split()
 POSITIVE = [
     "Ask {person} about this.", "Thanks to {person} for the patch.", "Reported by {person}, call back on {phone} before noon.", "Signed-off-by: {person} <{email}>", "Reviewed-by: {person}", "Co-authored-by: {person} <{email}>", "Acked-by: {person}", "{person} -> {area} -> done",
     "On call: {person} ({phone})", "On-duty this week: {person} ({phone})", "My number is {phone}, {person}", "- {person}, {email}", "# TODO({person}): remove later", "// FIXME({person}) drop this", '"owner": "{person}",', '{{"contact": "{person}", "mail": "{email}", "tel": "{phone}"}}', "| owner | {person} | {phone} |",
-    "{person};{email};{phone};{address}", "{id},{person},{area}", "INSERT INTO person VALUES ('{person}', '{phone}', '{id}');", "applicant_id: {id}  applicant: {person}", "user={email} action=login result=denied", "2025-06-11 09:14:02 WARN {area} login failed for {email}", 'const reviewer = "{email}";', "ADMIN_MAIL={email}",
+    "{person};{email};{phone};{address}", "{id},{person},{area}", "INSERT INTO person VALUES ('{person}', '{phone}', '{id}');", "INSERT INTO applicant VALUES ('{person}', '{id}');", "VALUES ('{person}', '{phone}', '{id}'), ('{person}', '{phone}', '{id}');", "row = ('{phone}', '{id}', '{area}')", "name='{person}' id='{id}'", "applicant_id: {id}  applicant: {person}", "{person},{id}", "user={email} action=login result=denied", "2025-06-11 09:14:02 WARN {area} login failed for {email}", 'const reviewer = "{email}";', "ADMIN_MAIL={email}",
     "@param contact {email}", "Mail bounced for {email} twice.", "cc {email}, {email}", "tel:{phone}", "SSN {id} shows up in the fixture of the {area} suite.", "The test row still holds the number {id} of a real applicant.", "{title} {surname} wants the export sent to {address}.", "{title} {surname} moved to {address} last month, please update it.",
     "Deliver the badge to {person}, {address}.", "ship_to: {address}", "Send it to {address}", "Please contact {person} at {email}.", "The best way to reach {person} is {email}.", "Author: {person}", "Written by {person} in spring.", "{person} wrote:", "We met {person} ({email}) last week.", "Meeting with {person} and {person}.",
     "Bitte {person} fragen, erreichbar unter {phone}.", "Gemeldet von {person} ({email}).", "Rückfragen an {email}.", "{de_title} {surname} hat die Änderung freigegeben.", "{de_title} {surname} wohnt {address} und wartet auf die Karte.", "Anschrift: {address}", "Die Steuernummer {id} steht noch in den Testdaten.", "Telefon {phone}, Ansprechpartner {person}.", "Der Ausweis {id} gehört {person}.", "Laut {person} ist alles fertig.",
-    "Voir avec {person}, joignable au {phone}.", "Signalé par {person} ({email}).", "Écrire à {email} avant la mise en service.", "{fr_title} {surname} habite {address} et attend le courrier.", "{fr_title} {surname} a validé la recette.", "Dossier de {person}, NIR {id}.", "Le numéro de sécurité sociale {id} apparaît dans le jeu d'essai.", "Rappeler le {phone} pour l'accès au module {area}.", "contact : {person} ; tél. {phone} ; adresse : {address}", "D'après {person}, rien ne manque.",
+    "Voir avec {person}, joignable au {phone}.", "Signalé par {person} ({email}).", "Écrire à {email} avant la mise en service.", "{fr_title} {surname} habite {address} et attend le courrier.", "{fr_title} {surname} a validé la recette.", "Dossier de {person}, NIR {id}.", "Dossier de {person}, clos hier.", "Le numéro de sécurité sociale {id} apparaît dans le jeu d'essai.", "Rappeler le {phone} pour l'accès au module {area}.", "contact : {person} ; tél. {phone} ; adresse : {address}", "D'après {person}, rien ne manque.",
     "Preguntar a {person}, teléfono {phone}.", "Avisado por {person} ({email}).", "Escribir a {email} antes del cierre.", "{es_title} {surname} vive en {address} y espera la carta.", "{es_title} {surname} aprobó el cambio.", "Titular {person}, documento {id}", "El DNI {id} sigue en los datos de prueba.", "contacto: {person}; tel. {phone}; dirección: {address}", "Según {person} todo está listo.",
 ]
 NEGATIVE = [
@@ -107,7 +107,7 @@ class Maker:
         r, d = self.r, self.digits
         z = r.choice("TRWAGMYFPDXBNJZSQVHLCKE")
         return r.choice([
-            f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"{d(3)}-{d(2)}-{d(4)}", f"QQ{d(6)}{r.choice('ABCD')}", f"QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"AB {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}",
+            f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"9{d(8)}", f"{d(3)}-{d(2)}-{d(4)}", f"QQ{d(6)}{r.choice('ABCD')}", f"QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"AB {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}",
             f"{r.choice('12')} {d(2)} 0{d(1)} 99 999 {d(3)} {d(2)}", f"{r.choice('12')}{d(2)}0{d(1)}99999{d(3)} {d(2)}", f"{r.choice('12')}{d(2)}1{r.choice('012')}{d(2)}{d(3)}{d(3)}{d(2)}", f"{r.choice('12')} {d(2)} 1{r.choice('012')} {d(2)} {d(3)} {d(3)} {d(2)}",
             f"00/{d(3)}/{d(5)}", f"{d(2)}/{d(3)}/{d(5)}", f"00{d(1)} {d(3)} {d(3)} {d(2)}", f"00{d(9)}", f"L{d(8)}", f"C{d(2)}H{d(5)}", f"00{d(6)}-{z}", f"00{d(6)}{z}", f"00{d(6)} {z}", f"00.{d(3)}.{d(3)}-{z}", f"X-{d(7)}-{z}", f"Y{d(7)}{z}", f"{d(8)}{z}",
         ])
