@@ -83,24 +83,50 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "words", "hashes"])
 
 
+def _similar_sets(sets: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs of distinct token sets (``sig, words``) whose Jaccard is at least CLONE_SIMILARITY.
+
+    Two such sets share one of their rarest tokens: all but the first n - ceil(CLONE_SIMILARITY n) + 1 of a set of n
+    cannot hold the whole overlap. Sets meet through those tokens alone, and no pair that reaches the limit is missed.
+    """
+    w = sets.select("sig", F.explode("words").alias("word"))
+    rare = w.join(w.groupBy("word").agg(F.count(F.lit(1)).alias("k")), "word").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))
+    keep = F.size("ws") - F.ceil(F.round(F.lit(CLONE_SIMILARITY) * F.size("ws"), 6)).cast("int") + 1
+    p = rare.select("sig", F.explode(F.slice("ws", F.lit(1), keep)).alias("x")).select("sig", F.col("x.word").alias("word"))
+    near = p.select(F.col("sig").alias("a"), "word").join(p.select(F.col("sig").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
+    j = near.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("words").alias("wb")), "b")
+    return j.where(jaccard(F.col("wa"), F.col("wb")) >= CLONE_SIMILARITY).select("a", "b")
+
+
 def clone_clusters(texts: DataFrame) -> DataFrame:
     """``id, cluster, size, similarity`` of near-identical texts (``id, text``).
 
-    Texts that share a window of SHINGLE tokens are linked through the least id of the window, not pair by pair, so a
-    window that many texts hold costs one link a text; components of these links are candidates. A cluster's
-    similarity is the mean Jaccard of its members' token sets with those of its least member; it counts from
-    CLONE_SIMILARITY. Every text keeps its row; texts without a partner have none.
+    Two texts are linked if they share a window of SHINGLE tokens and the Jaccard of their token sets is at least
+    CLONE_SIMILARITY; clusters are the components of these links. Texts of equal windows and tokens count as one. In a
+    window all texts of one token set are linked through the least of them, and of two sets that are similar the least
+    ones are linked, which joins the same texts as all pairs would. A cluster's similarity is the mean Jaccard of its
+    members' token sets with those of its least member; it is reported and rejects nothing. Texts of fewer than
+    CLONE_LEAST tokens and texts without a partner have no row.
     """
-    s = materialize(texts.select("id", "text").mapInPandas(_shingles, f"id {dict(texts.dtypes)['id']}, words array<string>, hashes array<long>"))
-    h = s.select(F.col("id").cast("string").alias("id"), F.explode("hashes").alias("h"))
-    first = h.groupBy("h").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    links = h.join(first, "h").where("id <> m").select(F.col("id").alias("src"), F.col("m").alias("dst")).distinct()
-    c = connected(links)
-    w = s.select(F.col("id").cast("string").alias("node"), "words")
-    j = c.join(w, "node").join(w.select(F.col("node").alias("component"), F.col("words").alias("lead")), "component")
-    size = j.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.avg(F.when(F.col("node") != F.col("component"), jaccard(F.col("words"), F.col("lead")))).alias("similarity"))
-    good = size.where(F.col("similarity") >= CLONE_SIMILARITY)
-    return c.join(good, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "size", "similarity")
+    s = texts.select("id", "text").mapInPandas(_shingles, f"id {dict(texts.dtypes)['id']}, words array<string>, hashes array<long>")
+    s = materialize(s.select(F.col("id").cast("string").alias("id"), "words", "hashes", F.xxhash64("words").alias("sig"), F.xxhash64("hashes").alias("whole")))
+    one = materialize(s.groupBy("sig", "whole").agg(F.min("id").alias("lead"), F.first("hashes").alias("hashes")))
+    sets = materialize(s.groupBy("sig").agg(F.first("words").alias("words")))
+    h = one.select("lead", "sig", F.explode("hashes").alias("h"))
+    shared = h.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    h = materialize(h.join(shared, "h"))
+    first = materialize(h.groupBy("h", "sig").agg(F.min("lead").alias("m")))
+    same = h.join(first, ["h", "sig"]).where("lead <> m").select(F.col("lead").alias("src"), F.col("m").alias("dst"))
+    pairs = first.join(_similar_sets(sets), F.col("sig") == F.col("a")).select("h", F.col("m").alias("src"), F.col("b").alias("sig"))
+    across = pairs.join(first, ["h", "sig"]).select("src", F.col("m").alias("dst"))
+    c = connected(same.unionByName(across).distinct())
+    members = s.select("id", "sig", "whole").join(one.select("sig", "whole", "lead"), ["sig", "whole"]).join(c.withColumnRenamed("node", "lead"), "lead", "left")
+    members = materialize(members.select("id", "sig", F.coalesce("component", "lead").alias("cluster")))
+    lead = members.where("id = cluster").join(sets, "sig").select("cluster", F.col("words").alias("lead_words"))
+    kinds = members.groupBy("cluster", "sig").agg(F.count(F.lit(1)).alias("k")).join(sets, "sig").join(lead, "cluster")
+    # the least member itself is left out of the mean; its Jaccard is 1
+    size = kinds.groupBy("cluster").agg(F.sum("k").alias("size"), F.sum(F.col("k") * jaccard(F.col("words"), F.col("lead_words"))).alias("total")).where("size > 1")
+    return members.join(size, "cluster").select("id", "cluster", "size", ((F.col("total") - 1) / (F.col("size") - 1)).alias("similarity"))
 
 
 def communities(g: PropertyGraph, passes: int = 10, resolution: float = 1.0) -> DataFrame:

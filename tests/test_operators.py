@@ -171,6 +171,18 @@ def test_clones(spark):
     assert A.clone_tokens("a = 'x' + 12 // c") == ["ID", "=", "LIT", "+", "LIT"]
 
 
+def test_clones_below_an_outlying_lead(spark):
+    body = "function f(a, b) { let total = 0; for (const x of a) { if (x > 1) { total += x * b; } } return total + 2; }"
+    far = body + " class @ # ~ ^ % & | ! ? static async await yield import export switch case default break continue throw"
+    near = "do while " + body  # 2 of more than 20 tokens differ
+    t = [("0", far), *((f"{i}", body) for i in range(1, 6)), ("6", near), ("7", far.replace("class", "enum struct new"))]
+    got_ = {x["id"]: (x["cluster"], x["size"]) for x in A.clone_clusters(spark.createDataFrame(t, "id string, text string")).collect()}
+    words = {i: set(A.clone_tokens(x)) for i, x in t}
+    assert len(words["1"] & words["0"]) / len(words["1"] | words["0"]) < 0.9  # the lead is far from the rest
+    reach = {i for i in words if len(words["1"] & words[i]) >= 0.9 * len(words["1"] | words[i])}
+    assert {"1", "2", "3", "4", "5"} <= reach and got_ == {i: ("1", len(reach)) for i in reach} | {i: ("0", 2) for i in "07" if len(words["0"] & words["7"]) >= 0.9 * len(words["0"] | words["7"])}
+
+
 def test_communities_and_flows(spark):
     n = [(f"{s}{i}", "Function", f"{s}{i}", f"src/{s}/f.ts", None, None, i == 0) for s in "pq" for i in range(4)]
     e = [(f"{s}{i}", f"{s}{j}", "CALLS") for s in "pq" for i in range(4) for j in range(i + 1, 4)] + [("p3", "q0", "CALLS")]
