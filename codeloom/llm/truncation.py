@@ -1,9 +1,9 @@
 """Text cut off by field limits.
 
-A field limit shows in the histogram of lengths: many values of exactly the same length, at or near the greatest, that
-do not end as a text ends. Per source (model configuration, origin) and column, histograms of the lengths in
-characters and in bytes are tested for such spikes; values at a spike without a proper end are lost ends. Transfers
-that broke off leave no spike, so values of any other length are judged by their end alone. A proper end is terminal
+A value's end alone decides whether it was lost, at every length. A field limit shows in the histogram of lengths: many
+values of exactly the same length that do not end as a text ends. Per source (model configuration, origin) and column,
+histograms of the lengths in characters and in bytes are tested for such spikes, which only tell the evidence. Values
+with a proper end are no more frequent at a limit than beside it, so they count as whole. A proper end is terminal
 punctuation (behind closing quotes and brackets), a closed code block, a closed list item, a closing bracket in a
 paragraph of its own, or a last line of its own that recurs as such in many values.
 """
@@ -57,9 +57,9 @@ def ends(df: DataFrame, text: str = "text") -> DataFrame:
 def length_spikes(values: DataFrame, sources: list[str]) -> DataFrame:
     """``source_kind, source, field, measure, length, n, n_open``: lengths at which values without a proper end pile up.
 
-    A spike holds at least SPIKE_LEAST open values and SPIKE_SHARE of its source's, SPIKE_RATIO times what the
-    SPIKE_WINDOW lengths on either side hold on average, and at most a tenth of the open values are longer by more
-    than a marker. Counted over all values, with partial aggregation before the shuffle.
+    A spike holds at least SPIKE_LEAST open values and SPIKE_SHARE of its source's, and more than SPIKE_RATIO times
+    what the SPIKE_WINDOW lengths on either side hold on average. A source may have several limits, so a spike need not
+    be at the greatest length. Counted over all values, with partial aggregation before the shuffle.
     """
     kinds = F.array(*(F.struct(F.lit(s).alias("source_kind"), F.col(s).cast("string").alias("source")) for s in sources))
     measures = F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length")))
