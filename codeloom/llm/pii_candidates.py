@@ -9,7 +9,7 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 
 #: Common given names of the four languages.
 GIVEN = frozenset(
-    "adam alan albert alejandro alex alexander alice alvaro amelia amparo ana andrea andreas andrew anna anne anneke antoine antonio apolline arthur avery barbara bastien beatriz ben benjamin bernd brian bruno camille carla carlos carmen caroline catherine charles charlotte christian christine claire clara claudia clive corentin daniel david dexter diana diego dieter edward elena eliot elizabeth elodie emil emily emma eric eva felix fernando francisco frank franz friederike gabriel gael george gonzalo greta guillaume hannah hans harry hattie helen henning henry hugo ian imogen ines isabel jack james jane javier jean joan john jonas jorge jorn jose juan judith julia julian julie karin karl kaspar kathe katrin kevin klaus laura lea lena leo lisa louis lucas lucia luis lukas maelis manuel marc margaux maria marie mark marlene marta martin max michael miguel monika morgan nadia nerea nicolas nina nolan nora oliver oscar otto pablo paige patricia paul paula pedro peter philipp pierre rafael robert rocio rosa rowan ruth samuel sandra sarah sebastian sergio simon sofia solene sophie stefan susanne svenja teo tessa theo thomas till tim tom ulrike victor walter werner ximena yanis".split()
+    "aaron abigail adam adele adrian agnes aidan alan albert alejandro alex alexander alexandre alfred alice alicia alma alvaro amanda amelia amelie amparo ana anais andrea andreas andrew angela anita anja anke anna anne anneke antoine antonio apolline arthur astrid aurelie avery axel barbara bastien beatriz ben benjamin bernd birgit brian bruno camille carla carlos carmen caroline catherine charles charlotte christian christine claire clara claudia clement clive colin corentin cristina daniel david dexter diana diego dieter dominik dora edith eduardo edward elena elias eliot elise elizabeth elke ella elodie emil emily emma enrique eric erik esther eva fabian felipe felix fernando florian francisco frank franz frederic friederike gabriel gael george gonzalo greta guillaume gustav hannah hans harry hattie heike helen helena henning henry hugo ian ignacio imogen ines ingrid irene isabel jack james jan jane javier jean jens joan john jonas jorge jorn jose juan judith julia julian julie karin karl kaspar kathe katrin kevin klaus lars laura lea lena leo leon lisa louis lucas lucia luis lukas maelis manon manuel marc margaux maria marie mark marlene marta martin matteo max michael miguel monika morgan moritz nadia nerea nicolas nina nolan nora olga oliver oscar otto pablo paige patricia paul paula pedro peter philipp pierre rafael ralf ramon rebecca robert rocio rosa rowan ruth samuel sandra sarah sebastian sergio silvia simon sofia solene sophie stefan susanne svenja teo teresa tessa theo thomas till tim tobias tom ulrike valentin vera victor walter werner william ximena yanis yves".split()
 )
 #: Words that lead to an item of a kind, and words that lead to look-alikes.
 CUES = {
@@ -73,6 +73,12 @@ PERSON = [
 _NUMBERS = re.compile(r"\d[\d .()/-]{6,}")
 _WORD = re.compile(r"[^\W\d_][\w-]*")
 _DIGIT_RUN = re.compile(r"[(+]?[A-Z]{0,2}[ -]?\d[\dA-Z ./()-]{5,}")
+#: Each finds whatever EMAIL and ID[5] match, and more.
+_AT_SIGN = re.compile(r"@|\((?:at|AT)\)|\[(?:at|AT)\]|<at>|\{at\}")
+_LETTER_ID = re.compile(r"[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{8}")
+#: Words behind which a name in lower case is proposed whatever its first word.
+_NAME_CUES = "(?:signed-off|reviewed|co-developed|reported|written|found|sent)[- ]by|(?:signalé|écrit|envoyé) par|(?:avisado|escrito|enviado) por|(?:gemeldet|geschrieben) von|contact|owner|applicant|thanks|ask|titular|dossier|preguntar|author|mr|mrs|ms|mme|herr|frau|señora?|person|name"
+_CUED = re.compile(rf"(?<!\w)(?i:{_NAME_CUES})[.:,]? (?=([{_L}]{{2,}} {_PART}[{_L}]{{3,}}(?:[-'’][{_L}]+)*)(?![\w@]))")
 _LOWER = re.compile(rf"(?<![\w@.-])[{_L}]{{2,}}(?= [{_L}])")
 _DIGIT_BEFORE = re.compile(r"[+\d)][ ./-]?$")
 _PARTICLE = re.compile(r" (?:de|del|von|van|du|le|la|der|da|di) ")
@@ -140,18 +146,22 @@ def features(text: str, kind: str, pattern: int, start: int, end: int) -> list[f
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, pattern, start, end) of all proposed spans; they may overlap."""
     out = []
-    if "@" in text or "(at)" in text or "[at]" in text or "(AT)" in text or "<at>" in text:
+    if _AT_SIGN.search(text):
         for k, rx in enumerate(EMAIL):
             out += [("email", k, m.start(), m.end()) for m in rx.finditer(text)]
     for run in _DIGIT_RUN.finditer(text):
         lo, hi = run.start(), min(len(text), run.end() + 3)
         for kind, rxs in (("phone", PHONE), ("id_number", ID)):
             for k, rx in enumerate(rxs):
-                out += [(kind, k, m.start(), m.end()) for m in rx.finditer(text, lo, hi)]
+                if rx is not ID[5]:
+                    out += [(kind, k, m.start(), m.end()) for m in rx.finditer(text, lo, hi)]
+    # numbers that begin with letters, of which a run of digits need not hold the start
+    if _LETTER_ID.search(text):
+        out += [("id_number", 5, m.start(), m.end()) for m in ID[5].finditer(text)]
     for k, rx in enumerate(ADDRESS):
         out += [("address", k, m.start(), m.end()) for m in rx.finditer(text)]
     for k, rx in enumerate(PERSON):
-        # names in lower case are proposed only behind a common given name, which few texts hold
+        # names in lower case are proposed if they begin with a common given name, which few texts hold, or behind a cue
         for m in rx.finditer(text) if k < 4 or any(map(_is_given, set(_LOWER.findall(text)))) else ():
             a, b = m.span(1)
             if k == 4 and not _is_given(_WORD.match(text, a).group()):
@@ -159,4 +169,8 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
             if k == 0 and (text[a:b].isupper() or _WORD.match(text, a).group().lower() in _OPENERS):
                 continue
             out.append(("person", k, a, b))
+    given = {(a, b) for kind, k, a, b in out if kind == "person" and k == 4}
+    for m in _CUED.finditer(text):
+        if m.span(1) not in given and not any(w in _OPENERS for w in m.group(1).split()):
+            out.append(("person", 4, *m.span(1)))
     return out

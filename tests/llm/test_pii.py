@@ -48,3 +48,19 @@ def test_operator(spark):
     assert red[1][0] == "Reported by [PERSON], call back on [PHONE] before noon.\nSend to [EMAIL]." and red[2] == (rows[1][1], 0) and red[3][0] is None and red[4] == ("", 0)
     assert pii.find_personal(df.limit(0), n_train=3000).count() == 0
     assert set(KINDS) == set(pii.PLACEHOLDER)
+
+
+def test_candidates_miss_no_pattern():
+    from codeloom.llm.pii_candidates import ID, candidates
+
+    def kinds(text):
+        return {(kind, text[a:b]) for kind, _, a, b in candidates(text)}
+
+    assert ("email", "ada [AT] example.org") in kinds("Write to ada [AT] example.org today")
+    assert ("email", "ada {at} example.org") in kinds("Write to ada {at} example.org today")
+    for number in ("CFGHK1234", "CGHJKLMN1", "L01X00T47", "CFGHJKLMN"):
+        assert ID[5].fullmatch(number) and ("id_number", number) in kinds(f"Ausweis {number} liegt vor")
+    for name in ("william harper", "tobias wendt", "angela ruiz"):
+        assert ("person", name) in kinds(f"see what {name} wrote")
+    assert ("person", "zorana milutin") in kinds("reported by zorana milutin last week")
+    assert not {x for x in kinds("called by the handler") if x[0] == "person"}
