@@ -107,7 +107,8 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
 def descendants(resolved: DataFrame) -> DataFrame:
     """All (ancestor, descendant, distance) pairs of a result of :func:`resolve_hierarchy` with paths.
 
-    One row a step of a path, which is the size of the answer; nodes of a loop or below one have no pairs.
+    One row a step of a path, which is the size of the answer; for nodes of a loop or below one see
+    :func:`loop_descendants`.
     """
     steps = resolved.where(F.col("path").isNotNull()).select(F.col("node").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "ancestor"))
     return steps.where(F.col("pos") < F.col("n") - 1).select("ancestor", "descendant", (F.col("n") - 1 - F.col("pos")).cast("int").alias("distance"))
@@ -116,3 +117,28 @@ def descendants(resolved: DataFrame) -> DataFrame:
 def descendant_counts(resolved: DataFrame) -> DataFrame:
     """Number of descendants of every node that has any; counted before the shuffle, so a huge family is no hot task."""
     return descendants(resolved).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
+
+
+def loop_descendants(links: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) of the nodes on a loop or below one, which have no path.
+
+    A node's ancestors are the nodes that its parent links meet until one comes again, without the node itself, each at
+    its least distance. Distances double in every round, until a round meets no new pair; every such node then
+    has met all of its ancestors, as new ones follow each other without a gap.
+    """
+    caught = resolved.where(F.col("depth") == -1).select("node")
+    rows = links.select(F.col("node").cast("string"), F.col("parent").cast("string")).where(F.col("parent").isNotNull())
+    step = materialize(rows.groupBy("node").agg(F.min("parent").alias("up")).join(caught, "node", "left_semi"))
+    pairs = materialize(step.where("node <> up").select(F.col("up").alias("ancestor"), F.col("node").alias("descendant"), F.lit(1).alias("distance")))
+    n, reach = pairs.count(), 1
+    while n:
+        on = step.select(F.col("node").alias("j_node"), F.col("up").alias("j_up"))  # every caught node's ancestor at ``reach``
+        far = pairs.select("descendant", "ancestor", "distance").join(on, F.col("descendant") == F.col("j_up"))
+        more = far.where("ancestor <> j_node").select("ancestor", F.col("j_node").alias("descendant"), (F.col("distance") + reach).alias("distance"))
+        level = step.where("node <> up").select(F.col("up").alias("ancestor"), F.col("node").alias("descendant"), F.lit(reach).alias("distance"))
+        pairs = materialize(pairs.unionByName(level).unionByName(more).groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance")))
+        step = materialize(step.join(on, F.col("up") == F.col("j_node")).select("node", F.col("j_up").alias("up")))
+        was, n, reach = n, pairs.count(), 2 * reach
+        if n == was:
+            break
+    return pairs

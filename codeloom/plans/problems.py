@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.components import strongly_connected
-from codeloom.operators.hierarchy import descendant_counts, resolve_hierarchy
+from codeloom.operators.hierarchy import descendant_counts, descendants, loop_descendants, resolve_hierarchy
 from codeloom.operators.orphans import edge_references, find_orphans, node_versions
-from codeloom.session import month_label, table
+from codeloom.session import materialize, month_label, table
 
 #: Kinds of heritage that name no parent class.
 NOT_PARENTS = ("implements", "heritage.implements", "trait", "heritage.trait", "uses")
@@ -72,6 +72,14 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every class with each of its descendants and the distance, also on loops and below them."""
+    links = materialize(class_links(table(spark, sf, "heritage")))
+    r = resolve_hierarchy(links, with_paths=True)
+    d = descendants(r).unionByName(loop_descendants(links, r))
+    return d.select(_repo(F.col("ancestor")).alias("repo"), _name(F.col("ancestor")).alias("ancestor"), _name(F.col("descendant")).alias("descendant"), "distance")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Edge ends whose node is not live when the edge is recorded."""
     o = find_orphans(edge_references(table(spark, sf, "edges")), node_versions(table(spark, sf, "nodes")))
@@ -84,7 +92,7 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy(F.lit("edges").alias("table_name"), "endpoint", month_label(F.col("period")).alias("month")).agg(F.count(F.lit(1)).alias("n_orphans"), F.countDistinct("key").alias("n_keys"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p3_found": p3_found, "p3_report": p3_report}
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_report": p3_report}
 
 
 def _simple_sql(c: str) -> str:
@@ -129,6 +137,9 @@ dc AS (SELECT repo, name, count(*) AS n, max(d) AS h FROM an GROUP BY repo, name
 SELECT w.repo, w.name AS member, CASE w.state WHEN 'end' THEN array_to_string(list_reverse(w.path), ' > ') END AS path, CASE w.state WHEN 'end' THEN w.depth ELSE -1 END::INT AS depth,
        coalesce(dc.n, 0)::BIGINT AS n_descendants, coalesce(dc.h, 0)::INT AS height
 FROM walk w LEFT JOIN dc ON w.repo = dc.repo AND w.name = dc.name WHERE w.state <> 'go'""",
+    "p2_descendants": f"""WITH RECURSIVE {_CLASSES},
+an AS (SELECT repo, path[d + 1] AS ancestor, name AS descendant, d FROM walk, range(1, len(path)) t(d) WHERE state <> 'go')
+SELECT repo, ancestor, descendant, min(d)::INT AS distance FROM an WHERE ancestor <> descendant GROUP BY ALL""",
     "p3_found": f"WITH {_ORPHANS} SELECT DISTINCT id, endpoint FROM orphan",
     "p3_report": f"WITH {_ORPHANS} SELECT 'edges' AS table_name, endpoint, strftime(recorded_at, '%Y-%m') AS month, count(DISTINCT (id, key)) AS n_orphans, count(DISTINCT key) AS n_keys FROM orphan GROUP BY 1, 2, 3",
 }

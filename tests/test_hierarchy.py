@@ -91,3 +91,21 @@ def test_file_links(spark):
     rows = [("r", ["a", "b", "a"]), ("r", ["x"]), ("r", []), ("r", None), ("q", ["m", None, "n", "n"])]
     got = {tuple(x) for x in file_links(spark.createDataFrame(rows, "repo string, cycle array<string>")).collect()}
     assert got == {("r\u0001a", "r\u0001b"), ("r\u0001b", "r\u0001a"), ("q\u0001n", "q\u0001n")}
+
+
+def test_descendants_on_and_below_loops(spark):
+    parent = {f"l{i}": f"l{(i + 1) % 5}" for i in range(5)} | {"below": "l1", "under": "below", "self": "self", "child": "self", "a": "b", "b": None}
+    parent |= {f"c{i}": f"c{i - 1}" if i else "under" for i in range(20)}
+    want = {}
+    for n in parent:
+        cur, d = parent[n], 1
+        seen = {n}
+        while cur is not None and cur not in seen:
+            seen.add(cur)
+            if n not in ("a", "b"):
+                want[(cur, n)] = d
+            cur, d = parent.get(cur), d + 1
+    links = spark.createDataFrame([(n, p, 0) for n, p in parent.items()], LINK)
+    got = hierarchy.loop_descendants(links, hierarchy.resolve_hierarchy(links)).collect()
+    assert {(x.ancestor, x.descendant): x.distance for x in got} == want and len(got) == len(want)
+    assert want[("below", "c19")] == 21 and ("under", "c0") in want
