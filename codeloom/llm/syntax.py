@@ -1,9 +1,10 @@
 """Source files that do not parse.
 
-Every file is cut at line ends into pieces. A piece is summed up as a lexer-state map (entry state to exit state) and
+A file of at most PIECE characters, and every Python file, is read whole. A longer one is cut at line ends into pieces. A
+piece is summed up as a lexer-state map (entry state to exit state) and
 the brackets it leaves open or closes too many of; both combine associatively, first within groups of neighbouring
-pieces and then over the groups, so a very long file is no task of its own. Files whose map ends in code with all
-brackets closed go on to the local grammar of their language; Python goes to Python's own.
+pieces and then over the groups. The maps have no entry state for some literals that span lines (text blocks, verbatim
+and raw strings, heredocs), so they decide no file: every long file is then read whole by its lexer and local grammar.
 """
 
 from __future__ import annotations
@@ -107,11 +108,12 @@ def parse_errors(files: DataFrame) -> DataFrame:
     f = files.select("file_id", language_of(F.col("file_path")).alias("language"), "content").where("language is not null and content is not null")
     # written once: three readers follow, and lexing is the cost
     maps = materialize(spread(f).mapInPandas(_maps, "file_id long, piece int, map string, error string").where("map is not null or error is not null"))
-    # long files: fold neighbouring pieces, then the groups; then the local grammar where the brackets close
+    # long files: fold neighbouring pieces, then the groups; a literal for which there is no entry state may lie across
+    # the end of a piece, so what the map rejects is read whole as well, as is, for the local grammar, what it accepts
     long = maps.where("map is not null").withColumn("grp", F.floor(F.col("piece") / GROUP))
-    folded = materialize(_folded(_folded(long, ["file_id", "grp"], "piece"), ["file_id"], "grp").select("file_id", _verdict("map").alias("error")))
-    open_ = folded.where("error is null or error = 'unsure'").select("file_id").join(f, "file_id").select("file_id", _grammar("content", "language").alias("error"))
-    return maps.where("error is not null").select("file_id", "error").unionByName(folded.where("error is not null and error <> 'unsure'")).unionByName(open_.where("error is not null"))
+    folded = materialize(_folded(_folded(long, ["file_id", "grp"], "piece"), ["file_id"], "grp").select("file_id", _verdict("map").alias("by_map")))
+    whole = folded.join(f, "file_id").select("file_id", _grammar("content", "language").alias("error"))
+    return maps.where("error is not null").select("file_id", "error").unionByName(whole.where("error is not null"))
 
 
 def error_rates(files: DataFrame, errors: DataFrame) -> DataFrame:

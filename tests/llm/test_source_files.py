@@ -112,3 +112,12 @@ def test_operator_with_long_file_and_nulls(spark, monkeypatch):
     rates = {(x["repo"], x["language"]): (x["n_files"], x["n_errors"]) for x in S.error_rates(df, e).collect()}
     assert rates[("r", "python")] == (1, 1) and rates[(None, "java")] == (1, 0)
     assert S.parse_errors(df.limit(0)).count() == 0
+
+
+def test_long_literal_across_pieces(spark):
+    java = 'class A {\n  String s = """\n' + "    it's # half { of (\n" * 30000 + '    """;\n}\n'
+    sharp = 'class A {\n  string s = @"\n' + "    it's # half { of (\n" * 30000 + '    ";\n}\n'
+    assert len(java) > 2 * S.PIECE and S.judge(java, "java") is None and S.judge(sharp, "csharp") is None
+    rows = [(1, "r", "a.java", java), (2, "r", "b.java", java + "}"), (3, "r", "c.cs", sharp), (4, "r", "d.cs", sharp + "}")]
+    df = spark.createDataFrame([(i, r, p, c, "clash", 0) for i, r, p, c in rows], FILE)
+    assert sorted(x["file_id"] for x in S.parse_errors(df).collect()) == [2, 4]
