@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import handwritten, mixing, packing, pii, syntax, truncation
+from codeloom.llm import handwritten, mixing, oracles, packing, pii, syntax, truncation
 from codeloom.llm.tokens import token_counter
 from codeloom.session import materialize, spread, table
 
@@ -24,6 +24,12 @@ def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_rates(e, lost, P1_FIELDS, "config_id").unionByName(truncation.truncation_rates(e, lost, P1_FIELDS, "origin"))
 
 
+def p1_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths at which fields are cut, beside the token limit of the model configuration."""
+    limits = table(spark, sf, "llm_configs").select(F.col("config_id").cast("string").alias("source"), "max_tokens")
+    return truncation.field_limits(table(spark, sf, "enrichments"), "enrichment_id", P1_FIELDS, P1_SOURCES, limits)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Files that nobody wrote by hand."""
     return handwritten.classify_files(table(spark, sf, "source_files")).where("reason is not null").select("file_id")
@@ -87,5 +93,5 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact_personal(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_limits": p1_limits, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+ORACLE: dict[str, str] = oracles.ORACLE

@@ -1,16 +1,17 @@
 """Text cut off by field limits.
 
-A value's end alone decides whether it was lost, at every length. A field limit shows in the histogram of lengths: many
-values of exactly the same length that do not end as a text ends. Per source (model configuration, origin) and column,
-histograms of the lengths in characters and in bytes are tested for such spikes, which only tell the evidence. Values
-with a proper end are no more frequent at a limit than beside it, so they count as whole. A proper end is terminal
-punctuation (behind closing quotes and brackets), a closed code block, a closed list item, a closing bracket in a
-paragraph of its own, or a last line of its own that recurs as such in many values.
+A field limit shows in the histogram of lengths: at the greatest length of a source many values end all alike without a
+proper end. Per source (model configuration, origin) and column, histograms of the lengths in characters and in bytes
+are tested for such spikes at the maximum. Every value that lacks an end has a *kind* of end (running text, a short
+line of its own, a list item, ...). A kind that piles up at the spikes, against the lengths beside them, is what a cut
+leaves behind: values of such kinds are lost, at a spike by the field limit and elsewhere, where the same kind of end
+shows, mid-transfer. Kinds that are no more frequent at a limit than beside it (signatures, headings) are how their
+writers end, and their values are whole at every length. Cut marks, broken characters and open code need no histogram.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.session import materialize, spread
@@ -19,83 +20,109 @@ from codeloom.session import materialize, spread
 CUT_WORDS = "truncated|cut|cut off|more|continued|snip|snipped|clipped|shortened|tronqué|suite|gekürzt|abgeschnitten|mehr|truncado|cortado|más"
 SO_ON = "and so on|and so forth|and more|etc|et cetera|ainsi de suite|und so weiter|usw|así sucesivamente|etcétera"
 
-SPIKE_LEAST = 3
-SPIKE_SHARE = 0.005
-SPIKE_RATIO = 4.0
+SPIKE_LEAST = 3  # values without an end at one length
+SPIKE_RATIO = 4.0  # against the mean of the lengths beside it
 SPIKE_WINDOW = 10
-RECUR_LEAST = 3
-RECUR_SHARE = 0.001
+MOST_ABOVE = 0.02  # share of the source's values that are longer than a limit
+LINE_WORDS = 6  # a last line of fewer words is a short one
 
-_MARK = rf"(?i)(?:[ \t.…]*(?:[\[(<{{]\s*(?:\.\.\.|…|{CUT_WORDS})\s*(?:\.\.\.|…)?[\])>}}]|[\[(<{{]\s*…\s*[\])>}}]))\s*$"
-_DOTS = r"\s*(?:\.{3,}|…)\s*$"
-_CLOSERS = "[”“\"»«’')\\]}*_]*"
+BLANKS = " \t\r\n\f\v"
+MARK = rf"(?i)[ \t.…]*(?:[\[(<{{]\s*(?:\.\.\.|…|{CUT_WORDS})\s*(?:\.\.\.|…)?[\])>}}]|[\[(<{{]\s*…\s*[\])>}}])$"
+CLOSERS = "[”“\"»«’')\\]}*_]*"
+DOTS = r"(?:\.{3,}|…)$"
+TERMINAL = rf"[.!?。！？]{CLOSERS}$"
+ITEM = r"^\s*(?:[-*+•]|\d+[.)])\s+\S"
+CODE_LINE = r"^\s*```$|^\s*`[^`]+`$|^\s*(?:[-*+•]|\d+[.)])\s+\S.*`$|[)\]};]$"
+SO_ON_LINE = rf"(?i)^\W*(?:\w+ )?(?:{SO_ON})\W*$"
 
 
 def ends(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add what the end of ``text`` shows: ``mark, dots, broken, open_code, terminal, last_line, own_line, closed``."""
-    t = F.regexp_replace(F.col(text), r"\s+$", "")
-    df = df.withColumn("_t", t)
-    df = df.withColumn("mark", F.col("_t").rlike(_MARK)).withColumn("broken", F.col("_t").rlike(r"�+$"))
-    df = df.withColumn("_core", F.regexp_replace("_t", _MARK, "")).withColumn("dots", F.col("_core").rlike(_DOTS))
-    df = df.withColumn("last_line", F.regexp_extract("_core", r"([^\n]*)$", 1))
+    """Add ``end``: how ``text`` ends.
+
+    ``mark`` (a cut mark or a broken character), ``code`` (an open code block or span), ``proper`` (terminal
+    punctuation, a closed block, item or bracket in a last line of its own, a phrase that means its dots), or the kind
+    of an end that lacks all of these: ``run`` or ``line`` (the last line is the whole text, or one of its own), with
+    ``-item`` for a list item and ``-short`` for a line of few words. Only the last line is matched against patterns.
+    """
+    df = df.withColumn("_t", F.rtrim(F.col(text), F.lit(BLANKS)))
+    df = df.withColumn("_last", F.substring_index("_t", "\n", -1)).withColumn("_mark", F.regexp_extract("_last", MARK, 0))
+    core = F.rtrim(F.expr("substr(_t, 1, length(_t) - length(_mark))"), F.lit(BLANKS))
+    df = df.withColumn("_core", F.when(F.col("_mark") == "", F.col("_t")).otherwise(core)).withColumn("_last", F.substring_index("_core", "\n", -1))
     fences = (F.length("_core") - F.length(F.replace("_core", F.lit("```"), F.lit("")))) / 3
     ticks = F.length("_core") - F.length(F.replace("_core", F.lit("`"), F.lit("")))
-    own = F.col("_core").contains("\n")
-    item = F.col("last_line").rlike(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
-    only_code = F.col("last_line").rlike(r"^\s*`[^`]+`\s*$")
-    return (
-        df.withColumn("open_code", (fences % 2 != 0) | (ticks % 2 != 0))
-        .withColumn("terminal", F.col("_core").rlike(rf"[.!?。！？]{_CLOSERS}$") & ~F.col("dots"))
-        .withColumn("own_line", own)
-        .withColumn("closed", own & (F.col("last_line").rlike(r"^\s*```\s*$") | ((item | only_code) & F.col("last_line").rlike(r"`$")) | F.col("last_line").rlike(r"[)\]};]$")))
-        .withColumn("shape", F.regexp_replace(F.regexp_replace("last_line", r"`[^`]*`", "``"), r"\d+", "0"))
-        .withColumn("so_on", own & F.col("last_line").rlike(rf"(?i)^\W*(?:\w+ )?(?:{SO_ON})\W*$"))
-        .drop("_t", "_core")
-    )
-
-
-def length_spikes(values: DataFrame, sources: list[str]) -> DataFrame:
-    """``source_kind, source, field, measure, length, n, n_open``: lengths at which values without a proper end pile up.
-
-    A spike holds at least SPIKE_LEAST open values and SPIKE_SHARE of its source's, and more than SPIKE_RATIO times
-    what the SPIKE_WINDOW lengths on either side hold on average. A source may have several limits, so a spike need not
-    be at the greatest length. Counted over all values, with partial aggregation before the shuffle.
-    """
+    own, last = F.length("_last") < F.length("_core"), F.col("_last")
+    proper = (last.rlike(TERMINAL) & ~last.rlike(DOTS)) | (own & (last.rlike(CODE_LINE) | last.rlike(SO_ON_LINE)))
+    kind = F.concat(F.when(own, "line").otherwise("run"), F.when(last.rlike(ITEM), "-item").otherwise(""), F.when(own & (F.size(F.split(last, r"\s+")) < LINE_WORDS), "-short").otherwise(""))
+    end = F.when((F.col("_mark") != "") | F.col("_t").endswith("�"), "mark").when((fences % 2 != 0) | (ticks % 2 != 0), "code").when(proper, "proper").otherwise(kind)
+    return df.withColumn("end", end).drop("_t", "_last", "_mark", "_core")
+
+
+def sized_ends(table: DataFrame, key: str, fields: list[str], sources: list[str]) -> DataFrame:
+    """``_key, <sources>, field, n_chars, n_bytes, end`` of every value that is neither null nor blank; texts stay out."""
+    texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
+    v = spread(table.select(key, *sources, *fields)).select(F.col(key).alias("_key"), *sources, F.explode(texts).alias("v")).select("_key", *sources, "v.field", "v.text").where(F.col("text").rlike(r"\S"))
+    return ends(v.withColumn("n_chars", F.length("text")).withColumn("n_bytes", F.octet_length("text"))).drop("text")
+
+
+def _unended(end: Column) -> Column:
+    return ~end.isin("proper", "mark")
+
+
+def histogram(values: DataFrame, sources: list[str]) -> DataFrame:
+    """``source_kind, source, field, measure, length, end, n`` over all values, aggregated before the shuffle."""
     kinds = F.array(*(F.struct(F.lit(s).alias("source_kind"), F.col(s).cast("string").alias("source")) for s in sources))
     measures = F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length")))
-    flat = values.withColumn("s", F.explode(kinds)).withColumn("m", F.explode(measures))
-    hist = flat.groupBy("s.source_kind", "s.source", "field", "m.measure", "m.length").agg(F.count(F.lit(1)).alias("n"), F.count_if("open_end").alias("n_open"))
-    hist = materialize(hist)
+    one = values.groupBy(*sources, "field", "n_chars", "n_bytes", "end").agg(F.count(F.lit(1)).alias("k"))
+    flat = one.withColumn("s", F.explode(kinds)).withColumn("m", F.explode(measures))
+    return flat.groupBy("s.source_kind", "s.source", "field", "m.measure", "m.length", "end").agg(F.sum("k").alias("n"))
+
+
+def length_spikes(hist: DataFrame) -> DataFrame:
+    """``source_kind, source, field, measure, length, n, n_open``: spikes at the maximum of a source.
+
+    At least SPIKE_LEAST values of this length lack a proper end, more than SPIKE_RATIO times what the SPIKE_WINDOW
+    lengths on either side hold on average, and at most MOST_ABOVE of the source's values are longer.
+    """
     keys = ["source_kind", "source", "field", "measure"]
-    # neighbours through an equi-join on nearby lengths: a histogram has few rows, whatever the number of values
-    near = hist.select(*keys, F.explode(F.sequence(F.col("length") - SPIKE_WINDOW, F.col("length") + SPIKE_WINDOW)).alias("at"), "length", "n_open").where("at <> length").groupBy(*keys, F.col("at").alias("length")).agg(F.sum("n_open").alias("n_near"))
-    total = hist.groupBy(*keys).agg(F.sum("n_open").alias("n_all"))
-    eq = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    eqt = [F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    j = hist.alias("a").join(near.alias("b"), [*eq, F.col("a.length") == F.col("b.length")], "left").join(total.alias("c"), eqt)
-    mean = F.coalesce(F.col("b.n_near"), F.lit(0)) / (2 * SPIKE_WINDOW)
-    return j.where((F.col("a.n_open") >= SPIKE_LEAST) & (F.col("a.n_open") >= SPIKE_SHARE * F.col("c.n_all")) & (F.col("a.n_open") > SPIKE_RATIO * mean)).select("a.*")
+    h = hist.groupBy(*keys, "length").agg(F.sum("n").alias("n"), F.sum(F.when(_unended(F.col("end")), F.col("n")).otherwise(0)).alias("n_open"))
+    # all lengths of a source in one ordered window: a histogram has as many rows as there are lengths, however many values
+    w = Window.partitionBy(*keys).orderBy("length")
+    near, above, all_ = w.rangeBetween(-SPIKE_WINDOW, SPIKE_WINDOW), w.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(*keys)
+    h = h.withColumn("near", F.sum("n_open").over(near) - F.col("n_open")).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("total", F.sum("n").over(all_))
+    spike = (F.col("n_open") >= SPIKE_LEAST) & (F.col("n_open") > SPIKE_RATIO * F.col("near") / (2 * SPIKE_WINDOW)) & (F.col("above") <= MOST_ABOVE * F.col("total"))
+    return h.where(spike).select(*keys, "length", "n", "n_open")
+
+
+def cut_kinds(hist: DataFrame, spikes: DataFrame) -> DataFrame:
+    """``kind, n_at, n_beside``: the kinds of end that cuts leave, by their excess at the spikes over the lengths beside.
+
+    There are at most six kinds, so this is a small table whatever the data.
+    """
+    keys = ["source_kind", "source", "field", "measure"]
+    s = spikes.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("length").alias("s_length"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"s_{k}"))
+    j = hist.where(~F.col("end").isin("proper", "mark", "code")).join(s, on).where(F.abs(F.col("length") - F.col("s_length")) <= SPIKE_WINDOW)
+    at = F.sum(F.when(F.col("length") == F.col("s_length"), F.col("n")).otherwise(0))
+    k = j.groupBy(F.col("end").alias("kind")).agg(at.alias("n_at"), (F.sum("n") - at).alias("n_beside"))
+    return k.where((F.col("n_at") >= SPIKE_LEAST) & (F.col("n_at") > SPIKE_RATIO * F.col("n_beside") / (2 * SPIKE_WINDOW)))
 
 
 def find_truncated(table: DataFrame, key: str, fields: list[str], sources: list[str]) -> DataFrame:
     """``key, field_name, <sources>, n_chars, evidence`` of every value whose end was lost.
 
-    evidence: ``mark`` (a cut mark or a broken character), ``open`` (an open code block), ``spike`` (no proper end, at a
-    spike of its source), ``end`` (no proper end elsewhere). Null and empty values, also such of white space only, are
-    no cases; a null source is a source of its own; repeated rows come out once each.
+    evidence: ``mark`` (a cut mark or a broken character), ``open`` (an open code block), ``spike`` (a kind of end that
+    cuts leave, at a spike of its source), ``end`` (such a kind at another length). Null and empty values, also such of
+    white space only, are no cases; a null source is a source of its own; repeated rows come out once each. Without any
+    spike no kind is known to come from cuts, so only marks and open code are found.
     """
-    texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
-    v = spread(table.select(key, *sources, *fields)).select(F.col(key).alias("_key"), *sources, F.explode(texts).alias("v")).select("_key", *sources, "v.field", "v.text").where(F.col("text").rlike(r"\S"))
-    v = ends(v.withColumn("n_chars", F.length("text")).withColumn("n_bytes", F.octet_length("text"))).drop("text")
-    v = v.withColumn("sure", F.col("mark") | F.col("broken") | F.col("open_code"))
-    v = v.withColumn("open_end", F.col("sure") | ~(F.col("terminal") | F.col("closed") | F.col("so_on")))
-    v = materialize(v.select("_key", *sources, "field", "n_chars", "n_bytes", "mark", "broken", "sure", "open_end", F.when(F.col("own_line"), F.col("shape")).alias("shape")))
-    n = v.groupBy("field").count().withColumnRenamed("field", "t_field")
-    # lines of their own that end many values: at most 1 / RECUR_SHARE a field, so the broadcast is bounded
-    recurring = v.where("open_end and not sure and shape is not null").groupBy("field", "shape").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("n_chars").alias("d"))
-    recurring = recurring.join(F.broadcast(n), F.col("field") == F.col("t_field")).where((F.col("k") >= RECUR_LEAST) & (F.col("d") > 1) & (F.col("k") >= RECUR_SHARE * F.col("count"))).select(F.col("field").alias("r_field"), F.col("shape").alias("r_shape"))
-    spikes = length_spikes(v, sources)
-    lost = v.where("open_end").join(F.broadcast(recurring), (F.col("field") == F.col("r_field")) & (F.col("shape") == F.col("r_shape")), "left").where("sure or r_field is null")
+    v = materialize(sized_ends(table, key, fields, sources))
+    hist = materialize(histogram(v, sources))
+    spikes = materialize(length_spikes(hist))
+    kinds = cut_kinds(hist, spikes).select("kind")
+    sure = F.col("end").isin("mark", "code")
+    lost = v.where("end <> 'proper'").join(F.broadcast(kinds), F.col("end") == F.col("kind"), "left").where(sure | F.col("kind").isNotNull())
     at = []
     for i, s in enumerate(sources):
         for m in ("chars", "bytes"):
@@ -105,10 +132,21 @@ def find_truncated(table: DataFrame, key: str, fields: list[str], sources: list[
     spike = at[0]
     for a in at[1:]:
         spike = spike | a
-    evidence = F.when(F.col("mark") | F.col("broken"), "mark").when(F.col("sure"), "open").when(spike, "spike").otherwise("end")
+    evidence = F.when(F.col("end") == "mark", "mark").when(F.col("end") == "code", "open").when(spike, "spike").otherwise("end")
     return lost.select(F.col("_key").alias(key), F.col("field").alias("field_name"), *sources, "n_chars", evidence.alias("evidence"))
 
 
+def field_limits(table: DataFrame, key: str, fields: list[str], sources: list[str], limits: DataFrame) -> DataFrame:
+    """``source_kind, source, field_name, measure, length, n, n_open, max_tokens``: the limits that the histograms show.
+
+    ``limits`` has ``source`` (text of the first of ``sources``) and ``max_tokens``, which stands beside the spikes of
+    that source; other kinds of source have none.
+    """
+    spikes = length_spikes(materialize(histogram(sized_ends(table, key, fields, sources), sources)))
+    c = limits.select(F.lit(sources[0]).alias("source_kind"), F.col("source").cast("string").alias("source"), "max_tokens").distinct()
+    return spikes.join(c, ["source_kind", "source"], "left").select("source_kind", "source", F.col("field").alias("field_name"), "measure", "length", "n", "n_open", "max_tokens")
+
+
 def truncation_rates(table: DataFrame, lost: DataFrame, fields: list[str], source: str) -> DataFrame:
     """``source, field_name, n_values, n_lost, rate`` per value of one source column."""
     texts = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields))
@@ -116,11 +154,3 @@ def truncation_rates(table: DataFrame, lost: DataFrame, fields: list[str], sourc
     k = lost.groupBy(F.col(source).cast("string").alias("l_source"), F.col("field_name").alias("l_field")).agg(F.count(F.lit(1)).alias("n_lost"))
     j = n.join(k, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("field_name") == F.col("l_field")), "left")
     return j.select(F.lit(source).alias("source_kind"), "source", "field_name", "n_values", F.coalesce("n_lost", F.lit(0)).alias("n_lost"), F.round(F.coalesce("n_lost", F.lit(0)) / F.col("n_values"), 6).alias("rate"))
-
-
-def with_limits(enrichments: DataFrame, configs: DataFrame) -> DataFrame:
-    """Enrichments with the token limit of their configuration."""
-    c = configs.select(F.col("config_id").alias("c_id"), "max_tokens")
-    return enrichments.join(c, F.col("config_id") == F.col("c_id"), "left").drop("c_id")
-
-
