@@ -12,21 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.kernels import next_route, normalize_route
-from codeloom.session import spread
+from codeloom.session import materialize, spread
 
 #: Languages by extension, folders that are not scanned, the greatest file.
 LANGUAGES = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "java": "java", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "kt": "kotlin", "swift": "swift", "cshtml": "razor"}
 SKIPPED = r"(?:^|/)(?:obj|bin|node_modules|packages)/"
 MOST_BYTES = 2_000_000
 TODO = r"^\s*(?://|/\*|#|--|<!--|;|\*+)\s*(TODO|FIXME|HACK|XXX)(?![\p{L}\p{N}_])[:(\s]*(.*)$"
-#: Patterns of route declarations and of environment variables.
-EXPRESS = r"\b(?:app|router|api)\b\s*\.\s*(get|post|put|delete|patch|options|head|all)\s*\(\s*['\"`]([^'\"`]+)['\"`]"
-PYTHON_ROUTE = r"^\s*@\s*(?:app|router|api|blueprint|bp)\s*\.\s*(get|post|put|delete|patch|route|head|options)\s*\(\s*['\"]([^'\"]+)['\"]"
-SPRING = r"@\s*(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|RequestMapping)\s*\((?:[^)]*?\bvalue\s*=\s*)?\s*['\"]([^'\"]+)['\"]"
-ENV_READ = r"(?:process\.env\.|process\.env\[\s*['\"]|os\.getenv\(\s*['\"]|os\.environ\[\s*['\"]|(?:Environment\.GetEnvironmentVariable|Configuration)\s*(?:\(\s*|\[\s*)['\"]|System\.getenv\(\s*['\"])([A-Za-z_][\w:.-]*)"
-ENV_SET = r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*="
+#: Objects and methods that declare routes in Node.js and Python web frameworks, and Spring's annotations.
+ROUTERS = {"express": ("app", "router", "api"), "python": ("app", "router", "api", "blueprint", "bp")}
+VERBS = {"express": ("get", "post", "put", "delete", "patch", "options", "head", "all"), "python": ("get", "post", "put", "delete", "patch", "options", "head", "route")}
+MAPPINGS = ("GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping", "RequestMapping")
+#: What reads an environment variable by a quoted name, and what also has variables as members.
+ENV_READERS = ("process.env", "os.getenv", "os.environ", "Environment.GetEnvironmentVariable", "Configuration", "System.getenv")
+ENV_MEMBERS = ("process.env",)
+#: Folders of build output and dependencies, which the inventories leave out.
+NO_CONFIG = ("node_modules", "target", "dist", "build", "vendor")
+#: A dotted callee and, group 2, the text that is its first argument or its argument ``value``.
+CALL_WITH_TEXT = r"""(@?\s*[\w$]+(?:\s*\.\s*[\w$]+)*)\s*\((?:[^()"'`]*\bvalue\s*=)?\s*["'`]([^"'`]+)["'`]"""
 CHUNK_BYTES = 6000
-TIERS = (("same_file", 1.0), ("named_import", 0.95), ("import_scoped", 0.8), ("package_scoped", 0.7), ("global", 0.5))
+TIERS = (("field_type", 0.85), ("static_class", 0.8), ("same_file", 1.0), ("named_import", 0.95), ("import_scoped", 0.8), ("package_scoped", 0.7), ("global", 0.5))
 
 
 def language(path: Column) -> Column:
@@ -42,6 +47,20 @@ def scan(files: DataFrame) -> DataFrame:
     return f.where(F.col("language").isNotNull() & ~F.col("path").rlike(SKIPPED) & (F.col("size") <= MOST_BYTES))
 
 
+def byte_chunks(files: DataFrame, most: int = 20_000_000) -> DataFrame:
+    """``files`` with ``chunk``: files in the order of their paths fill chunks of about ``most`` bytes of ``size``.
+
+    Ranges of paths are summed first, so the running total needs one small window over the ranges and one within each.
+    """
+    n = files.sparkSession.sparkContext.defaultParallelism * 4
+    r = files.repartitionByRange(n, "path").withColumn("_range", F.spark_partition_id())
+    r = materialize(r)
+    sums = r.groupBy("_range").agg(F.sum("size").alias("_bytes"))
+    before = sums.select(F.col("_range").alias("_r"), (F.sum("_bytes").over(Window.orderBy("_range")) - F.col("_bytes")).alias("_before"))  # at most n rows
+    inside = F.sum("size").over(Window.partitionBy("_range").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    return r.withColumn("_inside", inside).join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn("chunk", F.floor((F.col("_before") + F.col("_inside")) / most)).drop("_range", "_r", "_before", "_inside")
+
+
 def structure(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """File and Folder nodes of ``path`` and the CONTAINS edges between them."""
     parts = paths.select("path", F.split("path", "/").alias("p")).distinct()
@@ -62,10 +81,16 @@ def file_slice(files: DataFrame, path: str, start: int, end: int) -> DataFrame:
     return lines(files.where(F.col("file_path") == path)).where(F.col("line").between(start, end))
 
 
+def bytes_head(text: Column, n: int) -> Column:
+    """The longest beginning of a text that takes at most n bytes."""
+    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+
+
 def todos(files: DataFrame) -> DataFrame:
     """``file_path, line, kind, text``: markers behind a comment start, one a line, text up to 500 bytes."""
     t = lines(files).where(F.col("text").rlike(TODO))
-    return t.select("file_path", "line", F.regexp_extract("text", TODO, 1).alias("kind"), F.rtrim(F.substring(F.regexp_extract("text", TODO, 2), 1, 500)).alias("text"))
+    return t.select("file_path", "line", F.regexp_extract("text", TODO, 1).alias("kind"), F.rtrim(bytes_head(F.regexp_extract("text", TODO, 2), 500)).alias("text"))
 
 
 def todo_order(df: DataFrame) -> DataFrame:
@@ -76,14 +101,16 @@ def todo_order(df: DataFrame) -> DataFrame:
 def endpoints(files: DataFrame) -> DataFrame:
     """``framework, http_method, route, file_path, line``; the first of a method and route counts."""
     t = lines(files)
-
-    def found(pattern: str, name: str, ext: str) -> DataFrame:
-        m = t.where(F.col("file_path").rlike(rf"\.(?:{ext})$") & F.col("text").rlike(pattern))
-        return m.select(F.lit(name).alias("framework"), F.regexp_extract("text", pattern, 1).alias("verb"), F.regexp_extract("text", pattern, 2).alias("route"), "file_path", "line", "text")
-
-    web = found(EXPRESS, "express", "[cm]?[jt]sx?").unionByName(found(PYTHON_ROUTE, "python", "py")).unionByName(found(SPRING, "spring", "java|kt"))
-    verb = F.upper(F.regexp_replace("verb", "Mapping$", ""))
-    method = F.when(verb == "REQUEST", F.coalesce(F.nullif(F.regexp_extract("text", r"RequestMethod\.(\w+)", 1), F.lit("")), F.lit("GET"))).when(verb == "ROUTE", "GET").otherwise(verb)
+    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(CALL_WITH_TEXT), F.lit(1)).alias("callee"), F.regexp_extract_all("text", F.lit(CALL_WITH_TEXT), F.lit(2)).alias("route"))
+    calls = t.select("file_path", "line", "text", F.explode(both).alias("c")).select("file_path", "line", "text", F.regexp_replace("c.callee", r"\s", "").alias("callee"), "c.route")
+    marked, parts = F.col("callee").startswith("@"), F.split(F.regexp_replace("callee", "^@", ""), r"\.")
+    calls = calls.withColumn("name", F.element_at(parts, -1)).withColumn("owner", F.when(F.size(parts) > 1, F.element_at(parts, -2)))
+    ext = F.lower(F.regexp_extract("file_path", r"\.(\w+)$", 1))
+    routed = lambda kind: F.col("owner").isin(*ROUTERS[kind]) & F.col("name").isin(*VERBS[kind])
+    framework = F.when(ext.rlike("^[cm]?[jt]sx?$") & ~marked & routed("express"), "express").when((ext == "py") & marked & F.ltrim("text").startswith("@") & routed("python"), "python").when(ext.isin("java", "kt") & marked & F.col("name").isin(*MAPPINGS), "spring")
+    web = calls.withColumn("framework", framework).where("framework is not null").withColumn("verb", F.upper(F.regexp_replace("name", "Mapping$", "")))
+    stated = F.nullif(F.regexp_extract("text", r"RequestMethod\.(\w+)", 1), F.lit(""))
+    method = F.when(F.col("verb") == "REQUEST", F.coalesce(stated, F.lit("GET"))).when(F.col("verb") == "ROUTE", "GET").otherwise(F.col("verb"))
     web = web.select("framework", method.alias("http_method"), normalize_route(F.col("route")).alias("route"), "file_path", "line")
     app = t.where(F.col("file_path").rlike(r"(?:^|/)app/(?:.*/)?route\.[jt]sx?$") & F.col("text").rlike(r"^\s*export\s+(?:async\s+)?function\s+(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b"))
     app = app.select(F.lit("next").alias("framework"), F.regexp_extract("text", r"function\s+(\w+)", 1).alias("http_method"), next_route(F.col("file_path")).alias("route"), "file_path", "line")
@@ -97,11 +124,27 @@ def filter_endpoints(e: DataFrame, method: str | None = None, route: str | None
 
 
 def env_inventory(files: DataFrame) -> DataFrame:
-    """``name, declared_in, line, used_in_count, unused, undeclared``: the first declaration of a name counts."""
-    t = lines(files)
-    decl = t.where(F.col("file_path").rlike(r"(?:^|/)\.env[^/]*$") & F.col("text").rlike(ENV_SET)).select(F.regexp_extract("text", ENV_SET, 1).alias("name"), F.struct("file_path", "line").alias("at"))
-    decl = decl.groupBy("name").agg(F.min("at").alias("at"))
-    used = t.select("file_path", F.explode(F.regexp_extract_all("text", F.lit(ENV_READ), F.lit(1))).alias("name")).groupBy("name").agg(F.countDistinct("file_path").alias("used_in_count"))
+    """``name, declared_in, line, used_in_count, unused, undeclared``: the first declaration of a name counts.
+
+    Declared are keys of .env files and config.toml (upper case), of properties files, the top level of application
+    YAML files and the quoted keys that begin a line of appsettings JSON; used are names that the readers of other
+    files ask for. ``used_in_count`` counts places.
+    """
+    folders = rf"(?i)(?:^|/)(?:{'|'.join(NO_CONFIG)})/"
+    t = lines(files.where(~F.col("file_path").rlike(folders))).withColumn("file", F.lower(F.substring_index("file_path", "/", -1)))
+    file, text = F.col("file"), F.col("text")
+    kind = F.when((file == ".env") | file.startswith(".env."), "env").when(file.startswith("appsettings") & file.endswith(".json"), "json").when(file.endswith(".properties"), "properties")
+    t = t.withColumn("kind", kind.when(file.isin("application.yml", "application.yaml"), "yaml").when(file.endswith("config.toml"), "env").otherwise("source"))
+    left = F.trim(F.regexp_replace(F.substring_index("text", "=", 1), r"^\s*export\s+", ""))
+    key = F.when((F.col("kind") == "env") & text.contains("=") & left.rlike("^[A-Z][A-Z0-9_]*$"), left)
+    key = key.when((F.col("kind") == "properties") & text.contains("=") & left.rlike(r"^[A-Za-z][\w.-]*$"), left)
+    key = key.when((F.col("kind") == "yaml") & text.contains(":") & text.rlike(r"^[A-Za-z][\w-]*\s*:"), F.trim(F.substring_index("text", ":", 1)))
+    key = key.when((F.col("kind") == "json") & F.ltrim("text").startswith('"'), F.nullif(F.substring_index(F.substring_index("text", '"', 2), '"', -1), F.lit("")))
+    decl = t.where("kind <> 'source'").select(key.alias("name"), F.struct("file_path", "line").alias("at")).where("name is not null").groupBy("name").agg(F.min("at").alias("at"))
+    quoted = rf"""(?:{'|'.join(map(re.escape, ENV_READERS))})\s*[(\[]\s*["']([^"']+)["']"""
+    member = rf"(?:{'|'.join(map(re.escape, ENV_MEMBERS))})\.([A-Z][A-Z0-9_]*)"
+    names = F.concat(*(F.regexp_extract_all("text", F.lit(rx), F.lit(1)) for rx in (quoted, member)))
+    used = t.where("kind = 'source'").select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("used_in_count"))
     j = decl.join(used, "name", "full_outer")
     return j.select("name", F.col("at.file_path").alias("declared_in"), F.col("at.line").alias("line"), F.coalesce("used_in_count", F.lit(0)).alias("used_in_count"), F.col("used_in_count").isNull().alias("unused"), F.col("at").isNull().alias("undeclared"))
 
@@ -141,15 +184,54 @@ def parse_ddl(text: str) -> list[tuple]:
     return out
 
 
+def parse_prisma(text: str) -> list[tuple]:
+    """Columns of the models of a Prisma schema, in the form of :func:`parse_ddl`; fields of a model's type are links."""
+    out, name, models = [], None, set(re.findall(r"(?m)^\s*model\s+(\w+)", text or ""))
+    for raw in (text or "").splitlines():
+        words = raw.split("//")[0].split()
+        if name is None and len(words) > 1 and words[0] == "model":
+            name = words[1].rstrip("{")
+        elif words and words[0] == "}":
+            name = None
+        elif name and len(words) > 1 and not words[0].startswith("@"):
+            kind = words[1].rstrip("?").removesuffix("[]")
+            out.append((name, words[0], kind, "@id" in words, words[1].endswith("?"), kind if kind in models else None))
+    return out
+
+
 def _ddl(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(p, *r) for p, c in zip(pdf["file_path"], pdf["content"]) for r in parse_ddl(c)]
+        rows = [(p, *r) for p, c in zip(pdf["file_path"], pdf["content"]) for r in (parse_prisma if str(p).endswith(".prisma") else parse_ddl)(c)]
         yield pd.DataFrame(rows, columns=["file_path", "table_name", "column_name", "column_type", "is_primary_key", "is_nullable", "references_table"])
 
 
 def db_columns(files: DataFrame) -> DataFrame:
-    """Columns of every CREATE TABLE statement in the files."""
-    return files.select("file_path", "content").where(F.col("content").rlike(r"(?i)create\s+table")).mapInPandas(_ddl, "file_path string, table_name string, column_name string, column_type string, is_primary_key boolean, is_nullable boolean, references_table string")
+    """Columns of every CREATE TABLE statement in the files and of every model of Prisma schemas."""
+    schema = "file_path string, table_name string, column_name string, column_type string, is_primary_key boolean, is_nullable boolean, references_table string"
+    has = F.col("content").rlike(r"(?i)create\s+table") | (F.col("file_path").endswith(".prisma") & F.col("content").contains("model"))
+    return files.select("file_path", "content").where(has).mapInPandas(_ddl, schema)
+
+
+def mapped_classes(files: DataFrame) -> DataFrame:
+    """``file_path, class_name, table_name``: classes that an object-relational mapper ties to a table.
+
+    Python classes with a base Base, db.Model or declarative_base(), by their ``__tablename__`` or, without one, their
+    name; TypeScript and JavaScript classes behind ``@Entity``, by its text or their name. The lines of a file are
+    looked at in order: a table name belongs to the last class before it, an annotation to the next class.
+    """
+    t = lines(files.where(F.col("file_path").rlike(r"(?i)\.(?:py|ts|tsx|js)$")))
+    text, py = F.col("text"), F.col("file_path").rlike(r"(?i)\.py$")
+    head = F.regexp_extract("text", r"^\s*class\s+(\w+)\s*\(\s*(?:Base\b|db\.Model\b|declarative_base\()", 1)
+    plain = F.regexp_extract("text", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)", 1)
+    t = t.withColumn("cls", F.nullif(F.when(py, head).otherwise(plain), F.lit(""))).withColumn("other", py & text.rlike(r"^\s*class\s") & (head == ""))
+    t = t.withColumn("own", F.when(py & text.contains("__tablename__"), F.nullif(F.regexp_extract("text", r"""=\s*["']([^"']+)""", 1), F.lit(""))))
+    t = t.withColumn("mark", F.when(~py & F.ltrim("text").startswith("@Entity"), F.struct("line", F.regexp_extract("text", r"""["'`]([^"'`]+)""", 1).alias("name"))))
+    t = t.where("cls is not null or other or own is not null or mark is not null")
+    before = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("k", F.sum(F.when(F.col("cls").isNotNull() | F.col("other"), 1).otherwise(0)).over(before)).withColumn("entity", F.last("mark", ignorenulls=True).over(before)).withColumn("prior", F.lag("mark").over(Window.partitionBy("file_path").orderBy("line")))
+    found = t.groupBy("file_path", "k").agg(F.min("cls").alias("class_name"), F.min_by("own", F.when(F.col("own").isNotNull(), F.col("line"))).alias("own"), F.max_by("prior", F.when(F.col("cls").isNotNull(), F.col("line"))).alias("prior"), F.bool_or(py).alias("py"))
+    found = found.where("class_name is not null and (py or prior is not null)")
+    return found.select("file_path", "class_name", F.coalesce("own", F.nullif("prior.name", F.lit("")), "class_name").alias("table_name"))
 
 
 def db_tables(columns: DataFrame) -> DataFrame:
@@ -216,52 +298,115 @@ def chunks(docs: DataFrame) -> DataFrame:
 def mentions(chunk: DataFrame, nodes: DataFrame) -> DataFrame:
     """``source_path, chunk_index, id``: symbols that a chunk names as a whole word, of names of 5 letters and more.
 
-    Chunks are cut into words, which join the names; no text is searched for every name.
+    Chunks are cut into words, which join the names; a name of several words meets the chunks through its longest word
+    and is then looked for as a whole. No text is searched for every name.
     """
-    w = chunk.select("source_path", "chunk_index", F.explode(F.array_distinct(F.split("content", r"[^\p{L}\p{N}_]+"))).alias("name"))
-    n = nodes.where(F.col("label").isin("Class", "Method", "Function", "Interface", "Struct", "Controller", "Service") & (F.length("name") >= 5) & F.col("name").rlike(r"^[\p{L}\p{N}_]+$"))
-    return w.join(n.select("id", "name"), "name").select("source_path", "chunk_index", "id").distinct()
+    parts = lambda c: F.split(c, r"[^\p{L}\p{N}_]+")
+    w = chunk.select("source_path", "chunk_index", F.explode(F.array_distinct(parts("content"))).alias("word"))
+    n = nodes.where(F.col("label").isin("Class", "Method", "Function", "Interface", "Struct", "Controller", "Service") & (F.length("name") >= 5)).select("id", "name")
+    single = F.col("name").rlike(r"^[\p{L}\p{N}_]+$")
+    plain = w.join(n.where(single).withColumnRenamed("name", "word"), "word").select("source_path", "chunk_index", "id")
+    longest = F.element_at(F.array_sort(F.transform(parts("name"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1)["x"]
+    many = n.where(~single).withColumn("word", longest).where("word <> ''")
+    j = w.join(many, "word").join(chunk.select("source_path", "chunk_index", "content"), ["source_path", "chunk_index"])
+    bound = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    return plain.unionByName(j.where(F.rlike("content", bound)).select("source_path", "chunk_index", "id")).distinct()
+
+
+SHORT_WORDS = 50
+
+
+def short_sections(text: str) -> list[int]:
+    """Lines of first and second level headings whose section, up to the next one of no lower rank, has few words."""
+    rows = (text or "").splitlines()
+    level = [len(m[1]) if (m := re.match(r"\s*(#+) ", r)) else 0 for r in rows]
+    out, i = [], 0
+    while i < len(rows):
+        if level[i] not in (1, 2):
+            i += 1
+            continue
+        end, words, code = i + 1, 0, False
+        while end < len(rows):
+            fence = rows[end].lstrip().startswith("```")
+            code ^= fence
+            if not code and not fence and 0 < level[end] <= level[i]:
+                break
+            words += 0 if fence or rows[end].lstrip().startswith("|") else len(rows[end].split())
+            end += 1
+        if words < SHORT_WORDS and rows[i].strip("# \t"):
+            out.append(i + 1)
+        i = end
+    return out
+
+
+def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(p, n) for p, t in zip(pdf["source_path"], pdf["content"]) for n in short_sections(t)], columns=["file_path", "line"])
 
 
 def lint(docs: DataFrame) -> DataFrame:
-    """``source_path, severity, kind, line``: leftover markers, unfilled anchors, broken links between documents."""
+    """``source_path, severity, kind, line``: leftover markers, unfilled anchors, links to documents that are not there,
+    short sections, and pages of services and controllers that say nothing of algorithms (line null)."""
+    docs = docs.select("source_path", "content")
     t = lines(docs.withColumnRenamed("source_path", "file_path"))
     todo = t.where(F.col("text").rlike("TODO|TBD|FIXME|XXX") & ~F.col("text").rlike(r"^\s*```")).select("file_path", F.lit("RED").alias("severity"), F.lit("residual_todo").alias("kind"), "line")
     anchor = t.where(F.col("text").rlike(r"<!-- [A-Z]+:.*-->")).select("file_path", F.lit("RED").alias("severity"), F.lit("unfilled_anchor").alias("kind"), "line")
     links = t.select("file_path", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\]\((?!https?:|#|mailto:)([^)#\s]+\.md)"), F.lit(1))).alias("to"))
     links = links.withColumn("target", F.concat(F.regexp_extract("file_path", r"^(.*/)?[^/]*$", 1), F.regexp_replace("to", r"^\./", "")))
-    broken = links.join(docs.select(F.col("source_path").alias("target")), "target", "left_anti").select("file_path", F.lit("YELLOW").alias("severity"), F.lit("broken_link").alias("kind"), "line")
-    return todo.unionByName(anchor).unionByName(broken).withColumnRenamed("file_path", "source_path")
+    broken = links.join(docs.select(F.col("source_path").alias("target")), "target", "left_anti").select("file_path", F.lit("RED").alias("severity"), F.lit("broken_link").alias("kind"), "line")
+    short = docs.mapInPandas(_short, "file_path string, line long").select("file_path", F.lit("YELLOW").alias("severity"), F.lit("short_section").alias("kind"), "line")
+    low = F.lower("content")
+    name = F.lower(F.regexp_replace(F.substring_index("source_path", "/", -1), r"\.[^.]*$", ""))
+    bare = docs.where((name.contains("service") | name.contains("controller")) & ~low.contains("§4") & ~low.contains("section 4") & ~low.contains("algorithm"))
+    bare = bare.select(F.col("source_path").alias("file_path"), F.lit("YELLOW").alias("severity"), F.lit("missing_section").alias("kind"), F.lit(None).cast("long").alias("line"))
+    return todo.unionByName(anchor).unionByName(broken).unionByName(short).unionByName(bare).withColumnRenamed("file_path", "source_path")
 
 
-def resolve(calls: DataFrame, symbols: DataFrame, named: DataFrame, imports: DataFrame, packages: DataFrame) -> DataFrame:
-    """``call_id, target_id, tier, confidence``: the first tier that has a candidate wins; within it exported and
+def resolve(calls: DataFrame, symbols: DataFrame, named: DataFrame, imports: DataFrame, packages: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """``call_id, target_id, tier, confidence``: the first tier that has a candidate wins; within it candidates of
     matching arity first, then the least id.
 
-    ``calls``: call_id, file, name, n_args. ``symbols``: id, file, name, is_exported, required, params. ``named``: file,
-    name, source_file, source_name. ``imports``: file, imported. ``packages``: file, package. Five equi-joins and one
-    choice per call; each candidate of the last tier is a symbol of that name.
+    ``calls``: call_id, file, name, n_args and, for calls on an object, receiver. ``symbols``: id, file, name,
+    is_exported, required, params and, for members, owner. ``named``: file, name, source_file, source_name.
+    ``imports``: file, imported. ``packages``: file, package. ``fields``: file, field, type. In C# files the type of a
+    field (without its I) and then a receiver that is a class come first: the symbol must belong to that type or lie in
+    a file named after it. Equi-joins and one choice per call; each candidate of the last tier is a symbol of that name.
+    A null n_args fits any symbol.
     """
-    s = symbols.select(F.col("id").alias("target_id"), F.col("file").alias("s_file"), F.col("name").alias("s_name"), "is_exported", "required", "params")
-    c = calls.select("call_id", "file", "name", "n_args")
+    owner = F.col("owner") if "owner" in symbols.columns else F.lit(None).cast("string")
+    s = symbols.select(F.col("id").alias("target_id"), F.col("file").alias("s_file"), F.col("name").alias("s_name"), "is_exported", "required", "params", owner.alias("s_owner"))
+    c = calls.select("call_id", "file", "name", "n_args", (F.col("receiver") if "receiver" in calls.columns else F.lit(None).cast("string")).alias("receiver"))
     out = ["call_id", "target_id", "n_args", "required", "params"]
 
-    def tier(df: DataFrame, k: int) -> DataFrame:
-        return df.select(*out, F.lit(k).alias("k"))
-
-    same = tier(c.join(s, (F.col("file") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), 0)
+    def tier(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*out, F.lit([t for t, _ in TIERS].index(name)).alias("k"))
+
+    of_type = F.coalesce(F.col("s_owner").contains(F.col("type")), F.lit(False)) | F.col("s_file").contains(F.col("type"))
+    on = c.where(F.col("receiver").isNotNull() & F.col("file").endswith(".cs"))
+    found = []
+    if fields is not None:
+        f = fields.select(F.col("file").alias("f_file"), F.col("field").alias("f_field"), F.regexp_replace("type", "^I(?=[A-Z])", "").alias("type"))
+        typed = on.join(f, (F.col("file") == F.col("f_file")) & (F.col("receiver") == F.col("f_field")))
+        found.append(tier(typed.join(s, F.col("name") == F.col("s_name")).where(of_type), "field_type"))
+    classes = symbols.where("kind = 'type'").select(F.col("name").alias("type")).distinct() if "kind" in symbols.columns else None
+    if classes is not None:
+        static = on.join(classes, F.col("receiver") == F.col("type")).join(s, F.col("name") == F.col("s_name")).where(of_type)
+        found.append(tier(static, "static_class"))
+    same = tier(c.join(s, (F.col("file") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), "same_file")
     n = named.select(F.col("file").alias("n_file"), F.col("name").alias("n_name"), "source_file", "source_name")
-    by_name = tier(c.join(n, (F.col("file") == F.col("n_file")) & (F.col("name") == F.col("n_name"))).join(s, (F.col("source_file") == F.col("s_file")) & (F.col("source_name") == F.col("s_name"))), 1)
+    by_name = tier(c.join(n, (F.col("file") == F.col("n_file")) & (F.col("name") == F.col("n_name"))).join(s, (F.col("source_file") == F.col("s_file")) & (F.col("source_name") == F.col("s_name"))), "named_import")
     exported = s.where("is_exported")
     i = imports.select(F.col("file").alias("i_file"), "imported")
-    scoped = tier(c.join(i, F.col("file") == F.col("i_file")).join(exported, (F.col("imported") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), 2)
+    scoped = tier(c.join(i, F.col("file") == F.col("i_file")).join(exported, (F.col("imported") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), "import_scoped")
     p = packages.select(F.col("file").alias("p_file"), "package")
     within = (F.col("s_file") == F.col("package")) | F.col("s_file").startswith(F.concat("package", F.lit("/"))) | F.col("s_file").contains(F.concat(F.lit("/"), F.col("package"), F.lit("/")))
-    package = tier(c.join(p, F.col("file") == F.col("p_file")).join(exported, F.col("name") == F.col("s_name")).where(within), 3)
-    global_ = tier(c.join(exported, F.col("name") == F.col("s_name")), 4)
+    package = tier(c.join(p, F.col("file") == F.col("p_file")).join(exported, F.col("name") == F.col("s_name")).where(within), "package_scoped")
+    global_ = tier(c.join(exported, F.col("name") == F.col("s_name")), "global")
     all_ = same.unionByName(by_name).unionByName(scoped).unionByName(package).unionByName(global_)
-    misfit = F.when(F.col("n_args").between(F.coalesce("required", F.lit(0)), F.coalesce("params", F.lit(1 << 30))), 0).otherwise(1)
-    best = all_.groupBy("call_id").agg(F.min(F.struct("k", misfit.alias("m"), "target_id")).alias("b"))
+    for more in found:
+        all_ = all_.unionByName(more)
+    fits = F.col("n_args").isNull() | F.col("n_args").between(F.coalesce("required", F.lit(0)), F.coalesce("params", F.lit(1 << 30)))
+    best = all_.groupBy("call_id").agg(F.min(F.struct("k", F.when(fits, 0).otherwise(1).alias("m"), "target_id")).alias("b"))
     name, conf = F.element_at(F.array(*[F.lit(t) for t, _ in TIERS]), F.col("b.k") + 1), F.element_at(F.array(*[F.lit(x) for _, x in TIERS]), F.col("b.k") + 1)
     return best.select("call_id", "b.target_id", name.alias("tier"), conf.alias("confidence"))
 
@@ -269,7 +414,7 @@ def resolve(calls: DataFrame, symbols: DataFrame, named: DataFrame, imports: Dat
 # extraction: Python by its own grammar, other languages by declarations, with less fidelity
 
 _DECL = {
-    "class": re.compile(r"^\s*(?:(?:export|public|private|protected|internal|abstract|final|static|sealed|partial|default)\s+)*(class|interface|struct|enum|trait|record)\s+([A-Za-z_]\w*)(?:[^\n{;]*?(?:\bextends\s+|:\s*|<\s*)([A-Za-z_][\w.]*))?"),
+    "class": re.compile(r"^\s*(?:(?:export|public|private|protected|internal|abstract|final|static|sealed|partial|default)\s+)*(class|interface|struct|enum|trait|record)\s+([A-Za-z_]\w*)([^\n{;]*)"),
     "func": re.compile(r"^\s*(?:(?:export|public|private|protected|internal|static|async|final|override|virtual|default|pub)\s+)*(?:function|func|fn|def)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)"),
     "method": re.compile(r"^\s+(?:(?:public|private|protected|internal|static|async|final|override|virtual|abstract|synchronized)\s+)*(?:[A-Za-z_][\w<>\[\],.? ]*\s+)?([A-Za-z_]\w*)\s*\(([^)]*)\)\s*(?:throws [\w, ]+)?(?::\s*[\w<>\[\]| ]+)?\s*\{?\s*$"),
 }
@@ -277,8 +422,26 @@ _NOT_NAMES = frozenset("if for while switch catch return foreach new throw else
 _BRANCH = re.compile(r"\b(?:if|for|while|case|catch|elif|elsif|unless|when|foreach)\b|&&|\|\||\?(?![.?:])|\band\b|\bor\b")
 
 
+def supertypes(rest: str, lang: str) -> tuple[list[str], list[str]]:
+    """(bases, interfaces) that the head of a declaration names behind the type's own name.
+
+    Where the language has no word of its own for interfaces, names like IName are such.
+    """
+    rest = re.sub(r"\bwhere\b.*$", "", rest)
+    while (flat := re.sub(r"<[^<>]*>|\([^()]*\)", "", rest)) != rest:
+        rest = flat
+    names = lambda text: [n for x in text.split(",") if (n := re.split(r"[.\\]|::", x.strip().split(" ")[0])[-1]) and re.fullmatch(r"\w+", n)]
+    if re.search(r"\b(?:extends|implements)\b", rest):
+        parts = re.split(r"\b(extends|implements)\b", rest)
+        named = dict(zip(parts[1::2], parts[2::2]))
+        return names(named.get("extends", "")), names(named.get("implements", ""))
+    mark = "<" if lang == "ruby" else ":"
+    every = names(rest.split(mark, 1)[1]) if mark in rest else []
+    return [n for n in every if not re.match(r"I[A-Z]", n)], [n for n in every if re.match(r"I[A-Z]", n)]
+
+
 def symbols_of(path: str, content: str, lang: str) -> list[tuple]:
-    """(label, name, owner, start, end, parameters, complexity, parent) of one file."""
+    """(label, name, owner, start, end, parameters, complexity, bases, interfaces) of one file."""
     out: list[tuple] = []
     if lang == "python":
         try:
@@ -289,13 +452,13 @@ def symbols_of(path: str, content: str, lang: str) -> list[tuple]:
         def visit(node: ast.AST, owner: str | None) -> None:
             for n in ast.iter_child_nodes(node):
                 if isinstance(n, ast.ClassDef):
-                    base = next((b.id if isinstance(b, ast.Name) else b.attr for b in n.bases if isinstance(b, (ast.Name, ast.Attribute))), None)
-                    out.append(("Class", n.name, owner, n.lineno, n.end_lineno, None, None, base))
+                    bases = [b.id if isinstance(b, ast.Name) else b.attr for b in n.bases if isinstance(b, (ast.Name, ast.Attribute))]
+                    out.append(("Class", n.name, owner, n.lineno, n.end_lineno, None, None, bases, []))
                     visit(n, n.name)
                 elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     c = 1 + sum(isinstance(x, (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)) for x in ast.walk(n)) + sum(len(x.values) - 1 for x in ast.walk(n) if isinstance(x, ast.BoolOp))
                     args = len(n.args.args) + len(n.args.kwonlyargs) - (1 if owner and n.args.args and n.args.args[0].arg in ("self", "cls") else 0)
-                    out.append(("Method" if owner else "Function", n.name, owner, n.lineno, n.end_lineno, args, c, None))
+                    out.append(("Method" if owner else "Function", n.name, owner, n.lineno, n.end_lineno, args, c, [], []))
                     visit(n, None)
                 else:
                     visit(n, owner)
@@ -308,20 +471,20 @@ def symbols_of(path: str, content: str, lang: str) -> list[tuple]:
     for i, line in enumerate(rows, 1):
         if m := _DECL["class"].match(line):
             owner = m[2]
-            marks.append([{"interface": "Interface", "struct": "Struct", "enum": "Enum", "trait": "Trait"}.get(m[1], "Class"), m[2], None, i, None, m[3]])
+            marks.append([{"interface": "Interface", "struct": "Struct", "enum": "Enum", "trait": "Trait"}.get(m[1], "Class"), m[2], None, i, None, *supertypes(m[3], lang)])
         elif (m := _DECL["func"].match(line)) or (owner and (m := _DECL["method"].match(line))):
             if m[1] not in _NOT_NAMES:
-                marks.append(["Method" if owner and line[:1] in " \t" else "Function", m[1], owner if line[:1] in " \t" else None, i, len([a for a in m[2].split(",") if a.strip()]), None])
-    for k, (label, name, own, start, params, parent) in enumerate(marks):
+                marks.append(["Method" if owner and line[:1] in " \t" else "Function", m[1], owner if line[:1] in " \t" else None, i, len([a for a in m[2].split(",") if a.strip()]), [], []])
+    for k, (label, name, own, start, params, bases, interfaces) in enumerate(marks):
         later = [m[3] for m in marks[k + 1 :] if label in ("Method", "Function") or m[0] not in ("Method", "Function")]
         end = (later[0] - 1) if later else len(rows)
         c = 1 + len(_BRANCH.findall("\n".join(rows[start:end]))) if label in ("Method", "Function") else None
-        out.append((label, name, own, start, end, params, c, parent))
+        out.append((label, name, own, start, end, params, c, bases, interfaces))
     return out
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["file_path", "language", "label", "name", "owner", "start_line", "end_line", "parameter_count", "complexity", "parent"]
+    cols = ["file_path", "language", "label", "name", "owner", "start_line", "end_line", "parameter_count", "complexity", "bases", "interfaces"]
     for pdf in batches:
         rows = [(p, g, *s) for p, c, g in zip(pdf["path"], pdf["content"], pdf["language"]) for s in symbols_of(p, c or "", g)]
         out = pd.DataFrame(rows, columns=cols)
@@ -333,12 +496,12 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract(files: DataFrame) -> DataFrame:
     """Declarations of the scanned files (``path, content, language``), one row each."""
     return spread(files.select("path", "content", "language")).mapInPandas(
-        _extract, "file_path string, language string, label string, name string, owner string, start_line long, end_line long, parameter_count long, complexity long, parent string"
+        _extract, "file_path string, language string, label string, name string, owner string, start_line long, end_line long, parameter_count long, complexity long, bases array<string>, interfaces array<string>"
     )
 
 
 def graph_tables(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and DEFINES, HAS_METHOD and EXTENDS edges of extracted declarations."""
+    """Nodes and DEFINES, HAS_METHOD, EXTENDS and IMPLEMENTS edges of extracted declarations."""
     sid = F.concat_ws(":", "label", "file_path", "name")
     s = symbols.withColumn("id", sid)
     nodes = s.groupBy("id").agg(F.min(F.struct("label", "name", "file_path", "language", "start_line", "end_line", "parameter_count", "complexity")).alias("r")).select("id", "r.*")
@@ -347,8 +510,8 @@ def graph_tables(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     types = s.where(~F.col("label").isin("Method", "Function")).select(F.col("id").alias("o_id"), F.col("file_path").alias("o_file"), F.col("name").alias("o_name"))
     own = edge(s.where("owner is not null").join(types, (F.col("file_path") == F.col("o_file")) & (F.col("owner") == F.col("o_name"))), F.col("o_id"), F.col("id"), "HAS_METHOD")
     base = types.groupBy("o_name").agg(F.min("o_id").alias("b_id")).withColumnRenamed("o_name", "b_name")
-    ext = edge(s.where("parent is not null").join(base, F.col("parent") == F.col("b_name")), F.col("id"), F.col("b_id"), "EXTENDS")
-    return nodes, defines.unionByName(own).unionByName(ext)
+    up = lambda column, kind: edge(s.select("id", F.explode(column).alias("parent")).join(base, F.col("parent") == F.col("b_name")), F.col("id"), F.col("b_id"), kind)
+    return nodes, defines.unionByName(own).unionByName(up("bases", "EXTENDS")).unionByName(up("interfaces", "IMPLEMENTS"))
 
 
 # execution traces
@@ -380,13 +543,20 @@ def parse_trace(text: str) -> list[str]:
 
 
 #: Class endings that a structured log line names.
-_LOG_CLASS = r"(?:^|[\s|:])([A-Z]\w+(?:Service|Controller|Repository|Manager|Helper|Provider|Factory|Client|Handler|Processor)\.\w+)"
-_LOG_PLAIN = r"([A-Z]\w{2,}\.[A-Z]\w+)\s*(?:\(|[\s|]|\d+ms)"
+LOG_CLASSES = ("Service", "Controller", "Repository", "Manager", "Helper", "Provider", "Factory", "Client", "Handler", "Processor")
 
 
 def log_counts(log: DataFrame) -> DataFrame:
-    """``method, n`` of log lines (``text``): the plain pattern only where the structured one finds nothing."""
-    a, b = F.regexp_extract_all("text", F.lit(_LOG_CLASS), F.lit(1)), F.regexp_extract_all("text", F.lit(_LOG_PLAIN), F.lit(1))
+    """``method, n`` of log lines (``text``).
+
+    A word between blanks, bars and colons that begins with a class of a known ending and a method counts; only in
+    lines without one, whatever ends in Class.Method before a blank, a bar or an opening bracket.
+    """
+    known = F.filter(F.split("text", r"[\s|:]"), lambda w: w.rlike(rf"^[A-Z]\w*(?:{'|'.join(LOG_CLASSES)})\.\w"))
+    a = F.transform(known, lambda w: F.regexp_extract(w, r"^\w+\.\w+", 0))
+    words = F.split("text", r"[\s|(]")
+    plain = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.regexp_extract(w, r"[A-Z]\w{2,}\.[A-Z]\w+$", 0))
+    b = F.filter(plain, lambda w: w != "")
     return log.select(F.explode(F.when(F.size(a) > 0, a).otherwise(b)).alias("method")).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -308,7 +308,7 @@ add(
 )
 add(
     "log_counts", lambda s, f: etl.log_counts(etl.lines(table(s, f, "documents").select(F.col("doc_id").alias("file_path"), F.col("text").alias("content"))).select("text")),
-    "WITH l AS (SELECT unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS text FROM documents), m AS (SELECT regexp_extract_all(text, '(?:^|[\\s|:])([A-Z]\\w+(?:Service|Controller|Repository|Manager|Helper|Provider|Factory|Client|Handler|Processor)\\.\\w+)', 1) AS a, regexp_extract_all(text, '([A-Z]\\w{2,}\\.[A-Z]\\w+)\\s*(?:\\(|[\\s|]|\\d+ms)', 1) AS b FROM l) SELECT method, count(*) AS n FROM (SELECT unnest(CASE WHEN len(a) > 0 THEN a ELSE b END) AS method FROM m) GROUP BY 1",
+    "WITH l AS (SELECT unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS text FROM documents), m AS (SELECT list_transform(list_filter(regexp_split_to_array(text, '[\\s|:]'), lambda w: regexp_matches(w, '^[A-Z]\\w*(?:Service|Controller|Repository|Manager|Helper|Provider|Factory|Client|Handler|Processor)\\.\\w')), lambda w: regexp_extract(w, '^\\w+\\.\\w+', 0)) AS a, list_filter(list_transform(regexp_split_to_array(text, '[\\s|(]')[:-2], lambda w: regexp_extract(w, '[A-Z]\\w{2,}\\.[A-Z]\\w+$', 0)), lambda w: w <> '') AS b FROM l) SELECT method, count(*) AS n FROM (SELECT unnest(CASE WHEN len(a) > 0 THEN a ELSE b END) AS method FROM m) GROUP BY 1",
 )
 
 

@@ -35,7 +35,56 @@ def test_endpoints(spark):
 
 def test_env(spark):
     f = files(spark, (".env", "API_KEY=1\n# NO=2\nUNUSED=3"), ("a.js", "process.env.API_KEY; process.env['API_KEY']"), ("b.py", "os.getenv('OTHER')"))
-    assert got(E.env_inventory(f).select("name", "used_in_count", "unused", "undeclared")) == [("API_KEY", 1, False, False), ("OTHER", 1, False, True), ("UNUSED", 0, True, False)]
+    assert got(E.env_inventory(f).select("name", "used_in_count", "unused", "undeclared")) == [("API_KEY", 2, False, False), ("OTHER", 1, False, True), ("UNUSED", 0, True, False)]
+
+
+def test_env_of_other_files(spark):
+    f = files(spark, ("x/application.properties", "a.b = 1\n# c=2"), ("application.yml", "top: 1\n  inner: 2\nother :\n"), ("appsettings.Dev.json", '{\n "Conn": "x",\n  "In": { "Er": 1 }\n}'), ("config.toml", "KEY=1\nlow=2"), ("vendor/.env", "GONE=1"), ("C.cs", 'Configuration["Conn"]; Environment.GetEnvironmentVariable("KEY")'), ("J.java", "System.getenv('a.b')"))
+    assert got(E.env_inventory(f).select("name", "used_in_count", "declared_in")) == [("Conn", 1, "appsettings.Dev.json"), ("In", 0, "appsettings.Dev.json"), ("KEY", 1, "config.toml"), ("a.b", 1, "x/application.properties"), ("other", 0, "application.yml"), ("top", 0, "application.yml")]
+
+
+def test_orm(spark):
+    prisma = "model User {\n  id Int @id\n  name String?\n  posts Post[]\n}\nmodel Post {\n  id Int @id // key\n  author User\n}\n"
+    rows = got(E.db_columns(files(spark, ("db/schema.prisma", prisma))).select("table_name", "column_name", "column_type", "is_primary_key", "is_nullable", "references_table"))
+    assert rows == [("Post", "author", "User", False, False, "User"), ("Post", "id", "Int", True, False, None), ("User", "id", "Int", True, False, None), ("User", "name", "String", False, True, None), ("User", "posts", "Post", False, False, "Post")]
+    py = "class A(Base):\n    __tablename__ = 'as'\nclass B(db.Model):\n    pass\nclass C:\n    __tablename__ = 'no'\n"
+    ts = "@Entity('users')\nexport class U {}\n@Entity()\nexport class V {}\nexport class W {}\n"
+    assert got(E.mapped_classes(files(spark, ("m.py", py), ("e.ts", ts), ("x.ts", None))).drop("file_path")) == [("A", "as"), ("B", "B"), ("U", "users"), ("V", "V")]
+
+
+def test_supertypes():
+    assert E.supertypes(" extends Base<T, U> implements A, b.C ", "java") == (["Base"], ["A", "C"])
+    assert E.supertypes(" : Base, IThing, INext<int> where T : class", "csharp") == (["Base"], ["IThing", "INext"])
+    assert E.supertypes(" < Mod::Base", "ruby") == (["Base"], []) and E.supertypes("", "java") == ([], [])
+
+
+def test_lint_sections():
+    long = "word " * 60
+    assert E.short_sections(f"# A\n{long}\n## B\nfew\n# C\nfew\n```\n# no\n```\n") == [5]
+    assert E.short_sections("") == [] and E.short_sections(None) == []
+
+
+def test_lint(spark):
+    d = spark.createDataFrame([("docs/user_service.md", "TODO\n[x](gone.md) [y](ok.md)\n<!-- FILL: it -->"), ("docs/ok.md", "# Title\nfew"), ("docs/none.md", None)], "source_path string, content string")
+    assert got(E.lint(d).select("kind", "severity", "source_path", "line").fillna(0)) == [("broken_link", "RED", "docs/user_service.md", 2), ("missing_section", "YELLOW", "docs/user_service.md", 0), ("residual_todo", "RED", "docs/user_service.md", 1), ("short_section", "YELLOW", "docs/ok.md", 1), ("unfilled_anchor", "RED", "docs/user_service.md", 3)]
+
+
+def test_names_of_several_words_and_byte_chunks(spark):
+    c = spark.createDataFrame([("d", 0, "Calls Space::OuterName and PlainName, not XPlainName")], "source_path string, chunk_index int, content string")
+    n = spark.createDataFrame([("1", "Class", "Space::OuterName"), ("2", "Class", "PlainName"), ("3", "Class", "Other::OuterName")], "id string, label string, name string")
+    assert got(E.mentions(c, n).select("id")) == [("1",), ("2",)]
+    f = spark.createDataFrame([(f"p{i:02}", 10) for i in range(20)], "path string, size long")
+    k = {r["path"]: r["chunk"] for r in E.byte_chunks(f, 50).collect()}
+    assert k == {f"p{i:02}": i * 10 // 50 for i in range(20)}
+
+
+def test_field_types_come_first(spark):
+    d = lambda rows, s: spark.createDataFrame(rows, s)
+    calls = d([(1, "a.cs", "Save", 1, "_svc"), (2, "a.cs", "Save", 1, "Store"), (3, "a.cs", "Save", 3, None), (4, "a.ts", "Save", None, "_svc")], "call_id long, file string, name string, n_args int, receiver string")
+    sym = d([("m1", "Mail.cs", "Save", True, 1, 1, "Mail", "method"), ("m2", "Store.cs", "Save", True, 3, 3, "Store", "method"), ("t", "Store.cs", "Store", True, None, None, None, "type")], "id string, file string, name string, is_exported boolean, required int, params int, owner string, kind string")
+    none = d([], "file string, name string, source_file string, source_name string")
+    r = E.resolve(calls, sym, none, d([], "file string, imported string"), d([], "file string, package string"), d([("a.cs", "_svc", "IMail")], "file string, field string, type string"))
+    assert got(r) == [(1, "m1", "field_type", 0.85), (2, "m2", "static_class", 0.8), (3, "m2", "global", 0.5), (4, "m1", "global", 0.5)]
 
 
 def test_ddl(spark):
@@ -82,9 +131,11 @@ def test_extraction(spark):
     ts = "export class C extends D {\n  run(a, b) {\n    if (a && b) {\n      return 1;\n    }\n  }\n}\nfunction g(x) {\n}\n"
     f = spark.createDataFrame([("a.py", py), ("b.ts", ts), ("bad.py", "def ("), ("n.xyz", "x"), ("node_modules/z.js", "function q() {}")], "path string, content string")
     s = E.extract(E.scan(f))
-    assert sorted((tuple(r) for r in s.select("file_path", "label", "name", "owner", "parent").collect()), key=lambda t: t[:3]) == sorted([("a.py", "Class", "A", None, "Base"), ("a.py", "Method", "m", "A", None), ("a.py", "Function", "f", None, None), ("b.ts", "Class", "C", None, "D"), ("b.ts", "Method", "run", "C", None), ("b.ts", "Function", "g", None, None)], key=lambda t: (t[0], t[1], t[2]))
+    assert sorted((tuple(r) for r in s.selectExpr("file_path", "label", "name", "owner", "bases[0]").collect()), key=lambda t: t[:3]) == sorted([("a.py", "Class", "A", None, "Base"), ("a.py", "Method", "m", "A", None), ("a.py", "Function", "f", None, None), ("b.ts", "Class", "C", None, "D"), ("b.ts", "Method", "run", "C", None), ("b.ts", "Function", "g", None, None)], key=lambda t: (t[0], t[1], t[2]))
     c = {(x["file_path"], x["name"]): (x["complexity"], x["parameter_count"]) for x in s.collect()}
     assert c[("a.py", "m")] == (3, 1) and c[("a.py", "f")] == (2, 2) and c[("b.ts", "run")] == (3, 2) and ("b.ts", "g") in c and len(c) == 6
+    more = E.extract(E.scan(spark.createDataFrame([("c.java", "class K extends L implements M, N {\n}\nclass L {\n}\ninterface M {\n}\n")], "path string, content string")))
+    assert got(E.graph_tables(more)[1].where("type in ('EXTENDS', 'IMPLEMENTS')").select("source_id", "type", "target_id")) == [("Class:c.java:K", "EXTENDS", "Class:c.java:L"), ("Class:c.java:K", "IMPLEMENTS", "Interface:c.java:M")]
     n, e = E.graph_tables(s)
     assert n.count() == 6 and ("Class:a.py:A", "Method:a.py:m", "HAS_METHOD") in got(e.select("source_id", "target_id", "type"))
 
