@@ -131,7 +131,7 @@ def test_extraction(spark):
     ts = "export class C extends D {\n  run(a, b) {\n    if (a && b) {\n      return 1;\n    }\n  }\n}\nfunction g(x) {\n}\n"
     f = spark.createDataFrame([("a.py", py), ("b.ts", ts), ("bad.py", "def ("), ("n.xyz", "x"), ("node_modules/z.js", "function q() {}")], "path string, content string")
     s = E.extract(E.scan(f))
-    assert sorted((tuple(r) for r in s.selectExpr("file_path", "label", "name", "owner", "bases[0]").collect()), key=lambda t: t[:3]) == sorted([("a.py", "Class", "A", None, "Base"), ("a.py", "Method", "m", "A", None), ("a.py", "Function", "f", None, None), ("b.ts", "Class", "C", None, "D"), ("b.ts", "Method", "run", "C", None), ("b.ts", "Function", "g", None, None)], key=lambda t: (t[0], t[1], t[2]))
+    assert sorted((tuple(r) for r in s.selectExpr("file_path", "label", "name", "owner", "get(bases, 0)").collect()), key=lambda t: t[:3]) == sorted([("a.py", "Class", "A", None, "Base"), ("a.py", "Method", "m", "A", None), ("a.py", "Function", "f", None, None), ("b.ts", "Class", "C", None, "D"), ("b.ts", "Method", "run", "C", None), ("b.ts", "Function", "g", None, None)], key=lambda t: (t[0], t[1], t[2]))
     c = {(x["file_path"], x["name"]): (x["complexity"], x["parameter_count"]) for x in s.collect()}
     assert c[("a.py", "m")] == (3, 1) and c[("a.py", "f")] == (2, 2) and c[("b.ts", "run")] == (3, 2) and ("b.ts", "g") in c and len(c) == 6
     more = E.extract(E.scan(spark.createDataFrame([("c.java", "class K extends L implements M, N {\n}\nclass L {\n}\ninterface M {\n}\n")], "path string, content string")))
