@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeloom.llm import handwritten as h
 from codeloom.llm import truncation as t
 
 
@@ -47,8 +48,41 @@ FROM (SELECT {source}::VARCHAR AS source, field, count(*) AS n FROM v GROUP BY A
 ON a.source IS NOT DISTINCT FROM b.source AND a.field = b.field"""
 
 
+def _case(what: str) -> str:
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN {v[what]}" for k, v in h.TUNED.items() if k != "default") + f" ELSE {h.TUNED['default'][what]} END"
+
+
+def _says(pattern: str) -> str:
+    return rf"len(list_filter(string_split(head, chr(10)), lambda y: regexp_matches(regexp_replace(y, '^\s*(?://+|#+|/\*+|\*+|--|;)\s?', ''), {text(pattern)}))) > 0"
+
+
+_EXT = r"lower(regexp_extract(file_path, '\.([A-Za-z0-9]+)$', 1))"
+LANGUAGE = f"CASE {_EXT} " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in h.LANGUAGES.items()) + " END"
+_SHAPE = r"""regexp_replace(regexp_replace(regexp_replace(l, '"[^"]*"|''[^'']*''', 's', 'g'), '[\pL_][\pL\pN_]*', 'a', 'g'), '\d[\d.]*', '0', 'g')"""
+# hash signs that open a directive or an attribute are no comments; they are marked, so that one pattern finds the head
+_MARKED = r"regexp_replace(x, '(^|\n)([ \t]*)#(include|define|pragma|if|!\[)', '\1\2¤\3', 'g')"
+_HEAD = r"^(?:[ \t]*(?:<\?php)?[ \t]*(?:(?://|#|--|;)[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/[ \t]*)?\n)*"
+P4_FILES = rf"""
+f0 AS (SELECT file_id, repo, coalesce(file_path, '') AS file_path, {LANGUAGE} AS language, regexp_replace(replace(replace(coalesce(content, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^' || chr(65279), '') AS x FROM source_files),
+f1 AS (SELECT *, length(x) AS n, list_filter(string_split(x, chr(10)), lambda l: trim(l) <> '') AS ls, regexp_extract_all(x, '[\pL\pN_.]+') AS ws, left(x, length(regexp_extract({_MARKED}, '{_HEAD}', 0))) AS head FROM f0),
+f2 AS (SELECT *, len(ls) AS n_lines, coalesce(list_max(list_transform(ls, lambda l: length(l))), 0) AS max_line, n / greatest(len(ls), 1) AS mean_line,
+         1 - length(translate(x, ' ' || chr(9) || chr(10) || chr(12) || chr(11), '')) / greatest(n, 1) AS space, 1 - length(regexp_replace(x, '[\pL\pN]+', '', 'g')) / greatest(n, 1) AS alnum,
+         len(list_filter(ws, lambda w: w[1] BETWEEN '0' AND '9')) / (len(ws) + {h.PRIOR['words']}) AS numbers, (n - length(regexp_replace(x, '[A-Za-z0-9+/=]{{40,}}', '', 'g'))) / (n + {h.PRIOR['chars']}) AS encoded,
+         (len(list_distinct(list_transform(ls, lambda l: {_SHAPE}))) + {h.PRIOR['lines']}) / (len(ls) + {h.PRIOR['lines']}) AS shapes, trim(regexp_replace(x[length(head) + 1:], '\s+', ' ', 'g')) AS body FROM f1),
+f3 AS (SELECT *, space < {_case('space')} AND (mean_line > {_case('mean')} OR max_line > {h.LONG_LINE}) AS dense FROM f2),
+f4 AS (SELECT file_id, repo, CASE WHEN body <> '' THEN sha256(body) END AS hash, CASE
+         WHEN numbers >= {_case('numbers')} OR encoded >= {h.ENCODED_SHARE} OR (dense AND alnum >= {h.BLOB_ALNUM}) THEN 'data' WHEN dense OR regexp_matches(file_path, {text(h.MINIFIED_PATH)}) THEN 'minified'
+         WHEN {_says(h.VENDORED_HEAD)} OR regexp_matches(file_path, {text(h.VENDORED_PATH)}) THEN 'vendored'
+         WHEN {_says(h.GENERATED_HEAD)} OR regexp_matches(file_path, {text(h.GENERATED_PATH)}) OR shapes < {_case('shapes')} THEN 'generated' END AS own FROM f3),
+f5 AS (SELECT file_id, repo, CASE WHEN own IS NOT NULL THEN own WHEN hash IN (SELECT hash FROM f4 WHERE own IS NOT NULL AND hash IS NOT NULL) THEN 'copy' END AS reason FROM f4),
+w AS (SELECT repo FROM f5 WHERE repo IS NOT NULL GROUP BY repo HAVING regexp_matches(repo, {text(h.WHOLE_REPO)}) OR count(reason) >= {h.WHOLE_SHARE} * (count(*) + {h.PRIOR['files']})),
+judged AS (SELECT file_id, repo, coalesce(reason, CASE WHEN repo IN (SELECT repo FROM w) THEN 'repository' END) AS reason FROM f5)"""
+
+
 ORACLE = {
     "p1_found": f"WITH {P1_VALUES} SELECT DISTINCT enrichment_id, field AS field_name FROM lost",
     "p1_rates": f"WITH {P1_VALUES} {_rates('config_id')} UNION ALL {_rates('origin')}",
     "p1_limits": f"WITH {P1_VALUES} SELECT s.source_kind, s.source, s.field AS field_name, s.measure, s.length, s.n, s.n_open, c.max_tokens FROM spike s LEFT JOIN llm_configs c ON s.source_kind = 'config_id' AND s.source = c.config_id::VARCHAR",
+    "p4_found": f"WITH {P4_FILES} SELECT file_id FROM judged WHERE reason IS NOT NULL",
+    "p4_reasons": f"WITH {P4_FILES} SELECT repo, coalesce(reason, 'hand') AS reason, count(*) AS n_files FROM judged GROUP BY ALL",
 }

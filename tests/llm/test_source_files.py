@@ -24,7 +24,7 @@ def test_reasons(spark):
     getters = "class M {\n" + "".join(f"  get F{i}() {{ return this.f{i}; }}\n  set F{i}(v) {{ this.f{i} = v; }}\n" for i in range(40)) + "}\n"
     lib = "// @license tiny 1.2.3\n// @preserve\n" + HAND.replace("Thing", "Tiny")
     rows = [
-        ("a", "src/x.js", HAND), ("a", "src/m.js", mini), ("a", "src/t.js", table), ("a", "src/b.js", blob), ("a", "src/g.js", getters), ("a", "src/h.js", "// Code generated by stubs v1. DO NOT EDIT.\n" + HAND), ("a", "src/l.js", lib),
+        ("a", "src/x.js", HAND), ("a", "src/m.js", mini), ("a", "src/t.js", table), ("a", "src/b.js", blob), ("a", "src/g.js", getters), ("a", "src/h.js", "// Code generated by stubs v1. DO NOT EDIT.\n" + HAND.replace("Thing", "Stub")), ("a", "src/l.js", lib),
         ("a", "node_modules/y/i.js", HAND + "x;"), ("a", "src/vendor_portal/x.js", HAND), ("a", "src/copy.js", HAND.replace("Thing", "Tiny")), ("vendored-libs", "src/x.js", HAND + "\n"), ("codegen-tools", "src/generate_x.js", HAND + "\n\n"),
         ("a", "src/n.js", "// Replaces the auto-generated client we used before.\n" + HAND), ("a", "src/e.js", ""), ("a", "src/null.js", None), (None, None, None), ("a", "obj/Debug/A.g.cs", "class A { }"), ("a", "lib/tiny-1.2.3/src/a.js", HAND.replace("Thing", "Lib")),
         ("a", "src/str.js", HAND + 'const BANNER = "Code generated by this tool. DO NOT EDIT.";\n'), ("a", "src/crlf.js", "\ufeff" + HAND.replace("\n", "\r\n")), ("a", "src/x.js", HAND),
@@ -39,6 +39,19 @@ def test_hand_written_stays(spark):
     assert reasons(spark, []) == {}
 
 
+def test_heads_of_any_length(spark):
+    many, block = "// a line of the licence\n" * 100_000, "/*\n" + " * words of a licence\n" * 60_000 + " */\n"
+    rows = [("a", "x.js", many + "// Code generated by stubs v1. DO NOT EDIT.\n" + HAND), ("b", "y.js", block + "// @license tiny 1.2.3\n" + HAND), ("c", "z.js", many + HAND + "// Code generated by x. DO NOT EDIT.\n"), ("d", "w.js", "/* open " + "x\n" * 1000)]
+    r = reasons(spark, rows)
+    assert (r[0], r[1], r[3]) == ("generated", "vendored", "generated")
+    head = H.layout(spark.createDataFrame([(many + block + "#include <x>\n",)], "content string")).first()["head"]
+    assert head == many + block
+
+
+def test_short_copies(spark):
+    assert reasons(spark, [("a", "vendor/t/i.js", "export default tiny;\n"), ("b", "src/i.js", "// mine\nexport default  tiny;"), ("b", "src/j.js", "\n"), ("a", "vendor/t/e.js", "")]) == {0: "vendored", 1: "copy", 2: None, 3: "vendored"}
+
+
 GOOD = {
     "python": ["", "# c\n", "x = {'a': [1, 2]}\n", "def f(a, *, b=1):\n    return f\"{a!r}\"\n", "match x:\n    case 1:\n        pass\n", "async def g():\n    await h()\n"],
     "javascript": ["", HAND, "const a = /[{(]/.test(x) ? `b ${c ? `d ${e}` : 1}` : null\nlet y = a / 2 / b\n", "#!/usr/bin/env node\nfor await (const x of y) {}\n", "var r = a++ + ++b\nif (x) y()\nelse z()\n", "label: for (;;) { break label }\n", "export default async () => { }\nclass A { static #p = 1; get x() { return this.#p } }\n"],
