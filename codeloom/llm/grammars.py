@@ -10,6 +10,8 @@ import ast
 import re
 import warnings
 
+from codeloom.llm.lexers import ruby_blocks, ruby_start
+
 _OPERAND = ("i", "n", "s")
 _BINARY = frozenset("= += -= *= /= %= == != === !== && || + / % . ?? |= &= ^= <<= >>= -> => <= >= << ~ =~ !~ := ** **=".split())
 _STATEMENT = frozenset("return if for while try throw switch break continue foreach do goto".split())
@@ -129,8 +131,12 @@ def _semicolons(tokens: list, language: str) -> str | None:
             listy = listy or (language == "c" and last == ")" and _cast_before(tokens, i))
             stack.append(["enum" if enum else "list" if listy else "block", True])
         elif kind == "b" and value == "}":
-            if len(stack) < 2:
-                return None
+            if len(stack) < 2:  # it closes a block that an earlier statement opened
+                if not top[1]:
+                    return "statement without ;"
+                top[1] = True
+                last = value
+                continue
             what, ended = stack.pop()
             if what == "block" and not ended:
                 return "statement without ;"
@@ -147,7 +153,7 @@ def _semicolons(tokens: list, language: str) -> str | None:
         else:
             top[1] = False
         last = value
-    return None if stack[0][1] else "statement without ; at the end"
+    return None if stack[-1][1] else "statement without ; at the end"
 
 
 def _head_has(tokens: list, i: int, word: str, most: int = 24) -> bool:
@@ -207,15 +213,15 @@ def _label(tokens: list, i: int) -> bool:
     return False
 
 
-def _top_level(tokens: list, language: str) -> str | None:
-    """Each declaration at the top starts as one."""
+def _top_level(tokens: list, language: str, first: bool, depth: int) -> str | None:
+    """Each declaration at the top starts as one; ``depth`` brackets are open before."""
     allowed = _TOP.get(language)
-    depth, start = 0, True
+    start = not depth
     for i, (kind, value, nl) in enumerate(tokens):
         if not depth and start and kind != "p":
             if allowed and value not in allowed and not (language == "rust" and i + 1 < len(tokens) and tokens[i + 1][1] in ("!", "::")):
                 return f"{value} at the top"
-            if language == "go" and i == 0 and value != "package":
+            if language == "go" and first and i == 0 and value != "package":
                 return "no package"
             start = False
         if kind == "b":
@@ -276,56 +282,26 @@ def _c_words(tokens: list) -> str | None:
 _DIRECTIVES = re.compile(r"\s*#\s*(?:include|define|undef|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|pragma|error|warning|line|embed|\d+|$)")
 
 
-def _ruby(tokens: list) -> str | None:
-    """Keyword blocks and their ends; labels and braces where a statement starts."""
-    depth, loop = [], False
-    n = len(tokens)
+def _ruby(tokens: list, depth: int) -> str | None:
+    """Names of classes and methods, words that only stand within blocks, labels and braces where a statement starts."""
+    n, events = len(tokens), {i: (w, opens) for i, w, opens in ruby_blocks(tokens)}
     for i, (kind, value, nl) in enumerate(tokens):
         prev = tokens[i - 1] if i else (None, None, True)
-        if nl:
-            loop = False
-        start = i == 0 or nl and not (prev[0] == "o" and prev[1] not in ("!", "?") and prev[0] != "b") or prev[1] in (";", "then", "do", "else", "begin", "|", "=", "(", "{", "[", "<<", "||=", "&&", "||", "and", "or", "not", "!", "return", "->") or prev[1] == "ensure"
-        if kind == "k" and prev[1] not in (".", "&.", "::", "def") :
-            if value in ("class", "module", "def", "begin", "case", "for"):
-                if value == "def":
-                    j = i + 1
-                    while j < n and not tokens[j][2] and tokens[j][1] != "(":
-                        j += 1
-                    if j < n and tokens[j][1] == "(":
-                        d = 0
-                        while j < n:
-                            d += tokens[j][1] == "("
-                            d -= tokens[j][1] == ")"
-                            j += 1
-                            if not d:
-                                break
-                        if j < n and tokens[j][1] == "=" and not tokens[j][2]:
-                            continue
-                depth.append(value)
-                loop = value == "for"
-                if value in ("class", "module", "def") and i + 1 < n and tokens[i + 1][2]:
-                    return f"{value} without a name"
-                if value in ("class", "module") and i + 1 < n and tokens[i + 1][1] != "<<" and not (tokens[i + 1][0] == "i" and tokens[i + 1][1][:1].isupper() or tokens[i + 1][1] == "::"):
-                    return f"{value} without a name"
-            elif value in ("if", "unless", "while", "until") and start:
-                depth.append(value)
-                loop = value in ("while", "until")
-            elif value == "do" and not loop:
-                depth.append(value)
-            elif value == "do":
-                loop = False
-            elif value == "end":
-                if not depth:
-                    return "end without a beginning"
-                depth.pop()
-            elif value in ("elsif", "when") and not depth:
-                return f"{value} outside"
-        if start and kind == "i" and i + 1 < n and tokens[i + 1][1] == ":" and not tokens[i + 1][2] and (i == 0 or nl) and prev[1] not in ("(", "{", ",", "[", "|"):
+        word, opens = events.get(i, (None, False))
+        if word:
+            depth += 1 if opens else -1
+            if word in ("class", "module", "def") and opens and i + 1 < n and tokens[i + 1][2]:
+                return f"{word} without a name"
+            if word in ("class", "module") and i + 1 < n and tokens[i + 1][1] != "<<" and not (tokens[i + 1][0] == "i" and tokens[i + 1][1][:1].isupper() or tokens[i + 1][1] == "::"):
+                return f"{word} without a name"
+        elif kind == "k" and value in ("elsif", "when") and depth <= 0 and prev[1] not in (".", "&.", "::", "def"):
+            return f"{value} outside"
+        if ruby_start(tokens, i) and kind == "i" and i + 1 < n and tokens[i + 1][1] == ":" and not tokens[i + 1][2] and (i == 0 or nl) and prev[1] not in ("(", "{", ",", "[", "|"):
             if not (i + 2 < n and tokens[i + 2][1] == ":"):
                 return f"label {value}"
         if kind == "o" and value == ":" and i and prev[0] == "b" and prev[1] == ")":
             return "colon after a bracket"
-    return f"{depth[-1]} without end" if depth else None
+    return None
 
 
 def _commands(tokens: list) -> str | None:
@@ -340,32 +316,86 @@ def _commands(tokens: list) -> str | None:
     return None
 
 
-def check(text: str, tokens: list, language: str) -> str | None:
-    """What the local grammar of the language finds wrong, or None."""
+#: Words that go on with the statement before a line break.
+_GO_ON = frozenset("else catch finally while until where as instanceof in of and or not from do then elsif elif except rescue ensure when case default end implements extends throws".split())
+_NEWLINE_ENDS = frozenset(") ] } return break continue fallthrough ++ --".split())
+
+
+def boundaries(tokens: list, at: list[int], text: str, language: str, stack: list[str], begins: bool) -> list[int]:
+    """Tokens at which a new statement begins that can be looked at by itself.
+
+    ``stack`` are the brackets open before the tokens, of which all that are open at a boundary must be blocks. C-like
+    statements end in ``;`` or ``}`` at a line's end, those of Go and Ruby at a line's end, those of Python before a line
+    that is not indented. ``begins``: the first token begins the file.
+    """
+    out, open_, prev = [0] if begins and tokens else [], list(stack), None
+    ruby, python, go = language == "ruby", language == "python", language == "go"
+    events = {i: (w, opens) for i, w, opens in ruby_blocks(tokens)} if ruby else {}
+    decorated = False
+    for i, (kind, value, nl) in enumerate(tokens):
+        if kind == "p":
+            continue
+        if nl and prev and not (begins and i == 0) and value not in _GO_ON:
+            if python:
+                new = not open_ and (at[i] == 0 or text[at[i] - 1] == "\n") and not decorated and kind != "b" or (not open_ and value in ("(", "[", "{") and (at[i] == 0 or text[at[i] - 1] == "\n") and not decorated)
+            elif ruby:
+                new = kind in ("i", "k") and all(x in ("class", "module", "def") for x in open_) and (prev[0] in ("i", "n", "s") or prev[1] in (")", "]", "}", "end"))
+            elif go:
+                new = kind in ("i", "k") and all(x == "{" for x in open_) and (prev[0] in ("i", "n", "s") or prev[1] in _NEWLINE_ENDS)
+            else:
+                new = (kind in ("i", "k") or value in ("@", "#")) and prev[1] in (";", "}") and prev[0] in ("o", "b") and all(x == "{" for x in open_)
+            if new:
+                out.append(i)
+        if python and nl and (at[i] == 0 or text[at[i] - 1] == "\n"):
+            decorated = value == "@"
+        if i in events:
+            if events[i][1]:
+                open_.append(events[i][0])
+            elif open_:
+                open_.pop()
+        elif kind == "b":
+            if value in "([{":
+                open_.append(value)
+            elif open_:
+                open_.pop()
+        elif kind == "o" and value in ("${", "}$"):
+            open_.append(value) if value == "${" else open_ and open_.pop()
+        elif kind == "s" and value == "`" and open_ and open_[-1] == "`":
+            open_.pop()
+        prev = (kind, value)
+    return out
+
+
+def check(text: str, tokens: list, language: str, first: bool = True, depth: int = 0) -> str | None:
+    """What the local grammar finds wrong with some statements, or None.
+
+    ``first``: they begin the file; ``depth``: so many blocks are open before.
+    """
     if language == "python":
         return python(text)
     real = [t for t in tokens if t[0] != "p"]
     if bad := _conflict(real):
         return bad
+    if language == "c" and any(k == "p" and not _DIRECTIVES.match(v) for k, v, _ in tokens):
+        return "directive"
     if not real:
         return None
-    first = real[0]
-    if first[0] == "o" and first[1] in _BINARY | {"<", ">", ",", "?", ":", "*"} and not (language == "ruby" and first[1] in ("*", "::")) and not (first[1] in ("::", "*") and language in ("c", "rust")):
-        return f"{first[1]} at the start"
-    if language in ("javascript", "typescript") and first[1] == "{" and len(real) > 2 and real[1][0] == "s" and real[2][1] == ":":
-        return "data"
+    head = real[0]
+    if first:
+        if head[0] == "o" and head[1] in _BINARY | {"<", ">", ",", "?", ":", "*"} and not (language == "ruby" and head[1] in ("*", "::")) and not (head[1] in ("::", "*") and language in ("c", "rust")):
+            return f"{head[1]} at the start"
+        if language in ("javascript", "typescript") and head[1] == "{" and len(real) > 2 and real[1][0] == "s" and real[2][1] == ":":
+            return "data"
     if bad := _neighbours(real, language):
         return bad
     if language in ("java", "csharp", "c", "php") and (bad := _semicolons(tokens, language)):
         return bad
-    if bad := _top_level(real, language):
+    if bad := _top_level(real, language, first, depth):
         return bad
     if bad := _names(real, language):
         return bad
     if language == "c":
-        if any(k == "p" and not _DIRECTIVES.match(v) for k, v, _ in tokens):
-            return "directive"
         return _c_words(tokens)
     if language == "ruby":
-        return _ruby(real) or _commands(real)
+        return _ruby(real, depth) or _commands(real)
     return None

@@ -86,13 +86,14 @@ def layout(files: DataFrame, content: str = "content") -> DataFrame:
     text = F.replace(F.replace(F.coalesce(F.col(content), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     df = files.withColumn("_text", F.regexp_replace(text, "^\ufeff", "")).withColumn("n", F.length("_text")).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != ""))
     n = F.greatest(F.col("n"), F.lit(1))
-    shape = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\"[^\"]*\"|'[^']*'", "s"), r"[\p{L}_][\p{L}\p{N}_]*", "a"), r"\d[\d.]*", "0")
+    # strings, words and numbers of the whole text become one sign each, so that lines of one shape are equal
+    shaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", r"\"[^\"\n]*+\"|'[^'\n]*+'", "s"), r"[\p{L}_][\p{L}\p{N}_]*+", "a"), r"\d[\d.]*+", "0")
     df = df.withColumn("n_lines", F.size("_lines")).withColumn("max_line", F.coalesce(F.array_max(F.transform("_lines", F.length)), F.lit(0)))
     df = df.withColumn("mean_line", F.col("n") / F.greatest(F.col("n_lines"), F.lit(1)))
     df = df.withColumn("space", 1 - F.length(F.translate("_text", " \t\n\f\v", "")) / n).withColumn("alnum", 1 - F.length(F.regexp_replace("_text", r"[\p{L}\p{N}]+", "")) / n)
     df = df.withColumn("words", F.regexp_count("_text", F.lit(r"[\p{L}\p{N}_.]++"))).withColumn("numbers", F.regexp_count("_text", F.lit(r"(?<![\p{L}_\d.])\d[\d.xXa-fA-F]*(?![\p{L}_])")) / (F.col("words") + PRIOR["words"]))
     df = df.withColumn("encoded", (F.col("n") - F.length(F.regexp_replace("_text", r"[A-Za-z0-9+/=]{40,}", ""))) / (F.col("n") + PRIOR["chars"]))
-    df = df.withColumn("shapes", (F.size(F.array_distinct(F.transform("_lines", shape))) + PRIOR["lines"]) / (F.col("n_lines") + PRIOR["lines"]))
+    df = df.withColumn("shapes", (F.size(F.array_distinct(F.filter(F.split(shaped, "\n"), lambda x: F.trim(x) != ""))) + PRIOR["lines"]) / (F.col("n_lines") + PRIOR["lines"]))
     df = df.withColumn("head", F.regexp_extract("_text", HEAD, 0)).withColumn("_body", F.trim(F.regexp_replace(F.expr("substr(_text, length(head) + 1)"), r"\s+", " ")))
     return df.withColumn("body_hash", F.when(F.col("_body") != "", F.sha2("_body", 256))).drop("_text", "_lines", "_body")
 

@@ -1,30 +1,29 @@
 """Source files that do not parse.
 
-A file of at most PIECE characters, and every Python file, is read whole. A longer one is cut at line ends into pieces. A
-piece is summed up as a lexer-state map (entry state to exit state) and
-the brackets it leaves open or closes too many of; both combine associatively, first within groups of neighbouring
-pieces and then over the groups. The maps have no entry state for some literals that span lines (text blocks, verbatim
-and raw strings, heredocs), so they decide no file: every long file is then read whole by its lexer and local grammar.
+Every file is cut at line ends into pieces of PIECE characters. A piece is summed up as a lexer-state map (entry state
+to exit state) and the brackets it leaves open or closes too many of; both combine associatively: within a stretch of
+STRETCH pieces where the text is read, and between the stretches of a file through a shuffle of the maps alone, first
+in groups of neighbouring stretches and then over the groups. The fold tells the state and the brackets in which each
+stretch begins; its statements are then parsed by the local grammar of the language (Python's by its own). Statements
+that lie in several stretches are put together and parsed likewise, so no step needs a file as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from codeloom.llm import grammars, lexers
 from codeloom.llm.handwritten import language_of
-from codeloom.session import materialize, spread
+from codeloom.session import materialize, partitions, spread
 
-PIECE = 1 << 18
-GROUP = 64
+PIECE, STRETCH, GROUP = 2048, 4, 64
 _TAG = re.compile(r"<\?(?:php\b|=)?")
 
 
@@ -43,77 +42,218 @@ def php_code(text: str) -> str | None:
     return "\n".join(out)
 
 
-def prepare(content: str, language: str) -> str | None:
+def prepare(content: str, language: str) -> str:
     """The text that the lexer reads: without byte order mark, with plain line ends, of PHP the code alone."""
     text = content.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    return php_code(text) if language == "php" else text
+    return (php_code(text) or "") if language == "php" else text
 
 
-def judge(content: str, language: str) -> str | None:
-    """What is wrong with a file read in one piece; None if nothing."""
+def follow(parts: list[str], language: str, state: str = lexers.CODE, stack: list[str] | None = None, before: str = "") -> dict:
+    """Pieces in a row from a known entry: their maps are taken at the one state that occurs, and joined."""
+    stack, whole, tokens, at, base = list(stack or []), None, [], [], 0
+    for part in parts:
+        r = lexers.lex(part, language, state, stack, before)
+        tokens += r["tokens"]
+        at += [base + x for x in r["at"]]
+        base += len(part)
+        one = {k: r[k] for k in ("exit", "open", "close", "error", "unsure")} | {"unsure": False}
+        whole = one if whole is None else lexers.join(whole, one)
+        for c in r["close"]:
+            if stack and lexers.pairs(stack[-1], c):
+                stack.pop()
+        stack += r["open"]
+        state, before = r["exit"], r["last"]
+    return {"tokens": tokens, "at": at, "whole": whole, "stack": stack, "last": before}
+
+
+def segments(text: str, tokens: list, at: list[int], language: str, stack: list[str], begins: bool) -> list[tuple[int, int, int, int, list[str]]]:
+    """(first token, last + 1, first character, last + 1, brackets open before) of the runs between boundaries."""
+    cuts = grammars.boundaries(tokens, at, text, language, stack, begins)
+    marks = sorted({0, *cuts, len(tokens)})
+    out, open_ = [], list(stack)
+    for a, b in zip(marks, marks[1:]):
+        begin = 0 if a == 0 else text.rfind("\n", 0, at[a]) + 1
+        end = len(text) if b == len(tokens) else text.rfind("\n", 0, at[b]) + 1
+        out.append((a, b, begin, end, list(open_)))
+        part = tokens[a:b]
+        own, close = lexers.balance(part, language)
+        for c in close:
+            if open_ and lexers.pairs(open_[-1], c):
+                open_.pop()
+        open_ += own
+    return out
+
+
+def _grammar(text: str, tokens: list, at: list[int], language: str, stack: list[str], first: bool) -> str | None:
+    """What is wrong with whole statements in a row."""
+    for a, b, begin, end, open_ in segments(text, tokens, at, language, stack, True):
+        if bad := grammars.check(text[begin:end], tokens[a:b], language, first and a == 0, len(open_)):
+            return bad
+    return None
+
+
+def judge(content: str, language: str, piece: int = PIECE) -> str | None:
+    """What is wrong with a file read at one go, piece by piece; None if nothing."""
     text = prepare(content, language)
-    if not text or not text.strip():
+    if not text.strip():
         return None
-    if language == "python":
-        return grammars.python(text)
-    r = lexers.lex(text, language)
-    return lexers.verdict({lexers.CODE: r}) or grammars.check(text, r["tokens"], language)
+    r = follow(lexers.pieces(text, piece), language)
+    return lexers.verdict(r["whole"]) or _grammar(text, r["tokens"], r["at"], language, [], True)
+
+
+def _read(piece: int, stretch: int):
+    """One row a file that is one stretch, with what is wrong; else one row a stretch with its text and entry states."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file_id, language, content in zip(pdf["file_id"], pdf["language"], pdf["content"]):
+                text = prepare(content, language)
+                if len(text) <= piece * stretch:
+                    rows.append((file_id, language, 0, None, None, judge(content, language, piece)))
+                    continue
+                states, parts = lexers.states(language, text), lexers.pieces(text, piece)
+                rows += [(file_id, language, k // stretch, "".join(parts[k : k + stretch]), states if k else [lexers.CODE], None) for k in range(0, len(parts), stretch)]
+            yield pd.DataFrame(rows, columns=["file_id", "language", "k", "text", "states", "error"]).astype({"k": "int32"})
+
+    return run
+
+
+def _mapped(piece: int):
+    """The map of each stretch, folded over its pieces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            maps = []
+            for language, text, states in zip(pdf["language"], pdf["text"], pdf["states"]):
+                later = lexers.states(language, text) if len(states) == 1 else list(states)
+                own = [lexers.summary(part, language, later if i else list(states)) for i, part in enumerate(lexers.pieces(text, piece))]
+                maps.append(json.dumps(reduce(lexers.combine, own)))
+            yield pd.DataFrame({"file_id": pdf["file_id"], "grp": pdf["k"] // GROUP, "k": pdf["k"], "map": maps})
+
+    return run
 
 
-def _maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a piece with its state map; files of one piece, and Python files, are decided at once."""
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The map of neighbouring stretches (``maps`` in order)."""
     for pdf in batches:
-        rows = []
-        for file_id, language, content in zip(pdf["file_id"], pdf["language"], pdf["content"]):
-            if content is None or language is None or (isinstance(language, float)):
-                rows.append((file_id, 0, None, None))
-                continue
-            if len(content) <= PIECE or language == "python":
-                rows.append((file_id, 0, None, judge(content, language)))
-                continue
-            parts = lexers.pieces(prepare(content, language) or "", PIECE)
-            for k, part in enumerate(parts):
-                entries = [lexers.CODE] if not k else lexers.states(language)
-                rows.append((file_id, k, json.dumps(lexers.summary(part, language, entries)), None))
-        yield pd.DataFrame(rows, columns=["file_id", "piece", "map", "error"]).astype({"piece": "int32"})
+        yield pd.DataFrame({"file_id": pdf["file_id"], "grp": pdf["grp"], "map": [json.dumps(reduce(lexers.combine, map(json.loads, ms))) for ms in pdf["maps"]]})
 
 
-@F.pandas_udf(StringType())
-def _fold(maps: pd.Series) -> pd.Series:
-    return maps.map(lambda xs: json.dumps(reduce(lexers.combine, map(json.loads, xs))))
+def _walk(start: dict, maps: Iterable[str]) -> tuple[list[str], dict]:
+    """The entry (what all before do together) of each map in order, and what all of them do."""
+    entries, x = [], start
+    for m in map(json.loads, maps):
+        entries.append(json.dumps(x))
+        y = m.get(x["exit"])
+        x = x | {"unsure": True} if y is None else lexers.join(x, y)
+    return entries, x
 
 
-@F.pandas_udf(StringType())
-def _verdict(maps: pd.Series) -> pd.Series:
-    return maps.map(lambda x: "unsure" if json.loads(x)[lexers.CODE]["unsure"] else lexers.verdict(json.loads(x)))
+_START = {"exit": lexers.CODE, "open": [], "close": [], "error": None, "unsure": False}
 
 
-@F.pandas_udf(StringType())
-def _grammar(content: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([judge(c, x) for c, x in zip(content, language)], dtype=object)
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of the maps in order, from ``entry`` on where there is one, and what all of them do."""
+    for pdf in batches:
+        starts = map(json.loads, pdf["entry"]) if "entry" in pdf else [_START] * len(pdf)
+        walked = [_walk(x, ms) for x, ms in zip(starts, pdf["maps"])]
+        yield pd.DataFrame({"file_id": pdf["file_id"], "ks": pdf["ks"], "entries": [e for e, _ in walked], "whole": [json.dumps(x) for _, x in walked]})
+
+
+def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        x = [json.loads(e) for e in pdf["whole"]]
+        yield pd.DataFrame({"file_id": pdf["file_id"], "error": [None if e["unsure"] else lexers.verdict(e) for e in x], "unsure": [e["unsure"] for e in x]})
+
+
+def _statements(piece: int):
+    """Of each stretch the first error in its whole statements, and the text before its first and from its last boundary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file_id, language, k, text, entry in zip(pdf["file_id"], pdf["language"], pdf["k"], pdf["text"], pdf["entry"]):
+                x = json.loads(entry)
+                r = follow(lexers.pieces(text, piece), language, x["exit"], x["open"])
+                parts = segments(text, r["tokens"], r["at"], language, x["open"], k == 0) or [(0, 0, 0, len(text), x["open"])]
+                heads = set(grammars.boundaries(r["tokens"], r["at"], text, language, x["open"], k == 0))
+                if not heads:
+                    rows.append((file_id, language, k, False, k == 0, text, x["exit"], x["open"], None))
+                    continue
+                error = None
+                for i, (a, b, begin, end, open_) in enumerate(parts):
+                    if a not in heads:
+                        rows.append((file_id, language, k, False, k == 0, text[begin:end], x["exit"], x["open"], None))
+                    elif i == len(parts) - 1:
+                        rows.append((file_id, language, k, True, k == 0 and a == 0, text[begin:end], lexers.CODE, open_, None))
+                    else:
+                        error = error or grammars.check(text[begin:end], r["tokens"][a:b], language, k == 0 and a == 0, len(open_))
+                if error:
+                    rows.append((file_id, language, k, True, False, None, None, None, error))
+            yield pd.DataFrame(rows, columns=["file_id", "language", "k", "begins", "first", "text", "state", "stack", "error"]).astype({"k": "int32"})
 
+    return run
 
-def _folded(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, "map"))), lambda x: x["map"])
-    return df.groupBy(*by).agg(ordered.alias("maps")).select(*by, _fold("maps").alias("map"))
 
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Statements that lie in several stretches."""
+    for pdf in batches:
+        errors = []
+        for language, parts in zip(pdf["language"], pdf["parts"]):
+            text, stack = "".join(x["text"] for x in parts), list(parts[0]["stack"])
+            r = follow(lexers.pieces(text, PIECE), language, parts[0]["state"], stack)
+            errors.append(_grammar(text, r["tokens"], r["at"], language, stack, bool(parts[0]["first"])))
+        yield pd.DataFrame({"file_id": pdf["file_id"], "error": errors})
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"file_id": pdf["file_id"], "error": [judge(c, x) for c, x in zip(pdf["content"], pdf["language"])]})
 
-def parse_errors(files: DataFrame) -> DataFrame:
+
+def parse_errors(files: DataFrame, piece: int = PIECE, stretch: int = STRETCH) -> DataFrame:
     """``file_id, error`` of every file that its language rejects.
 
     ``files`` has ``file_id`` (unique), ``file_path``, ``content``. The language is that of the extension; files of
     unknown extension, null or empty files, and such of white space or comments only are valid. Line ends and byte
-    order marks do not matter.
+    order marks do not matter. ``piece`` and ``stretch`` change the work of a task, not the result. Where a template of
+    JavaScript within a template's substitution lies across a piece's end, the maps cannot tell (``unsure``), and the
+    file is followed from its start.
     """
     f = files.select("file_id", language_of(F.col("file_path")).alias("language"), "content").where("language is not null and content is not null")
-    # written once: three readers follow, and lexing is the cost
-    maps = materialize(spread(f).mapInPandas(_maps, "file_id long, piece int, map string, error string").where("map is not null or error is not null"))
-    # long files: fold neighbouring pieces, then the groups; a literal for which there is no entry state may lie across
-    # the end of a piece, so what the map rejects is read whole as well, as is, for the local grammar, what it accepts
-    long = maps.where("map is not null").withColumn("grp", F.floor(F.col("piece") / GROUP))
-    folded = materialize(_folded(_folded(long, ["file_id", "grp"], "piece"), ["file_id"], "grp").select("file_id", _verdict("map").alias("by_map")))
-    whole = folded.join(f, "file_id").select("file_id", _grammar("content", "language").alias("error"))
-    return maps.where("error is not null").select("file_id", "error").unionByName(whole.where("error is not null"))
+    schema = "file_id long, language string, k int, text string, states array<string>, error string"
+    rows = materialize(spread(f).mapInPandas(_read(piece, stretch), schema).where("text is not null or error is not null"))
+    decided, long = rows.where("error is not null").select("file_id", "error"), rows.where("text is not null")
+    # the stretches of a long file are spread over all tasks before the costly part
+    n = max(partitions(files.sparkSession), files.sparkSession.sparkContext.defaultParallelism)
+    maps = materialize(long.select("file_id", "language", "k", "text", "states").repartition(n, "file_id", "k").mapInPandas(_mapped(piece), "file_id long, grp int, k int, map string"))
+
+    def gathered(df: DataFrame, by: list[str], k: str) -> DataFrame:
+        """The maps of neighbours in order: at most GROUP of them, or one for each GROUP stretches of a file."""
+        rows = F.array_sort(F.collect_list(F.struct(k, "map")))
+        return df.groupBy(*by).agg(rows.alias("r")).select(*by, F.col(f"r.{k}").alias("ks"), F.col("r.map").alias("maps"))
+
+    walked = "file_id long, ks array<int>, entries array<string>, whole string"
+    by_group = gathered(maps, ["file_id", "grp"], "k")
+    groups = by_group.select("file_id", "grp", "maps").mapInPandas(_fold, "file_id long, grp int, map string")
+    groups = materialize(gathered(groups, ["file_id"], "grp").mapInPandas(_entries, walked))
+    each = lambda df, k: df.select("file_id", F.explode(F.arrays_zip("ks", "entries")).alias("e")).select("file_id", F.col("e.ks").alias(k), F.col("e.entries").alias("entry"))
+    folded = materialize(groups.mapInPandas(_verdicts, "file_id long, error string, unsure boolean"))
+    entries = each(by_group.join(each(groups, "grp"), ["file_id", "grp"]).select("file_id", "ks", "maps", "entry").mapInPandas(_entries, walked), "k")
+    good = folded.where("error is null and not unsure").select("file_id")
+    todo = long.select("file_id", "language", "k", "text").join(entries, ["file_id", "k"]).join(good, "file_id", "left_semi")
+    schema = "file_id long, language string, k int, begins boolean, first boolean, text string, state string, stack array<string>, error string"
+    parts = materialize(todo.select("file_id", "language", "k", "text", "entry").mapInPandas(_statements(piece), schema))
+    # a piece of text that begins no statement goes on with the last one begun before it
+    order = Window.partitionBy("file_id").orderBy("k", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = parts.where("error is null").withColumn("statement", F.last(F.when(F.col("begins"), F.col("k")), ignorenulls=True).over(order))
+    one = open_.groupBy("file_id", "language", "statement").agg(F.array_sort(F.collect_list(F.struct("k", "begins", "first", "text", "state", "stack"))).alias("parts"))
+    across = one.select("file_id", "language", "parts").mapInPandas(_joined, "file_id long, error string").where("error is not null")
+    within = parts.where("error is not null").select("file_id", "error")
+    unsure = f.join(folded.where("unsure").select("file_id"), "file_id", "left_semi").select("file_id", "language", "content").mapInPandas(_whole, "file_id long, error string").where("error is not null")
+    by_stretch = folded.where("error is not null").select("file_id", "error").unionByName(within).unionByName(across).groupBy("file_id").agg(F.min("error").alias("error"))
+    return decided.unionByName(by_stretch).unionByName(unsure)
 
 
 def error_rates(files: DataFrame, errors: DataFrame) -> DataFrame:
