@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+BINS = 32
+
 
 class Boosted:
     """Logistic loss, depth-limited trees on binned features, then Platt scaling on rows held out from the trees."""
@@ -13,24 +15,28 @@ class Boosted:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base, self.scale, self.shift = 0.0, 1.0, 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Boosted:
-        """Trees on the rows not held; calibration on those held."""
-        xt, yt = x[~held].astype(np.float32), y[~held].astype(float)
+    def fit(self, x: np.ndarray, y: np.ndarray, xh: np.ndarray, yh: np.ndarray) -> Boosted:
+        """Trees on (x, y); calibration on the rows held out (xh, yh)."""
+        yt = y.astype(float)
         p = min(max(yt.mean(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
         score = np.full(len(yt), self.base)
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) if len(np.unique(c)) > 33 else (np.unique(c)[:-1] + np.unique(c)[1:]) / 2 for c in xt.T]
+        x = x.astype(np.float32)
+        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(np.unique(c)) > BINS else (np.unique(c)[:-1] + np.unique(c)[1:]) / 2 for c in x.T]
+        used = [f for f, c in enumerate(cuts) if len(c)]
+        # a bin of every value, numbered through over all features, so that one count serves them all
+        bins = np.stack([np.searchsorted(cuts[f], x[:, f], side="left") + k * BINS for k, f in enumerate(used)], axis=1).astype(np.int32)
         for _ in range(self.n_trees):
             q = 1 / (1 + np.exp(-score))
-            tree = self._grow(xt, yt - q, q * (1 - q), cuts)
+            tree = self._grow(bins, used, yt - q, q * (1 - q), cuts)
             self.trees.append(tree)
-            score += self._apply(tree, xt)
-        raw, yh = self.raw(x[held]), y[held].astype(float)
+            score += self._apply(tree, x)
+        raw, held = self.raw(xh), yh.astype(float)
         a, b = 1.0, 0.0
         for _ in range(200):  # Newton steps with a ridge towards the raw scores
             q = 1 / (1 + np.exp(-(a * raw + b)))
             w = q * (1 - q) + 1e-6
-            g = np.array([((q - yh) * raw).sum() + (a - 1), (q - yh).sum()])
+            g = np.array([((q - held) * raw).sum() + (a - 1), (q - held).sum()])
             h = np.array([[(w * raw * raw).sum() + 1, (w * raw).sum()], [(w * raw).sum(), w.sum()]]) + 1e-6 * np.eye(2)
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
@@ -39,8 +45,8 @@ class Boosted:
         self.scale, self.shift = float(a), float(b)
         return self
 
-    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = 2 ** (self.depth + 1) - 1
+    def _grow(self, bins: np.ndarray, used: list[int], g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size, wide = 2 ** (self.depth + 1) - 1, bins.shape[1]
         feature, cut, value = np.full(size, -1, np.int32), np.zeros(size, np.float32), np.zeros(size)
         rows = {0: np.arange(len(g))}
         for node in range(size):
@@ -51,20 +57,14 @@ class Boosted:
             value[node] = self.rate * gs / (hs + self.penalty)
             if node >= size // 2 or len(at) < 2 * self.least:
                 continue
-            best, parent = (1e-6, -1, 0.0), gs * gs / (hs + self.penalty)
-            for f, c in enumerate(cuts):
-                if not len(c):
-                    continue
-                bin_ = np.searchsorted(c, x[at, f], side="left")
-                gl, hl, n = (np.cumsum(np.bincount(bin_, w, len(c) + 1))[:-1] for w in (g[at], h[at], np.ones(len(at))))
-                gain = gl**2 / (hl + self.penalty) + (gs - gl) ** 2 / (hs - hl + self.penalty) - parent
-                gain[(n < self.least) | (len(at) - n < self.least)] = -1
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, float(c[k]))
-            if best[1] >= 0:
-                feature[node], cut[node] = best[1], best[2]
-                left = x[at, best[1]] <= best[2]
+            flat = bins[at].ravel()
+            gl, hl, n = (np.bincount(flat, w, wide * BINS).reshape(wide, BINS).cumsum(axis=1) for w in (np.repeat(g[at], wide), np.repeat(h[at], wide), None))
+            gain = gl**2 / (hl + self.penalty) + (gs - gl) ** 2 / (hs - hl + self.penalty) - gs * gs / (hs + self.penalty)
+            gain[(n < self.least) | (len(at) - n < self.least)] = -1
+            k, c = divmod(int(gain.argmax()), BINS)
+            if gain[k, c] > 1e-6 and c < len(cuts[used[k]]):
+                feature[node], cut[node] = used[k], cuts[used[k]][c]
+                left = bins[at, k] <= c + k * BINS
                 rows[2 * node + 1], rows[2 * node + 2] = at[left], at[~left]
         return feature, cut, value
 

@@ -3,7 +3,7 @@ import numpy as np
 from codeloom.llm import pii
 from codeloom.llm.boost import Boosted
 from codeloom.llm.pii_candidates import KINDS, candidates
-from codeloom.llm.pii_training import Maker
+from codeloom.llm.pii_training import Composer, Maker
 
 
 def test_boosting_learns_and_calibrates():
@@ -11,7 +11,8 @@ def test_boosting_learns_and_calibrates():
     x = r.integers(0, 10, (4000, 3)).astype(float)
     p = np.where((x[:, 0] > 5) ^ (x[:, 1] > 5), 0.9, 0.1)
     y = r.random(4000) < p
-    m = Boosted(n_trees=30, depth=3).fit(x, y, np.arange(4000) % 4 == 0)
+    held = np.arange(4000) % 4 == 0
+    m = Boosted(n_trees=30, depth=3).fit(x[~held], y[~held], x[held], y[held])
     q = m.predict(x)
     assert abs(q[p > 0.5].mean() - 0.9) < 0.05 and abs(q[p < 0.5].mean() - 0.1) < 0.05
 
@@ -25,14 +26,61 @@ def test_candidates_have_high_recall():
     assert hit / all_ > 0.98
 
 
-def test_held_out_accuracy():
-    model, cut = pii.train(3000)
-    maker, tp, fp, fn = Maker(4242), 0, 0, 0
-    texts = [maker.text() for _ in range(800)]
-    for (text, spans), found in zip(texts, pii.find_spans([t for t, _ in texts], model, cut)):
+def scores(maker, n):
+    model, cut = pii.train(4000)
+    tp, fp, fn = 0, 0, 0
+    texts = [maker.text() for _ in range(n)]
+    for (_, spans), found in zip(texts, pii.find_spans([t for t, _ in texts], model, cut)):
         got, want = {(k, a) for k, a, _, _ in found}, set(spans)
         tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
-    assert tp / (tp + fp) > 0.93 and tp / (tp + fn) > 0.93
+    return tp / (tp + fp), tp / (tp + fn)
+
+
+def test_held_out_accuracy():
+    # texts composed anew, and sentences of the other generator, of which the trees have seen none
+    assert min(scores(Composer(4242), 800)) > 0.85
+    assert min(scores(Maker(4243), 800)) > 0.9
+
+
+def test_hand_written_texts():
+    """Texts of neither generator, with the items marked."""
+    import re
+
+    marked = [
+        "Yesterday [person:Imogen Hartwell] phoned the desk; her line is [phone:(212) 555-0143] if you need it.", "La facture part chez [person:Bastien Delorme], [address:14 rue des Tilleuls, 00123 Beaulieu].", "Schreib bitte an [email:jonas.keller@post.example] oder ruf [phone:+49 171 2345678] an.",
+        "El expediente de [person:Lucía Montero] lleva el DNI [id_number:00123456-Z].", "The parser of the Harbor Ledger reads 4412 rows, build 20250611.", "Clone git@code.example.org:team/app.git and bump lib@2.14.0 first.", "Order 993817265 and invoice 20481 were merged into batch 77 12 904.",
+        "{\"owner\": \"[person:Esther Quinn]\", \"tel\": \"[phone:020 7946 0123]\"}",
+    ]
+    texts, want = [], []
+    for m in marked:
+        spans, out = [], ""
+        for part in re.split(r"(\[\w+:[^\]]+\])", m):
+            if item := re.fullmatch(r"\[(\w+):([^\]]+)\]", part):
+                spans.append((item[1], len(out)))
+                out += item[2]
+            else:
+                out += part
+        texts.append(out)
+        want.append(spans)
+    got = [[(k, a) for k, a, _, _ in s] for s in pii.find_spans(texts, *pii.train(4000))]
+    missed, extra = [(t, set(w) - set(g)) for t, w, g in zip(texts, want, got) if set(w) - set(g)], [(t, set(g) - set(w)) for t, w, g in zip(texts, want, got) if set(g) - set(w)]
+    assert len(missed) <= 1 and len(extra) <= 1, (missed, extra)
+
+
+def test_no_sentence_of_the_documents():
+    import glob
+    import re
+
+    import pandas as pd
+
+    from codeloom.llm import pii_training as T
+
+    files = glob.glob("/root/testdata/sf0.01/documents.parquet")
+    if not files:
+        return
+    docs = "\n\0\n".join(pd.read_parquet(files[0])["text"].dropna())
+    parts = [f for t in T.POSITIVE + T.NEGATIVE for f in re.split(r"\{\w+\}", t)] + [w for ws in (*T.LEADS.values(), *T.KEYS.values(), T.TAILS, T.OPENERS, T.PROSE) for w in ws]
+    assert not [p for p in parts for i in range(len(p) - 11) if p[i : i + 12] in docs]
 
 
 def test_operator(spark):
@@ -41,12 +89,12 @@ def test_operator(spark):
         (5, "The graph shows 12 edges. " * 4000 + "Mme Solquignon habite 37, chemin du Vieux Lavoir - 00340 Valbrune et attend.", "x"), (6, "SSN 904-18-4320 shows up.", "x"), (6, "SSN 904-18-4320 shows up.", "x"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    got = sorted((x["doc_id"], x["kind"], x["start_pos"]) for x in pii.find_personal(df, n_train=3000).collect())
+    got = sorted((x["doc_id"], x["kind"], x["start_pos"]) for x in pii.find_personal(df, n_train=4000).collect())
     base = 26 * 4000
     assert got == [(1, "email", 78), (1, "person", 12), (1, "phone", 42), (5, "address", base + 22), (5, "person", base + 4), (6, "id_number", 4), (6, "id_number", 4)]
-    red = {x["doc_id"]: (x["redacted"], x["n_items"]) for x in pii.redact_personal(df, n_train=3000).collect()}
+    red = {x["doc_id"]: (x["redacted"], x["n_items"]) for x in pii.redact_personal(df, n_train=4000).collect()}
     assert red[1][0] == "Reported by [PERSON], call back on [PHONE] before noon.\nSend to [EMAIL]." and red[2] == (rows[1][1], 0) and red[3][0] is None and red[4] == ("", 0)
-    assert pii.find_personal(df.limit(0), n_train=3000).count() == 0
+    assert pii.find_personal(df.limit(0), n_train=4000).count() == 0
     assert set(KINDS) == set(pii.PLACEHOLDER)
 
 
