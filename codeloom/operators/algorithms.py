@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from codeloom.functions.kernels import cycle_severity, jaccard
 from codeloom.graph import PropertyGraph
 from codeloom.operators.components import connected, strongly_connected
-from codeloom.session import is_empty, materialize
+from codeloom.session import is_empty
+from codeloom.session import settle as materialize
 
 SHINGLE, CLONE_LEAST, CLONE_SIMILARITY = 30, 30, 0.9
 SETTLED = 0.005  # a pass that moves a smaller share of the nodes is the last

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize
+from codeloom.session import settle as materialize
 
 SPLITTER_EVERY = 8
 HEAVY_SHARE = 1000

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.kernels import risk
 from codeloom.graph import PropertyGraph
-from codeloom.session import is_empty, materialize
+from codeloom.session import is_empty
+from codeloom.session import settle as materialize
 
 #: Edges along which a change has effects; edges that the wider search leaves out.
 CAUSAL = ("CALLS", "CALLS_ACTION", "CALLS_SERVICE", "IMPORTS", "USES", "DEPENDS_ON", "INHERITS", "IMPLEMENTS", "EXTENDS", "OVERRIDES", "RENDERS_VIEW", "HANDLES_ROUTE", "FETCHES", "MAPS_TO_ENTITY")

@@ -52,6 +52,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """As :func:`materialize`, for loops: the table forgets the order, partitioning and constraints of its plan.
+
+    A checkpoint keeps these, and what joins say of them doubles from round to round, until planning takes longer than
+    the work. If the session cannot build a table of plain rows, the checkpoint itself is returned.
+    """
+    done = materialize(df)
+    try:
+        rows = done._jdf.queryExecution().toRdd()
+        return DataFrame(done.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), done.sparkSession)
+    except (AttributeError, TypeError):  # no classic session
+        return done
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -1,5 +1,6 @@
 import random
 
+from codeloom.operators import components as C
 from codeloom.operators import hierarchy
 from codeloom.operators.components import connected, strongly_connected
 from codeloom.plans.problems import class_links, file_links
@@ -109,3 +110,38 @@ def test_descendants_on_and_below_loops(spark):
     got = hierarchy.loop_descendants(links, hierarchy.resolve_hierarchy(links)).collect()
     assert {(x.ancestor, x.descendant): x.distance for x in got} == want and len(got) == len(want)
     assert want[("below", "c19")] == 21 and ("under", "c0") in want
+
+
+def brute_components(edges):
+    """Components by reachability, of at least two nodes or with a self-loop."""
+    reach = {a: {a} for e in edges for a in e}
+    while True:
+        grown = {a: set().union(r, *(({y} for x, y in edges if x in r))) for a, r in reach.items()}
+        if grown == reach:
+            break
+        reach = grown
+    parts = {frozenset(b for b in reach[a] if a in reach[b]) for a in reach}
+    return {p for p in parts if len(p) > 1 or (min(p), min(p)) in edges}
+
+
+def test_components_of_chains_loops_and_dense_parts(spark):
+    r = random.Random(5)
+    for n, extra in ((14, 3), (30, 50)):
+        edges = set()
+        for _ in range(3):
+            ring = r.sample(range(n), r.randrange(1, n - 2))
+            edges |= {(str(a), str(b)) for a, b in zip(ring, ring[1:] + ring[:1])}
+        edges |= {(str(r.randrange(n)), str(r.randrange(n))) for _ in range(extra)}
+        got = {}
+        for x in C.strongly_connected(spark.createDataFrame(sorted(edges), "src string, dst string")).collect():
+            got.setdefault(x["component"], set()).add(x["node"])
+        assert {frozenset(p) for p in got.values()} == brute_components(edges)
+
+
+def test_long_loop_takes_few_rounds(spark, monkeypatch):
+    rounds, real = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: rounds.append(1) or real(df))
+    n = 5000
+    e = spark.range(n).selectExpr("cast(id as string) as src", f"cast((id + 1) % {n} as string) as dst")
+    assert C.strongly_connected(e).groupBy("component").count().first()["count"] == n
+    assert len(rounds) < 90
