@@ -95,3 +95,43 @@ def as_text(c: Column, kind: str) -> Column:
     """The display form of a value: whole numbers without fraction, null as the word."""
     s = F.regexp_replace(c.cast("string"), r"\.0$", "") if kind in ("double", "float") else c.cast("string")
     return F.coalesce(s, F.lit("null"))
+
+
+def bytes_head(text: Column, n: int) -> Column:
+    """The longest beginning of a text that takes at most n bytes."""
+    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+
+
+#: What paths tell of a framework, as (test of the lower-case path, multiplier, reason), first match first.
+FRAMEWORKS = (
+    (r"(?:^|/)app/(?:.*/)?page\.", 2.0, "Next.js App Router page"), (r"(?:^|/)app/(?:.*/)?layout\.", 1.8, "Next.js App Router layout"), (r"(?:^|/)app/(?:.*/)?route\.", 2.0, "Next.js App Router API route"), (r"(?:^|/)app/(?:.*/)?(?:loading|error)\.", 1.3, "Next.js App Router boundary"),
+    (r"(?:^|/)pages/(?:.*/)?_(?:app|document)\.", 1.5, "Next.js Pages Router shell"), (r"(?:^|/)pages/(?:.*/)?[^/]*\.[jt]sx?$", 1.8, "Next.js Pages Router page"), (r"(?:^|/)(?:routes|controllers)/.*\.(?:[cm]?js|tsx?|jsx)$", 1.5, "Express/Node.js route or controller"), (r"(?:^|/)middlewares?/.*\.(?:[cm]?js|tsx?|jsx)$", 1.3, "Express/Node.js middleware"),
+    (r"(?:^|/)(?:views|urls)\.py$", 1.8, "Django view/URL configuration"), (r"(?:^|/)models\.py$", 1.5, "Django model definition"), (r"(?:^|/)serializers\.py$", 1.3, "Django REST serializer"),
+)
+
+
+def framework_of(path: Column) -> Column:
+    """``multiplier, reason`` of the framework that a path shows, or null."""
+    low, out = F.lower(F.regexp_replace(path, r"\\", "/")), F.lit(None).cast("struct<multiplier: double, reason: string>")
+    for pattern, weight, reason in reversed(FRAMEWORKS):
+        out = F.when(low.rlike(pattern), F.struct(F.lit(weight).alias("multiplier"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
+
+
+#: Names of entry points, prefixes of handlers and of helpers, with their scores.
+ENTRY_SCORES = {"main": 1.0, "init": 0.8, "bootstrap": 0.9, "start": 0.85, "run": 0.8, "setup": 0.7, "configure": 0.7, "register": 0.6, "mount": 0.6, "listen": 0.7, "serve": 0.7, "execute": 0.6, "launch": 0.8, "create_app": 0.9, "create_server": 0.9}
+HANDLER_SCORES = {"handle": 0.7, "on_": 0.65, "on": 0.5, "process": 0.6, "dispatch": 0.6, "route": 0.6, "middleware": 0.5}
+HELPER_SCORES = {"is": 0.1, "has": 0.1, "get": 0.15, "set": 0.15, "to": 0.1, "from": 0.15, "parse": 0.15, "format": 0.1, "validate": 0.15, "normalize": 0.1, "convert": 0.1, "transform": 0.1}
+
+
+def name_score(name: Column) -> Column:
+    """How much a name is that of an entry point: exact names, then prefixes before a capital or an underscore; or null."""
+    low, out = F.lower(name), F.lit(None).cast("double")
+    for scores in (HELPER_SCORES, HANDLER_SCORES):
+        for prefix, score in reversed(scores.items()):
+            rest = F.substring(name, F.lit(len(prefix) + 1), F.length(name))
+            out = F.when(low.startswith(prefix) & rest.rlike(r"^(?:_|\p{Lu})"), F.lit(score)).otherwise(out)
+    for word, score in ENTRY_SCORES.items():
+        out = F.when(low == word, F.lit(score)).otherwise(out)
+    return out

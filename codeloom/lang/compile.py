@@ -110,6 +110,8 @@ class Compiler:
                 else:
                     df = self.hop(df, here, pattern[i - 1], node, name)
                 here = name
+            if self.dialect == "cql" and len(pattern) > 1:  # sets of bindings, where the other dialect has bags
+                df = df.dropDuplicates([f"{v}__id" for v in self.vars if not v.startswith("anonymous") or v == here])
         return df
 
     def narrow(self, df: DataFrame, node: Node, name: str) -> DataFrame:
@@ -136,9 +138,7 @@ class Compiler:
             if dangling:
                 joined = joined.withColumn(f"{name}__id", F.coalesce(f"{name}__id", "e_to"))
             self.vars.append(name)
-        joined = joined.drop("e_from", "e_to")
-        # one dialect has sets of bindings, the other bags
-        return joined.dropDuplicates([f"{v}__id" for v in self.vars if not v.startswith("anonymous") or v == name]) if self.dialect == "cql" else joined
+        return joined.drop("e_from", "e_to")
 
     def paths(self, starts: DataFrame, e: DataFrame, low: int, high: int) -> DataFrame:
         """(start, end) pairs of walks of low to high hops."""
@@ -308,12 +308,12 @@ class Compiler:
                 return F.countDistinct(shown)
             if e.name == "collect":
                 return F.array_sort(F.collect_set(shown))
-            kept = F.collect_set(F.struct(shown.alias("s"), number.alias("n")))
-            total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.coalesce(x["n"], F.lit(0.0)))
+            # equal numbers are shown alike, so their distinct sum needs no list of them; a null is a value of its own, 0
+            total = F.coalesce(F.sum_distinct(number), F.lit(0.0))
             if e.name == "sum":
                 return total
             if e.name == "avg":
-                return F.when(F.size(kept) > 0, total / F.size(kept))
+                return total / F.nullif(F.countDistinct(shown), F.lit(0))
         if e.name == "count":
             return F.count(F.lit(1))
         if e.name == "collect":

@@ -124,6 +124,24 @@ def graph_diff(old: PropertyGraph, new: PropertyGraph, properties: list[str]) ->
     return nodes, edges
 
 
+FLAGS = ("is_dead_candidate", "is_traced", "complexity", "entry_point_score")
+
+
+def snapshot_summary(old: PropertyGraph, new: PropertyGraph) -> DataFrame:
+    """``label, n_old, n_new, delta`` of every label in either graph; label null holds the totals."""
+    c = old.nodes.select("label", F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.nodes.select("label", F.lit(0).alias("o"), F.lit(1).alias("n")))
+    r = c.rollup("label").agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new"))
+    return r.select("label", "n_old", "n_new", (F.col("n_new") - F.col("n_old")).alias("delta"))
+
+
+def flag_flips(old: PropertyGraph, new: PropertyGraph, most: int = 25) -> DataFrame:
+    """``id, flags``: nodes of both graphs whose flags or measures changed, by id, the first ``most``."""
+    flags = [f for f in FLAGS if f in old.nodes.columns and f in new.nodes.columns]
+    j = old.nodes.select("id", F.struct(*flags).alias("a")).join(new.nodes.select("id", F.struct(*flags).alias("b")), "id")
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in flags]))
+    return j.select("id", changed.alias("flags")).where(F.size("flags") > 0).orderBy("id").limit(most)
+
+
 # change history: commits are rows (commit, ts, author, email, file, added, removed)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.kernels import next_route, normalize_route
+from codeloom.functions.kernels import bytes_head, next_route, normalize_route
 from codeloom.session import materialize, spread
 
 #: Languages by extension, folders that are not scanned, the greatest file.
@@ -81,12 +81,6 @@ def file_slice(files: DataFrame, path: str, start: int, end: int) -> DataFrame:
     return lines(files.where(F.col("file_path") == path)).where(F.col("line").between(start, end))
 
 
-def bytes_head(text: Column, n: int) -> Column:
-    """The longest beginning of a text that takes at most n bytes."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8")
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
-
-
 def todos(files: DataFrame) -> DataFrame:
     """``file_path, line, kind, text``: markers behind a comment start, one a line, text up to 500 bytes."""
     t = lines(files).where(F.col("text").rlike(TODO))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.kernels import cosine, label_weight, path_weight, tokens
+from codeloom.functions.kernels import bytes_head, cosine, label_weight, path_weight, tokens
 from codeloom.session import spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -151,10 +151,13 @@ def hybrid(nodes: DataFrame, vectors: DataFrame, query: str, embed: Callable[[st
 
 
 def group_by_process(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Hits with the process they are a step of; hits of no process are definitions (null process)."""
+    """``process_id, process, step_count, id, step``: hits (``id``) with the processes they are a step of, those of most
+    steps first, then by step; hits of no process are definitions (null process) and come last."""
     steps = edges.where("type = 'STEP_IN_PROCESS'").select(F.col("source_id").alias("s_id"), F.col("target_id").alias("process_id"), "step")
+    count = steps.groupBy(F.col("process_id").alias("c_id")).agg(F.count(F.lit(1)).alias("step_count"))
     names = nodes.where("label = 'Process'").select(F.col("id").alias("p_id"), F.col("name").alias("process"))
-    return hits.join(steps, F.col("id") == F.col("s_id"), "left").join(names, F.col("process_id") == F.col("p_id"), "left").drop("s_id", "p_id")
+    j = hits.join(steps, F.col("id") == F.col("s_id"), "left").join(names, F.col("process_id") == F.col("p_id"), "left").join(count, F.col("process_id") == F.col("c_id"), "left")
+    return j.drop("s_id", "p_id", "c_id").orderBy(F.desc_nulls_last("step_count"), "process_id", F.asc_nulls_last("step"), "id")
 
 
 def search_code(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 10, neighbours: int = 5) -> DataFrame:
@@ -175,11 +178,42 @@ def search_code(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 10,
 
 def embedding_text(nodes: DataFrame) -> DataFrame:
     """``node_id, text``: name, path, description and the head of the content; build artefacts are left out."""
-    cols = [c for c in ("name", "file_path", "description") if c in nodes.columns] + ([F.substring("content", 1, 1000)] if "content" in nodes.columns else [])
+    cols = [c for c in ("name", "file_path", "description") if c in nodes.columns] + ([bytes_head(F.col("content"), 1000)] if "content" in nodes.columns else [])
     kept = nodes.where(~F.coalesce(F.col("file_path").rlike(r"(?i)(?:^|/)(?:obj|bin|node_modules|packages)/|\.min\."), F.lit(False)))
     return kept.select(F.col("id").alias("node_id"), F.concat_ws(" ", *cols).alias("text"))
 
 
+def embed_nodes(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, batch: int = 64) -> DataFrame:
+    """``node_id, embedding`` of ``texts`` (``node_id, text``) by a model that every task loads once.
+
+    ``load`` gives a callable from texts to vectors. Vectors are brought to length 1; a batch that fails, a vector of
+    another length or without a norm becomes zeros, which no search finds.
+    """
+
+    def run(batches):
+        model = load()
+        for pdf in batches:
+            out = np.zeros((len(pdf), dim), np.float32)
+            for a in range(0, len(pdf), batch):
+                try:
+                    vectors = model([t or "" for t in pdf["text"].iloc[a : a + batch]])
+                except Exception:
+                    continue
+                for i, v in enumerate(vectors[:batch]):
+                    v = np.asarray(v, np.float32)
+                    norm = float(np.linalg.norm(v)) if v.shape == (dim,) else 0.0
+                    if norm > 0 and np.isfinite(norm):
+                        out[a + i] = v / norm
+            yield pd.DataFrame({"node_id": pdf["node_id"], "embedding": list(out)})
+
+    return spread(texts.select("node_id", "text")).mapInPandas(run, "node_id string, embedding array<float>")
+
+
+def clamp(limit: int | None, default: int, most: int) -> int:
+    """A limit that a caller asks for, within 1 and the most a report may have."""
+    return max(1, min(default if limit is None else limit, most))
+
+
 def rerank(ranked: DataFrame, judge: Callable[[list[dict]], list[int]], most: int = 30) -> DataFrame:
     """Reorder the first rows by a callable that returns positions; none is invented or lost.
 

@@ -27,15 +27,15 @@ def steps(edges: DataFrame, direction: str, types: tuple[str, ...] | None = None
 
 def bfs(seeds: DataFrame, moves: DataFrame, depth: int | None) -> DataFrame:
     """``seed, id, depth``: least depth of every node reached from each seed (``seed, id``), seeds at 0."""
-    front = materialize(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)))
-    seen, k = front, 0
+    moves, k = materialize(moves), 0
+    seen, n = materialize(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0))), 0
     while depth is None or k < depth:
-        k += 1
-        new = front.join(moves, F.col("id") == F.col("a")).select("seed", F.col("b").alias("id")).distinct()
-        front = materialize(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(k)))
-        if is_empty(front):
+        new = seen.where(F.col("depth") == k).join(moves, F.col("id") == F.col("a")).select("seed", F.col("b").alias("id"), F.lit(k + 1).alias("depth"))
+        # one table of what was reached, written anew each round: the least depth of a pair stays
+        seen = materialize(seen.unionByName(new).groupBy("seed", "id").agg(F.min("depth").alias("depth")))
+        k, n, was = k + 1, seen.count(), n
+        if n == was:
             break
-        seen = seen.unionByName(front)
     return seen
 
 
@@ -50,7 +50,12 @@ def impact(g: PropertyGraph, what: str, direction: str = "upstream", depth: int
     wide: start also from members and sibling classes, and follow all edges but NOT_CAUSAL ones.
     """
     s = seeds_of(g, what)
+    if wide and is_empty(s):  # names that hold the text, classes and controllers before others
+        rank = F.when(F.col("label").isin("Controller", "Class", "Service"), 0).when(F.col("label").isin("Method", "Function"), 1).otherwise(2)
+        s = g.nodes.where(F.lower("name").contains(what.lower())).orderBy(rank, "id").limit(1).select(F.lit(what).alias("seed"), "id")
     if wide:
+        mine = s.join(g.nodes.select("id", "label", "name"), "id").where("label = 'Controller'").select("seed", "name")
+        s = s.unionByName(mine.join(g.label("Class").select("name", "id"), "name").select("seed", "id"))
         members = g.out_edges("HAS_METHOD", "HAS_PROPERTY", "HAS_ACTION").select("source_id", F.col("target_id").alias("m_id"))
         s = s.unionByName(s.join(members, F.col("id") == F.col("source_id")).select("seed", F.col("m_id").alias("id")))
     moves = steps(g.edges, "in" if direction == "upstream" else "out", None if wide else CAUSAL, NOT_CAUSAL if wide else ())
@@ -59,9 +64,42 @@ def impact(g: PropertyGraph, what: str, direction: str = "upstream", depth: int
     return out.where("label <> 'Community' and file_path not like '%/obj/%'") if wide else out
 
 
+def impact_paths(g: PropertyGraph, node_id: str, direction: str = "upstream", depth: int = 5) -> DataFrame:
+    """``id, label, name, file_path, depth, path``: what a change of one node touches, with the least shortest path to it.
+
+    The greatest depth is the maximum of ``depth``, the affected files are the distinct ``file_path``; the edges among
+    the nodes come from :func:`induced`.
+    """
+    moves = materialize(steps(g.edges, "in" if direction == "upstream" else "out", CAUSAL))
+    seen, n = materialize(g.node(node_id).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))), 0
+    for k in range(max(1, min(depth, 10))):
+        new = seen.where(F.col("depth") == k).join(moves, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.lit(k + 1).alias("depth"), F.concat("path", F.array("b")).alias("path"))
+        best = seen.unionByName(new).groupBy("id").agg(F.min(F.struct("depth", "path")).alias("r"))
+        seen = materialize(best.select("id", "r.depth", "r.path"))
+        n, was = seen.count(), n
+        if n == was:
+            break
+    return seen.where("depth > 0").join(g.nodes.select("id", "label", "name", "file_path"), "id").select("id", "label", "name", "file_path", "depth", "path")
+
+
+def induced(g: PropertyGraph, ids: DataFrame) -> DataFrame:
+    """Edges both ends of which are in ``ids`` (column ``id``)."""
+    i = ids.select("id").distinct()
+    return g.edges.join(i.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(i.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(g.edges.columns)
+
+
+def process_flow(g: PropertyGraph, most: int = 20) -> DataFrame:
+    """``process_id, k, id, depth``: from the first step of every process along its calls, the first ``most`` symbols."""
+    first = g.out_edges("STEP_IN_PROCESS").groupBy("target_id").agg(F.min(F.struct(F.coalesce("step", F.lit(1 << 30)).alias("step"), "source_id")).alias("f"))
+    seeds = first.select(F.col("target_id").alias("seed"), F.col("f.source_id").alias("id"))
+    hit = bfs(seeds, steps(g.edges, "out", ("CALLS", "CALLS_ACTION")), most)
+    k = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id"))
+    return hit.withColumn("k", k).where(F.col("k") <= most).select(F.col("seed").alias("process_id"), "k", "id", "depth")
+
+
 def shortest_path(g: PropertyGraph, start: str, goal: str, types: tuple[str, ...] | None = None, directed: bool = True, depth: int | None = 10) -> DataFrame:
     """``depth, path``: the least shortest path between two ids, or no row. A node reaches itself at depth 0."""
-    moves = steps(g.edges, "out" if directed else "both", types)
+    moves = materialize(steps(g.edges, "out" if directed else "both", types))
     seen = front = materialize(g.node(start).select("id", F.array("id").alias("path")))
     k = 0
     while (depth is None or k < min(depth, 50)) and is_empty(front.where(F.col("id") == goal)) and not is_empty(front):
@@ -139,11 +177,12 @@ def detect_changes(g: PropertyGraph, hunks: DataFrame, depth: int = 3) -> DataFr
 
 
 def endpoint_handler(g: PropertyGraph, method: str, route: str) -> DataFrame:
-    """Handlers of endpoints by method and part of the route: HANDLED_BY edges, else ``handler_id``."""
+    """Handlers of endpoints by method and part of the route: HANDLED_BY edges, else ``handler_id``; with what they call."""
     e = g.label("ApiEndpoint").where((F.upper("http_method") == method.upper()) & F.lower("route").contains(route.lower()))
     by = g.out_edges("HANDLED_BY").select(F.col("source_id").alias("s_id"), F.col("target_id").alias("by_edge"))
     j = e.join(by, F.col("id") == F.col("s_id"), "left").select(F.col("id").alias("endpoint_id"), F.coalesce("by_edge", "handler_id").alias("id"))
-    return j.join(g.nodes.select("id", "name", "file_path"), "id")
+    calls = g.out_edges("CALLS").groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_set("target_id")).alias("calls"))
+    return j.join(g.nodes.select("id", "name", "file_path"), "id").join(calls, "id", "left")
 
 
 def communities(g: PropertyGraph, part: str | None = None) -> DataFrame:
@@ -155,9 +194,11 @@ def communities(g: PropertyGraph, part: str | None = None) -> DataFrame:
     return first.join(m, F.col("c_id") == F.col("t_id")).join(g.nodes, F.col("source_id") == F.col("id")).select("community", "id", "label", "name")
 
 
-def process_steps(g: PropertyGraph) -> DataFrame:
-    """``process_id, k, id, name``: steps of every process, numbered anew in order."""
+def process_steps(g: PropertyGraph, name: str | None = None) -> DataFrame:
+    """``process_id, k, id, name``: steps of every process, or of those of one name, numbered anew in order."""
     e = g.out_edges("STEP_IN_PROCESS").select(F.col("target_id").alias("process_id"), F.col("source_id").alias("id"), "step")
+    if name is not None:
+        e = e.join(g.label("Process").where(F.col("name") == name).select(F.col("id").alias("process_id")), "process_id", "left_semi")
     k = F.row_number().over(Window.partitionBy("process_id").orderBy(F.asc_nulls_last("step"), "id"))
     return e.withColumn("k", k).join(g.nodes.select("id", "name"), "id").select("process_id", "k", "id", "name")
 

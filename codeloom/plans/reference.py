@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import kernels
 from codeloom.graph import code_graph, star_graph
 from codeloom.lang.compile import run_query
 from codeloom.operators import algorithms, analytics, etl, search, traverse, views
@@ -242,15 +243,30 @@ def _bfs_sql(moves: str, depth: int) -> str:
 
 add("impact_upstream", lambda s, f: traverse.impact(code_graph(s, f), _NAME, "upstream", 3), _bfs_sql(f"SELECT DISTINCT target_id AS a, source_id AS b FROM ge WHERE type IN ({_CAUSAL})", 3) + " SELECT id, label, name, file_path, depth FROM r JOIN gn USING (id) WHERE depth > 0")
 add("impact_downstream", lambda s, f: traverse.impact(code_graph(s, f), _NAME, "downstream", 2), _bfs_sql(f"SELECT DISTINCT source_id AS a, target_id AS b FROM ge WHERE type IN ({_CAUSAL})", 2) + " SELECT id, label, name, file_path, depth FROM r JOIN gn USING (id) WHERE depth > 0")
+add(
+    "impact_paths", lambda s, f: traverse.impact_paths(g := code_graph(s, f), g.nodes.where(F.lower("name") == _NAME.lower()).agg(F.min("id")).first()[0], "upstream", 3).withColumn("path", F.array_join("path", " ")),
+    f"{GRAPH}, mv AS (SELECT DISTINCT target_id AS a, source_id AS b FROM ge WHERE type IN ({_CAUSAL})), w(id, depth, path) AS (SELECT id, 0, [id] FROM (SELECT min(id) AS id FROM gn WHERE lower(name) = lower('{_NAME}')) UNION SELECT mv.b, depth + 1, list_append(path, mv.b) FROM w JOIN mv ON mv.a = w.id WHERE depth < 3), r AS (SELECT id, min((depth, path)) AS r FROM w GROUP BY 1) SELECT id, label, name, file_path, r[1] AS depth, array_to_string(r[2], ' ') AS path FROM r JOIN gn USING (id) WHERE r[1] > 0",
+)
 add("neighbours", lambda s, f: traverse.neighbours(code_graph(s, f), _NAME, 2), _bfs_sql("SELECT source_id AS a, target_id AS b FROM ge UNION SELECT target_id, source_id FROM ge", 2) + " SELECT id, label, name, depth FROM r JOIN gn USING (id) WHERE depth > 0")
 add("trace_files", lambda s, f: traverse.trace_files(code_graph(s, f), _NAME, 3), _bfs_sql("SELECT DISTINCT source_id AS a, target_id AS b FROM ge WHERE type NOT IN ('HAS_METHOD', 'HAS_PROPERTY')", 3) + " SELECT file_path, count(*) AS n_symbols, min(depth) AS depth FROM r JOIN gn USING (id) GROUP BY 1")
 add(
     "context", lambda s, f: traverse.context(code_graph(s, f), _NAME, 1 << 30),
     f"{GRAPH}, q AS (SELECT id FROM gn WHERE lower(name) = lower('{_NAME}')) SELECT DISTINCT 'out' AS direction, type, n.id, n.name FROM ge JOIN gn n ON n.id = target_id WHERE source_id IN (SELECT id FROM q) UNION ALL SELECT DISTINCT 'in', type, n.id, n.name FROM ge JOIN gn n ON n.id = source_id WHERE target_id IN (SELECT id FROM q)",
 )
+
+
+def _path(s: SparkSession, f: str) -> DataFrame:
+    """From the first customer to the supplier of the greatest key of another nation in its region."""
+    c, n, u = table(s, f, "customer"), table(s, f, "nation"), table(s, f, "supplier")
+    home = c.orderBy("c_custkey").limit(1).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", F.col("n_regionkey").alias("r"))
+    goal = u.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(home), (F.col("n_regionkey") == F.col("r")) & (F.col("s_nationkey") != F.col("c_nationkey"))).agg(F.max("s_suppkey").alias("s"), F.min("c_custkey").alias("c")).first()
+    found = traverse.shortest_path(star_graph(s, f), f"Customer:{goal['c']}", f"Supplier:{goal['s']}", ("MEMBER_OF", "BELONGS_TO"), directed=False)
+    return found.select("depth", F.array_join("path", " ").alias("path"))
+
+
 add(
-    "shortest_path", lambda s, f: traverse.shortest_path(star_graph(s, f), "Customer:1", "Customer:2", ("MEMBER_OF", "BELONGS_TO"), directed=False).select("depth", F.array_join("path", " ").alias("path")),
-    "WITH q AS (SELECT a.c_nationkey AS x, b.c_nationkey AS y, m.n_regionkey AS p, n.n_regionkey AS q FROM customer a, customer b, nation m, nation n WHERE a.c_custkey = 1 AND b.c_custkey = 2 AND m.n_nationkey = a.c_nationkey AND n.n_nationkey = b.c_nationkey) SELECT CASE WHEN x = y THEN 2 ELSE 4 END AS depth, CASE WHEN x = y THEN 'Customer:1 Nation:' || x || ' Customer:2' ELSE 'Customer:1 Nation:' || x || ' Region:' || p || ' Nation:' || y || ' Customer:2' END AS path FROM q WHERE x = y OR p = q",
+    "shortest_path", _path,
+    "WITH h AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 1), g AS (SELECT s_suppkey, s_nationkey, h.* FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey JOIN h ON n.n_regionkey = h.n_regionkey AND s_nationkey <> c_nationkey ORDER BY s_suppkey DESC LIMIT 1) SELECT 4 AS depth, 'Customer:' || c_custkey || ' Nation:' || c_nationkey || ' Region:' || n_regionkey || ' Nation:' || s_nationkey || ' Supplier:' || s_suppkey AS path FROM g",
 )
 add(
     "subgraph", lambda s, f: traverse.subgraph(star_graph(s, f), "Region:0", 2, 500)[0],
@@ -266,6 +282,15 @@ add(
 add("call_cycles", lambda s, f: algorithms.cycles(code_graph(s, f), "calls"))
 add("import_levels", lambda s, f: algorithms.levels((g := code_graph(s, f)).out_edges("IMPORTS").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), g.label("File")))
 add("clone_clusters", lambda s, f: algorithms.clone_clusters(table(s, f, "source_files").select(F.col("file_id").cast("string").alias("id"), F.col("content").alias("text"))))
+add("snapshot_summary", lambda s, f: analytics.snapshot_summary(code_graph(s, f, _UNTIL), code_graph(s, f)), f"WITH {NODES}, {_OLD}, c AS (SELECT label, 1 AS o, 0 AS n FROM go UNION ALL SELECT label, 0, 1 FROM gn) SELECT label, sum(o)::BIGINT AS n_old, sum(n)::BIGINT AS n_new, (sum(n) - sum(o))::BIGINT AS delta FROM c GROUP BY ROLLUP (label)")
+add(
+    "flag_flips", lambda s, f: analytics.flag_flips(code_graph(s, f, _UNTIL), code_graph(s, f)).withColumn("flags", F.array_join("flags", ",")),
+    f"WITH {NODES}, {_OLD}, j AS (SELECT gn.id, array_to_string(list_filter([CASE WHEN go.is_dead_candidate IS DISTINCT FROM gn.is_dead_candidate THEN 'is_dead_candidate' END, CASE WHEN go.is_traced IS DISTINCT FROM gn.is_traced THEN 'is_traced' END, CASE WHEN go.complexity IS DISTINCT FROM gn.complexity THEN 'complexity' END], lambda x: x IS NOT NULL), ',') AS flags FROM go JOIN gn ON go.id = gn.id) SELECT id, flags FROM j WHERE flags <> '' ORDER BY id LIMIT 25",
+)
+add(
+    "name_scores", lambda s, f: code_graph(s, f).nodes.where(F.col("label").isin("Method", "Function")).select("name", kernels.name_score(F.col("name")).alias("score")).where("score is not null").distinct(),
+    f"WITH {NODES}, s AS (SELECT DISTINCT name, CASE lower(name) {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in kernels.ENTRY_SCORES.items())} ELSE CASE {' '.join(f'WHEN regexp_matches(name, {chr(39)}^(?i:{k})(?:_|[A-Z]){chr(39)}) THEN {v}' for part in (kernels.HANDLER_SCORES, kernels.HELPER_SCORES) for k, v in part.items())} END END::DOUBLE AS score FROM gn WHERE label IN ('Method', 'Function')) SELECT name, score FROM s WHERE score IS NOT NULL",
+)
 add("communities", lambda s, f: algorithms.communities(code_graph(s, f)))
 _LIFT = f"cl AS (SELECT id FROM gn WHERE label IN {CALLABLE}), k0 AS (SELECT source_id AS a, target_id AS b FROM ge WHERE type = 'CALLS' UNION SELECT d.target_id, c.target_id FROM ge c JOIN ge d ON c.source_id = d.source_id AND d.type = 'DEFINES' WHERE c.type = 'CALLS'), k AS (SELECT DISTINCT a, b FROM k0 WHERE a <> b AND a IN (SELECT id FROM cl) AND b IN (SELECT id FROM cl))"
 add("lifted_calls", lambda s, f: algorithms.lifted_calls(code_graph(s, f)), f"{GRAPH}, {_LIFT} SELECT a, b FROM k")
@@ -303,8 +328,18 @@ add(
     f"WITH {NODES}, w AS (SELECT DISTINCT doc_id::VARCHAR AS source_path, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+')) AS name FROM documents) SELECT DISTINCT source_path, 0 AS chunk_index, gn.id FROM w JOIN gn ON gn.name = w.name WHERE label IN ('Class', 'Method', 'Function', 'Interface', 'Struct', 'Controller', 'Service') AND length(gn.name) >= 5",
 )
 add(
-    "lint_documents", lambda s, f: etl.lint(table(s, f, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.col("text").alias("content"))).where("kind = 'residual_todo'"),
-    "WITH l AS (SELECT doc_id::VARCHAR AS source_path, generate_subscripts(t, 1)::BIGINT AS line, unnest(t) AS text FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM documents)) SELECT source_path, 'RED' AS severity, 'residual_todo' AS kind, line FROM l WHERE regexp_matches(text, 'TODO|TBD|FIXME|XXX') AND NOT regexp_matches(text, '^\\s*```')",
+    "lint_documents", lambda s, f: etl.lint(table(s, f, "documents").select(F.concat_ws("/", F.coalesce("repo", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.coalesce("title", F.lit("")), F.lit(".md"))).alias("source_path"), F.col("text").alias("content"))),
+    r"""WITH p AS (SELECT coalesce(repo, 'none') || '/' || doc_id || '-' || coalesce(title, '') || '.md' AS source_path, coalesce(repo, 'none') || '/' AS folder, lower(doc_id || '-' || coalesce(title, '')) AS title, text AS content, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM documents),
+l AS (SELECT source_path, folder, generate_subscripts(t, 1)::BIGINT AS line, unnest(t) AS text FROM p),
+h AS (SELECT *, length(regexp_extract(text, '^\s*(#+) ', 1)) AS level, sum(CASE WHEN starts_with(ltrim(text), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY source_path ORDER BY line) AS fences FROM l),
+e AS (SELECT source_path, content FROM p WHERE regexp_matches(title, 'service|controller') AND NOT contains(lower(content), '§4') AND NOT contains(lower(content), 'section 4') AND NOT contains(lower(content), 'algorithm'))
+SELECT source_path, 'RED' AS severity, 'residual_todo' AS kind, line FROM l WHERE regexp_matches(text, 'TODO|TBD|FIXME|XXX') AND NOT regexp_matches(text, '^\s*```')
+UNION ALL SELECT source_path, 'RED', 'unfilled_anchor', line FROM l WHERE regexp_matches(text, '<!-- [A-Z]+:.*-->')
+UNION ALL SELECT source_path, 'YELLOW', 'missing_section', NULL FROM e
+UNION ALL SELECT a.source_path, 'YELLOW', 'short_section', a.line FROM h a WHERE a.level IN (1, 2) AND regexp_matches(a.text, '[^# \t]')
+  AND (SELECT coalesce(sum(CASE WHEN starts_with(ltrim(b.text), '```') OR starts_with(ltrim(b.text), '|') THEN 0 ELSE len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda w: w <> '')) END), 0) FROM h b WHERE b.source_path = a.source_path AND b.line > a.line
+       AND b.line < (SELECT coalesce(min(c.line), 1099511627776) FROM h c WHERE c.source_path = a.source_path AND c.line > a.line AND c.level > 0 AND c.level <= a.level AND (c.fences - a.fences) % 2 = 0)) < 50
+  AND NOT EXISTS (SELECT 1 FROM h x WHERE x.source_path = a.source_path AND x.level = 1 AND a.level = 2 AND x.line < a.line)""".replace("\\\\", "\\"),
 )
 add(
     "log_counts", lambda s, f: etl.log_counts(etl.lines(table(s, f, "documents").select(F.col("doc_id").alias("file_path"), F.col("text").alias("content"))).select("text")),
@@ -313,23 +348,32 @@ add(
 
 
 def _resolved(s: SparkSession, f: str) -> DataFrame:
+    """Calls of the graph resolved anew: the arity is that of the method called, a named import the least exported symbol
+    of an imported file, a package the folder of one."""
     g = code_graph(s, f)
     n = g.nodes.where(F.col("label").isin("Method", "Function"))
-    ends = g.out_edges("CALLS").join(n.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(n.select(F.col("id").alias("target_id"), "name"), "target_id")
-    calls = ends.select(F.col("id").alias("call_id"), "file", "name", F.lit(0).alias("n_args"))
+    ends = g.out_edges("CALLS").join(n.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(n.select(F.col("id").alias("target_id"), "name", "parameter_count"), "target_id")
+    calls = ends.select(F.col("id").alias("call_id"), "file", "name", F.col("parameter_count").alias("n_args"))
     symbols = n.select("id", F.col("file_path").alias("file"), "name", F.coalesce("is_exported", F.lit(False)).alias("is_exported"), F.lit(0).alias("required"), F.col("parameter_count").alias("params"))
     paths = g.label("File").select(F.col("id"), "file_path")
     imports = g.out_edges("IMPORTS").join(paths.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(paths.select(F.col("id").alias("target_id"), F.col("file_path").alias("imported")), "target_id").select("file", "imported").distinct()
-    none = calls.limit(0)
-    return etl.resolve(calls, symbols, none.select("file", "name", F.col("file").alias("source_file"), F.col("name").alias("source_name")), imports, none.select("file", F.col("file").alias("package")))
+    least = symbols.where("is_exported").groupBy(F.col("file").alias("imported")).agg(F.min("name").alias("name"))
+    named = imports.join(least, "imported").select("file", "name", F.col("imported").alias("source_file"), F.col("name").alias("source_name"))
+    packages = imports.select("file", F.regexp_replace("imported", "/[^/]*$", "").alias("package")).distinct()
+    return etl.resolve(calls, symbols, named, imports, packages)
 
 
 add(
     "resolve_calls", _resolved,
-    f"""{GRAPH}, n AS (SELECT * FROM gn WHERE label IN ('Method', 'Function')), c AS (SELECT e.id AS call_id, s.file_path AS file, t.name FROM ge e JOIN n s ON s.id = source_id JOIN n t ON t.id = target_id WHERE type = 'CALLS'),
+    f"""{GRAPH}, n AS (SELECT id, file_path AS file, name, coalesce(is_exported, false) AS exported, parameter_count AS params FROM gn WHERE label IN ('Method', 'Function')), c AS (SELECT e.id AS call_id, s.file, t.name, t.params AS args FROM ge e JOIN n s ON s.id = source_id JOIN n t ON t.id = target_id WHERE type = 'CALLS'),
 i AS (SELECT DISTINCT a.file_path AS file, b.file_path AS imported FROM ge JOIN gn a ON a.id = source_id AND a.label = 'File' JOIN gn b ON b.id = target_id AND b.label = 'File' WHERE type = 'IMPORTS'),
-u AS (SELECT call_id, 0 AS k, n.id FROM c JOIN n ON n.file_path = c.file AND n.name = c.name UNION ALL SELECT call_id, 2, n.id FROM c JOIN i ON i.file = c.file JOIN n ON n.file_path = i.imported AND n.name = c.name AND n.is_exported UNION ALL SELECT call_id, 4, n.id FROM c JOIN n ON n.name = c.name AND n.is_exported),
-b AS (SELECT call_id, min((k, id)) AS b FROM u GROUP BY 1) SELECT call_id, b[2] AS target_id, CASE b[1] WHEN 0 THEN 'same_file' WHEN 2 THEN 'import_scoped' ELSE 'global' END AS tier, CASE b[1] WHEN 0 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM b""",
+l AS (SELECT file, min(name) AS name FROM n WHERE exported GROUP BY 1), p AS (SELECT DISTINCT file, regexp_replace(imported, '/[^/]*$', '') AS package FROM i),
+u AS (SELECT call_id, args, 2 AS k, n.* FROM c JOIN n ON n.file = c.file AND n.name = c.name UNION ALL SELECT call_id, args, 3, n.* FROM c JOIN i ON i.file = c.file JOIN l ON l.file = i.imported AND l.name = c.name JOIN n ON n.file = l.file AND n.name = l.name
+      UNION ALL SELECT call_id, args, 4, n.* FROM c JOIN i ON i.file = c.file JOIN n ON n.file = i.imported AND n.name = c.name AND n.exported
+      UNION ALL SELECT call_id, args, 5, n.* FROM c JOIN p ON p.file = c.file JOIN n ON n.name = c.name AND n.exported AND (n.file = package OR starts_with(n.file, package || '/') OR contains(n.file, '/' || package || '/'))
+      UNION ALL SELECT call_id, args, 6, n.* FROM c JOIN n ON n.name = c.name AND n.exported),
+b AS (SELECT call_id, min((k, CASE WHEN args IS NULL OR args BETWEEN 0 AND coalesce(params, 1073741824) THEN 0 ELSE 1 END, id)) AS b FROM u GROUP BY 1)
+SELECT call_id, b[3] AS target_id, CASE b[1] WHEN 2 THEN 'same_file' WHEN 3 THEN 'named_import' WHEN 4 THEN 'import_scoped' WHEN 5 THEN 'package_scoped' ELSE 'global' END AS tier, CASE b[1] WHEN 2 THEN 1.0 WHEN 3 THEN 0.95 WHEN 4 THEN 0.8 WHEN 5 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM b""",
 )
 
 # views
@@ -338,16 +382,43 @@ add("path_prefix", lambda s, f: views.under(code_graph(s, f).nodes, "src/billing
 add("glob_files", lambda s, f: views.glob_files(code_graph(s, f), "src/**/*.py").select("file_path"), f"WITH {NODES} SELECT file_path FROM gn WHERE label = 'File' AND regexp_matches(file_path, '^src/(?:.*/)?[^/]*\\.py$')")
 add("find_names", lambda s, f: views.find_names(code_graph(s, f).nodes, "^(load|save)[A-Z]"), f"WITH {NODES} SELECT id, label, name, file_path FROM gn WHERE regexp_matches(name, '^(load|save)[A-Z]') ORDER BY name, id LIMIT 50")
 add("marker_probes", lambda s, f: views.marker_probes(code_graph(s, f).nodes, {"has_ledger": "ledger", "has_unicorn": "unicorn"}), f"WITH {NODES} SELECT coalesce(bool_or(contains(lower(name), 'ledger')), false) AS has_ledger, coalesce(bool_or(contains(lower(name), 'unicorn')), false) AS has_unicorn FROM gn")
+
+
+def _versions(s: SparkSession, f: str) -> DataFrame:
+    """Versions of nodes as changes of their files: an indexing run is a commit, lines are what it brings."""
+    n = table(s, f, "nodes").where("file_path is not null and indexed_at is not null").distinct()
+    lines = F.coalesce(F.col("end_line") - F.col("start_line") + 1, F.lit(0))
+    return n.select(F.col("indexed_at").alias("commit"), F.col("indexed_at").alias("ts"), F.col("repo").alias("author"), F.col("file_path").alias("file"), lines.alias("added"), F.col("is_deleted").cast("long").alias("removed"))
+
+
 add(
-    "enrichment_priority", lambda s, f: analytics.enrichment_priority(g := code_graph(s, f), g.nodes.limit(0).select(F.col("file_path").alias("file"), F.lit(0.0).alias("score"))).withColumn("priority", F.round("priority", 9)),
-    f"WITH {NODES}, {EDGES}, {_DEG}, q AS (SELECT gn.id, (0.25 * least((coalesce(n_in, 0) + coalesce(n_out, 0)) / 20.0, 1.0) + 0.2 * least(coalesce(end_line - start_line + 1, 0) / 500.0, 1.0) + CASE WHEN coalesce(is_traced, false) THEN 0 ELSE 0.1 END + CASE WHEN coalesce(is_dead_candidate, false) THEN 0.1 ELSE 0 END)::DOUBLE AS p FROM gn LEFT JOIN d ON gn.id = d.id) SELECT id, round(p, 9) AS priority FROM q WHERE p >= 0.05",
+    "enrichment_priority", lambda s, f: analytics.enrichment_priority(code_graph(s, f), analytics.hotspots(_versions(s, f))).withColumn("priority", F.round("priority", 9)),
+    f"""WITH {NODES}, {EDGES}, {_DEG}, v AS (SELECT DISTINCT * FROM nodes WHERE file_path IS NOT NULL AND indexed_at IS NOT NULL),
+h AS (SELECT file_path, count(DISTINCT indexed_at) AS n_commits, sum(coalesce(end_line - start_line + 1, 0)) + sum(is_deleted::BIGINT) AS churn FROM v GROUP BY 1), hs AS (SELECT file_path, (n_commits * churn)::DOUBLE / max(n_commits * churn) OVER () AS hot FROM h),
+q AS (SELECT gn.id, (0.35 * coalesce(hot, 0) + 0.25 * least((coalesce(n_in, 0) + coalesce(n_out, 0)) / 20.0, 1.0) + 0.2 * least(coalesce(end_line - start_line + 1, 0) / 500.0, 1.0) + CASE WHEN coalesce(is_traced, false) THEN 0 ELSE 0.1 END + CASE WHEN coalesce(is_dead_candidate, false) THEN 0.1 ELSE 0 END)::DOUBLE AS p FROM gn LEFT JOIN d ON gn.id = d.id LEFT JOIN hs ON gn.file_path = hs.file_path) SELECT id, round(p, 9) AS priority FROM q WHERE p >= 0.05""",
 )
 add(
     "retrieve", lambda s, f: views.retrieve(code_graph(s, f).nodes, "ledger mapper billing", 20).select("rank", "id", F.round("score", 6).alias("score")),
     f"WITH {NODES}, {_NODE_BM} SELECT row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank, id, round(score, 6) AS score FROM bm ORDER BY 1 LIMIT 20",
 )
 _IMPORT = r"""(?:from|require\(|import)\s*["']([^"']+)["']"""
-add("resolve_imports", lambda s, f: views.resolve_imports(etl.lines(t := table(s, f, "source_files")).select(F.col("file_path").alias("file"), F.regexp_extract("text", _IMPORT, 1).alias("module")).where("module <> ''"), t.select(F.col("file_path").alias("path"))))
+add("source_imports", lambda s, f: views.resolve_imports(etl.lines(t := table(s, f, "source_files")).select(F.col("file_path").alias("file"), F.regexp_extract("text", _IMPORT, 1).alias("module")).where("module <> ''"), t.select(F.col("file_path").alias("path"))))
+
+
+def _imported(s: SparkSession, f: str) -> DataFrame:
+    """The import edges of files, their targets named by the last two parts of the path without its extension."""
+    g = code_graph(s, f)
+    paths = g.label("File").where("file_path is not null").select("id", "file_path")
+    j = g.out_edges("IMPORTS").join(paths.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(paths.select(F.col("id").alias("target_id"), "file_path"), "target_id")
+    return views.resolve_imports(j.select("file", F.regexp_extract("file_path", r"([^/]+/[^/.]+)(?:\.[A-Za-z]+)+$", 1).alias("module")).where("module <> ''"), paths.select(F.col("file_path").alias("path")))
+
+
+add(
+    "resolve_imports", _imported,
+    f"""{GRAPH}, p AS (SELECT DISTINCT id, file_path AS path, regexp_replace(file_path, '/(?:index\\.[jt]sx?|__init__\\.py|mod\\.rs)$|\\.[A-Za-z]+$', '', 'g') AS stem FROM gn WHERE label = 'File' AND file_path IS NOT NULL),
+m AS (SELECT DISTINCT a.path AS file, regexp_extract(b.path, '([^/]+/[^/.]+)(?:\\.[A-Za-z]+)+$', 1) AS module FROM ge JOIN p a ON a.id = source_id JOIN p b ON b.id = target_id WHERE type = 'IMPORTS')
+SELECT file, module, min((length(path), path))[2] AS target FROM m JOIN p ON (stem = replace(module, '.', '/') OR ends_with(stem, '/' || replace(module, '.', '/'))) AND path <> file WHERE module <> '' GROUP BY 1, 2""",
+)
 
 # interchange and streams
 

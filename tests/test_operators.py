@@ -194,3 +194,40 @@ def test_communities_and_flows(spark):
     p = A.processes(g, A.communities(g)).where("process_id = 'Process:1'").orderBy("k").collect()
     assert [x["id"] for x in p] == ["p0", "p1", "p2", "p3", "q0", "q1", "q2", "q3"] and p[0]["kind"] == "cross_community" and p[0]["name"] == "p0 -> q3"
     assert A.communities(graph(spark, n, [])).count() == 0
+
+
+def test_frameworks_and_name_scores(spark):
+    from codeloom.functions import kernels as K
+
+    d = spark.createDataFrame([("web/app/x/page.tsx", "main"), ("src/pages/a.js", "handleClick"), ("x/routes/u.ts", "issue"), ("c/controllers/U.java", "isReady"), ("shop/views.py", None), (None, "get_all")], "path string, name string")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in d.select("path", "name", K.framework_of(F.col("path"))["multiplier"], K.name_score(F.col("name"))).collect()}
+    assert got == {("web/app/x/page.tsx", "main"): (2.0, 1.0), ("src/pages/a.js", "handleClick"): (1.8, 0.7), ("x/routes/u.ts", "issue"): (1.5, None), ("c/controllers/U.java", "isReady"): (None, 0.1), ("shop/views.py", None): (1.8, None), (None, "get_all"): (None, 0.15)}
+
+
+def test_embedding_hook(spark):
+    from codeloom.operators import search as S
+
+    def load():
+        def model(texts):
+            if "boom" in texts:
+                raise RuntimeError("no model")
+            return [[3.0, 4.0] if t == "a" else [0.0, 0.0] if t == "z" else [1.0] for t in texts]
+
+        return model
+
+    d = spark.createDataFrame([("1", "a"), ("2", "z"), ("3", "short"), ("4", "boom"), ("5", None)], "node_id string, text string")
+    got = {r["node_id"]: [round(x, 4) for x in r["embedding"]] for r in S.embed_nodes(d, load, 2, batch=1).collect()}
+    assert got == {"1": [0.6, 0.8], "2": [0.0, 0.0], "3": [0.0, 0.0], "4": [0.0, 0.0], "5": [0.0, 0.0]}
+    assert [S.clamp(x, 20, 100) for x in (None, 0, 7, 1000)] == [20, 1, 7, 100]
+
+
+def test_flows_and_paths(spark):
+    from codeloom.graph import PropertyGraph
+
+    n = spark.createDataFrame([(x, "Process" if x == "P" else "Method", x, f"f/{x}.py") for x in "ABCDP"], "id string, label string, name string, file_path string")
+    e = spark.createDataFrame([("1", "A", "B", "CALLS", None), ("2", "B", "C", "CALLS", None), ("3", "A", "C", "CALLS", None), ("4", "C", "D", "CALLS", None), ("5", "A", "P", "STEP_IN_PROCESS", 1), ("6", "B", "P", "STEP_IN_PROCESS", 2)], "id string, source_id string, target_id string, type string, step int")
+    g = PropertyGraph(n, e)
+    assert sorted((r["id"], r["depth"], "".join(r["path"])) for r in T.impact_paths(g, "D").collect()) == [("A", 2, "DCA"), ("B", 2, "DCB"), ("C", 1, "DC")]
+    assert sorted(r["id"] for r in T.induced(g, T.impact_paths(g, "D").select("id")).collect()) == ["1", "2", "3"]
+    assert [(r["k"], r["id"]) for r in T.process_flow(g, 3).orderBy("k").collect()] == [(1, "A"), (2, "B"), (3, "C")]
+    assert [r["id"] for r in T.process_steps(g, "P").orderBy("k").collect()] == ["A", "B"] and T.process_steps(g, "Q").count() == 0
