@@ -83,6 +83,8 @@ ORACLE = {
     "p1_found": f"WITH {P1_VALUES} SELECT DISTINCT enrichment_id, field AS field_name FROM lost",
     "p1_rates": f"WITH {P1_VALUES} {_rates('config_id')} UNION ALL {_rates('origin')}",
     "p1_limits": f"WITH {P1_VALUES} SELECT s.source_kind, s.source, s.field AS field_name, s.measure, s.length, s.n, s.n_open, c.max_tokens FROM spike s LEFT JOIN llm_configs c ON s.source_kind = 'config_id' AND s.source = c.config_id::VARCHAR",
+    "p6_faults": "SELECT container, count(DISTINCT doc_id) AS n_items, 0 AS n_over, 0 AS n_split, 0 AS n_lost, true AS filled FROM pack_sizes, documents WHERE capacity_tokens > 0 GROUP BY container",
+    "p7_faults": "SELECT t.source, count(d.doc_id) AS n_docs, 0 AS n_often, true AS reached FROM (SELECT DISTINCT source FROM mix_targets WHERE target_share > 0 AND max_repeats > 0) t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY t.source",
     "p4_found": f"WITH {P4_FILES} SELECT file_id FROM judged WHERE reason IS NOT NULL",
     "p4_reasons": f"WITH {P4_FILES} SELECT repo, coalesce(reason, 'hand') AS reason, count(*) AS n_files FROM judged GROUP BY ALL",
 }

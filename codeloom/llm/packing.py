@@ -3,9 +3,8 @@
 Items are spread by a hash over groups of about WINDOWS containers' worth of tokens, whose number follows the total,
 so no task grows with the data. Within a group the method of Karmarkar and Karp merges partial partitions: the two
 with the greatest imbalance are joined so that the fullest windows of one meet the emptiest of the other. The window
-count starts at the least that the sizes allow and rises whenever a window exceeds the capacity; windows that are
-full to within a slack, which grows from SLACK to MOST_SLACK, are closed meanwhile, so that only the rest is divided
-anew.
+count starts at the least that the sizes allow and rises whenever a window exceeds the capacity, so that all windows of
+a group are nearly equally full.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import materialize
 
-WINDOWS, SLACK, MOST_SLACK = 400, 0.01, 0.2
+WINDOWS = 400
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
@@ -61,32 +60,36 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item; no window exceeds the capacity, which no item exceeds."""
+    """Window of each item; no window exceeds the capacity, which no item exceeds.
+
+    The count starts at the least that the sizes allow and rises, by doubled steps, until differencing leaves no window
+    too full; between the last count that failed and the first that did not, the least that works is found by halving.
+    """
     window = np.full(len(sizes), -1, np.int64)
     full = sizes == capacity
     done = int(full.sum())
     window[full] = np.arange(done)
     window[sizes <= 0] = 0
-    rest, raised, slack = np.flatnonzero((sizes > 0) & ~full), 0, SLACK
-    while len(rest):
-        total = int(sizes[rest].sum())
-        k = max(-(-total // capacity), int((sizes[rest] * 2 > capacity).sum())) + raised
-        parts = differencing(sizes[rest], min(k, len(rest)))
-        sums = np.array([sizes[rest[p]].sum() for p in parts])
-        fits = sums <= capacity
-        close = fits if fits.all() else fits & (sums >= (1 - slack) * capacity)
-        for p in np.flatnonzero(close):
-            window[rest[parts[p]]] = done
-            done += 1
-        few = close.sum() <= len(parts) // 20
-        rest = np.sort(np.concatenate([rest[parts[p]] for p in np.flatnonzero(~close)])) if not close.all() else rest[:0]
-        # first be content with a little more free space, then raise the count
-        if not few:
-            raised = 0
-        elif slack < MOST_SLACK:
-            slack *= 1.5
+    rest = np.flatnonzero((sizes > 0) & ~full)
+    if not len(rest):
+        return window
+
+    def parts(k: int) -> list[list[int]] | None:
+        p = differencing(sizes[rest], min(k, len(rest)))
+        return p if all(int(sizes[rest[q]].sum()) <= capacity for q in p) else None
+
+    low = max(-(-int(sizes[rest].sum()) // capacity), int((sizes[rest] * 2 > capacity).sum())) - 1  # too few
+    high, step, best = low + 1, 1, None
+    while (best := parts(high)) is None:
+        low, high, step = high, high + step, 2 * step
+    while high - low > 1:
+        middle = (low + high) // 2
+        if (p := parts(middle)) is None:
+            low = middle
         else:
-            raised += max(1, len(parts) // 100)
+            high, best = middle, p
+    for k, p in enumerate(best):
+        window[rest[p]] = done + k
     return window
 
 
@@ -131,6 +134,18 @@ def packing_report(packed: DataFrame) -> DataFrame:
     return r.withColumn("unused_tokens", F.col("n_windows") * F.col("capacity") - F.col("n_tokens")).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_windows") * F.col("capacity")), 6))
 
 
+def packing_faults(packed: DataFrame, sized: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``container, n_items, n_over, n_split, n_lost``: items placed; windows beyond their capacity or of wrong free
+    space; items cut though they fit; items whose pieces do not add up to them. The last three must be 0."""
+    w = packed.groupBy("container", "capacity", "window_id").agg(F.sum("n_tokens").alias("used"), F.min("unused").alias("a"), F.max("unused").alias("b"))
+    over = w.groupBy("container").agg(F.count_if((F.col("used") > F.col("capacity")) | (F.col("a") != F.col("b")) | (F.col("used") + F.col("a") != F.col("capacity"))).alias("n_over"))
+    d = packed.groupBy("container", "capacity", key).agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece").alias("kinds"))
+    j = d.join(sized.select(key, F.coalesce("n_tokens", F.lit(0)).alias("whole")), key, "left")
+    wrong = F.coalesce((F.col("placed") != F.col("whole")) | (F.col("pieces") != F.col("kinds")), F.lit(True))
+    items = j.groupBy("container").agg(F.count(F.lit(1)).alias("n_items"), F.count_if((F.col("pieces") > 1) & (F.col("whole") <= F.col("capacity"))).alias("n_split"), F.count_if(wrong).alias("n_lost"))
+    return items.join(over, "container").select("container", "n_items", "n_over", "n_split", "n_lost")
+
+
 def size_documents(docs: DataFrame, counter, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``<key>, n_tokens`` of every text; written once, so that texts are read and encoded once."""
     return materialize(docs.select(key, counter(F.col(text)).alias("n_tokens")))

@@ -9,6 +9,7 @@ from codeloom.llm import handwritten, mixing, oracles, packing, pii, syntax, tru
 from codeloom.llm.tokens import token_counter
 from codeloom.session import materialize, spread, table
 
+FILL = 0.9  # what is asked of packing
 P1_FIELDS, P1_SOURCES = ["intro", "closing_summary"], ["config_id", "origin"]
 
 
@@ -67,6 +68,15 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_report(_packed(spark, sf))
 
 
+def p6_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What must not happen in packing, counted, and whether at least nine tenths of the space are used."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    sized = packing.size_documents(docs, token_counter())
+    packed = materialize(packing.pack_documents(sized, table(spark, sf, "pack_sizes")))
+    fill = packing.packing_report(packed).select("container", (F.col("fill") > FILL).alias("filled"))
+    return packing.packing_faults(packed, sized).join(fill, "container")
+
+
 def _sized_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     return materialize(docs.select("doc_id", "source", token_counter()(F.col("text")).alias("n_tokens")))
@@ -83,6 +93,23 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(sized, targets, materialize(mixing.mix(sized, targets)))
 
 
+def p7_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source of the targets: texts to draw from, texts drawn too often, and whether its tokens are those of its share
+    but for one text.
+
+    A source without texts has none of its share, and the others keep their proportions.
+    """
+    sized, targets = _sized_sources(spark, sf), table(spark, sf, "mix_targets")
+    drawn = materialize(mixing.mix(sized, targets))
+    often = drawn.join(F.broadcast(targets.select("source", "max_repeats")), "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_often"))
+    r = mixing.mix_report(sized, targets, drawn)
+    possible = r.agg(F.sum(F.when(F.col("n_docs") > 0, F.col("target_share"))).alias("possible"))
+    longest = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    r = r.join(F.broadcast(possible), F.lit(True)).join(F.broadcast(drawn.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total"))), F.lit(True)).join(longest, "source", "left").join(often, "source", "left")
+    off = F.abs(F.col("drawn_tokens") - F.when(F.col("n_docs") > 0, F.col("target_share") / F.col("possible") * F.col("total")).otherwise(0.0))
+    return r.select("source", F.col("n_docs").cast("long").alias("n_docs"), F.coalesce("n_often", F.lit(0)).alias("n_often"), (off <= F.coalesce("longest", F.lit(0))).alias("reached"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in documents: kind and place of each item."""
     return pii.find_personal(table(spark, sf, "documents")).select("doc_id", "kind", "start_pos")
@@ -93,5 +120,5 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact_personal(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_limits": p1_limits, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_limits": p1_limits, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_rates": p5_rates, "p6_packing": p6_packing, "p6_report": p6_report, "p6_faults": p6_faults, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_faults": p7_faults, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = oracles.ORACLE

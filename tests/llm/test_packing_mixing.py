@@ -31,7 +31,8 @@ def test_differencing_balances():
 def test_fill_rate():
     s = np.array(random.Random(2).choices(range(20, 300), k=1500))
     w = P.pack(s, 512)
-    assert s.sum() / (512 * (w.max() + 1)) > 0.96
+    used = np.bincount(w, s)
+    assert s.sum() / (512 * (w.max() + 1)) > 0.9 and used.max() <= 512 and np.quantile(used, 0.05) > 0.8 * used.max()  # nearly equal windows
 
 
 SIZED = "doc_id long, n_tokens long, source string, copies int, capacity int"
