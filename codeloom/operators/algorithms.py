@@ -15,7 +15,8 @@ from codeloom.session import is_empty
 from codeloom.session import settle as materialize
 
 SHINGLE, CLONE_LEAST, CLONE_SIMILARITY = 30, 30, 0.9
-SETTLED = 0.005  # a pass that moves a smaller share of the nodes is the last
+#: Beyond LOUVAIN_LARGE nodes fewer passes, a finer resolution and only sure edges count, as the feature is defined.
+LOUVAIN_PASSES, LOUVAIN_LARGE, LARGE_PASSES, LARGE_RESOLUTION, LARGE_CONFIDENCE = 10, 10_000, 3, 2.0, 0.5
 LOUVAIN_LABELS = ("Function", "Method", "Class", "Interface", "Struct", "Constructor", "Enum", "Trait")
 LOUVAIN_TYPES = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS")
 FLOW_DEPTH, FLOW_BRANCH, FLOW_LEAST, FLOW_TRACES, FLOW_SEEDS, FLOW_KEPT = 10, 4, 3, 4096, 200, 75
@@ -33,6 +34,32 @@ def cycles(g: PropertyGraph, scope: str = "imports") -> DataFrame:
     return c.select(F.array_min("members").alias("component"), "length", cycle_severity(F.col("length")).alias("severity"), "members")
 
 
+def short_cycles(g: PropertyGraph, most: int = 20, depth: int = 100) -> DataFrame:
+    """``length, members``: simple cycles of file imports and dependencies, one of each set of files, shortest first.
+
+    Ways start at the least file of a cycle and stay within its component; a round adds one file, and the search ends
+    once ``most`` cycles are known, nothing is left to follow or the depth is reached. Which cycles are shown is part
+    of the report's definition; all files on cycles are in :func:`cycles`.
+    """
+    ids = g.label("File").select("id")
+    e = g.out_edges("IMPORTS", "DEPENDS_ON").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
+    e = materialize(e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    c = materialize(strongly_connected(e))
+    a, b = c.select(F.col("node").alias("src"), F.col("component").alias("ca")), c.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
+    e = materialize(e.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
+    front, found = e.select(F.col("src").alias("first"), F.array("src").alias("path")).distinct(), None
+    for k in range(1, depth + 1):
+        step = front.join(e, F.element_at("path", -1) == F.col("src"))
+        closed = materialize(step.where("dst = first").select(F.lit(k).alias("length"), F.array_sort("path").alias("members")).distinct())
+        found = closed if found is None else materialize(found.unionByName(closed).orderBy("length", "members").limit(most))
+        if found.count() >= most:
+            break
+        front = materialize(step.where(F.col("dst") > F.col("first")).where(~F.array_contains("path", F.col("dst"))).select("first", F.concat("path", F.array("dst")).alias("path")))
+        if is_empty(front):
+            break
+    return found.orderBy("length", "members").limit(most)
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, level``: files without imports first, each level imports earlier ones only; files on or behind a cycle
     share one last level. ``edges`` are (src, dst): src imports dst."""
@@ -130,21 +157,27 @@ def clone_clusters(texts: DataFrame) -> DataFrame:
     return members.join(size, "cluster").select("id", "cluster", "size", ((F.col("total") - 1) / (F.col("size") - 1)).alias("similarity"))
 
 
-def communities(g: PropertyGraph, passes: int = 10, resolution: float = 1.0) -> DataFrame:
+def communities(g: PropertyGraph, passes: int | None = None, resolution: float | None = None) -> DataFrame:
     """``id, community``: one level of modularity moves, all nodes of one half at a time.
 
     Nodes move to the neighbouring community with the greatest modularity gain, ties to the least key; in every pass
     first the nodes of even hash move and then the others, so that two nodes do not swap for ever. A pass that moves
-    hardly a node is the last. Communities of one node are dropped. Weights count distinct neighbours; a hub meets its neighbours in a grouped sum.
+    no node is the last, as is pass number ``passes``. Communities of one node are dropped. Weights count distinct neighbours; a hub meets its neighbours in a grouped sum.
     """
-    ids = g.nodes.where(F.col("label").isin(*LOUVAIN_LABELS)).select("id")
-    e = g.out_edges(*LOUVAIN_TYPES).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
+    ids = materialize(g.nodes.where(F.col("label").isin(*LOUVAIN_LABELS)).select("id"))
+    large = ids.count() > LOUVAIN_LARGE
+    passes = passes or (LARGE_PASSES if large else LOUVAIN_PASSES)
+    resolution = resolution or (LARGE_RESOLUTION if large else 1.0)
+    links = g.out_edges(*LOUVAIN_TYPES)
+    if large and "confidence" in g.edges.columns:
+        links = links.where(F.coalesce("confidence", F.lit(1.0)) >= LARGE_CONFIDENCE)
+    e = links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
     e = e.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     deg = materialize(e.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("deg")))
     m2 = deg.agg(F.sum("deg")).first()[0] or 1.0
     c = materialize(deg.select(F.col("a").alias("id"), "deg", F.col("a").alias("community")))
-    n, moved = c.count(), 1 << 62
+    moved = -1
     for k in range(2 * passes):
         tot = c.groupBy("community").agg(F.sum("deg").alias("tot"))
         to = e.join(c.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count(F.lit(1)).alias("w"))
@@ -160,7 +193,7 @@ def communities(g: PropertyGraph, passes: int = 10, resolution: float = 1.0) ->
         new = materialize(j.select("id", "deg", F.when(moves, F.col("to")).otherwise(F.col("community")).alias("community"), F.coalesce(moves, F.lit(False)).alias("moved")))
         c = new.drop("moved")
         moved, last = new.where("moved").count(), moved
-        if moved + last <= SETTLED * n:
+        if moved == 0 and last == 0:
             break
     big = c.groupBy("community").count().where("count > 1").select("community")
     return c.join(big, "community", "left_semi").select("id", "community")

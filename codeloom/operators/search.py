@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.kernels import bytes_head, cosine, label_weight, path_weight, tokens
@@ -57,6 +57,40 @@ def postings(docs: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFr
     return t.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf")), t.select(key, F.size("terms").alias("length"))
 
 
+BUCKETS = 256
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, key: str, text: Column, path: str) -> None:
+    """Postings with the lengths of their documents, in folders by a hash of the term, and one row of statistics."""
+    p, lengths = postings(docs, key, text)
+    p.join(lengths, key).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def search_index(spark: SparkSession, path: str, key: str, query: str) -> DataFrame:
+    """``<key>, score`` of every document with a term of the query, as :func:`bm25` gives it.
+
+    Only the folders of the query's terms are read, and the terms are pushed down within them.
+    """
+    terms = query_terms(query)
+    p = spark.read.parquet(f"{path}/postings")
+    if not terms:
+        return p.select(key, F.lit(0.0).alias("score")).limit(0)
+    asked = spark.createDataFrame(list(terms.items()), "term string, times int")
+    folders = [r[0] for r in asked.select(_bucket(F.col("term"))).distinct().collect()]  # as many as the query has words
+    hit = p.where(F.col("bucket").isin(folders) & F.col("term").isin(list(terms)))
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(asked), "term")  # as many rows as terms
+    j = hit.join(F.broadcast(df), "term").join(F.broadcast(spark.read.parquet(f"{path}/corpus")), F.lit(True))
+    avgdl = F.greatest(F.lit(1.0), F.col("total") / F.greatest(F.col("n"), F.lit(1)))
+    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avgdl))
+    return j.groupBy(key).agg(F.sum(part).alias("score"))
+
+
 def node_text(df: DataFrame) -> Column:
     """Name, path and description of a node."""
     return F.concat_ws(" ", "name", "file_path", *(["description"] if "description" in df.columns else []))

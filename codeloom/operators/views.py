@@ -44,9 +44,19 @@ def insights(g: PropertyGraph, node_id: str, most: int = 10) -> DataFrame:
 
 
 def features(g: PropertyGraph, limit: int = 50) -> DataFrame:
-    """Communities with most members first."""
+    """Communities with most members first; without any, the heuristic labels of nodes with their numbers."""
     m = g.out_edges("MEMBER_OF").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n_members"))
-    return g.label("Community").select("id", "name").join(m, "id", "left").select("id", "name", F.coalesce("n_members", F.lit(0)).alias("n_members")).orderBy(F.desc("n_members"), "id").limit(limit)
+    known = g.label("Community").select("id", "name")
+    if not known.take(1) and "heuristic_label" in g.nodes.columns:
+        by_label = g.nodes.where("heuristic_label is not null").groupBy(F.col("heuristic_label").alias("name")).agg(F.count(F.lit(1)).alias("n_members"))
+        return by_label.select(F.col("name").alias("id"), "name", "n_members").orderBy(F.desc("n_members"), "id").limit(limit)
+    return known.join(m, "id", "left").select("id", "name", F.coalesce("n_members", F.lit(0)).alias("n_members")).orderBy(F.desc("n_members"), "id").limit(limit)
+
+
+def file_symbols(g: PropertyGraph, path: str) -> DataFrame:
+    """``id, label, name, start_line, end_line, description`` of what a file holds, in order; goes with a slice of it."""
+    cols = [c if c in g.nodes.columns else F.lit(None).cast("string").alias(c) for c in ("id", "label", "name", "start_line", "end_line", "description")]
+    return g.file(path).where("label <> 'File'").select(*cols).orderBy(F.asc_nulls_last("start_line"), "id")
 
 
 def process_entities(g: PropertyGraph) -> DataFrame:

@@ -51,6 +51,28 @@ def read_snapshot(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(nodes, e)
 
 
+def snapshot_lines(g: PropertyGraph) -> DataFrame:
+    """``part, k, value``: the lines of one JSON document with ``nodes`` and ``relationships`` keyed by id.
+
+    Every record is one line, so that a reader may take them line by line; the commas stand before all but the first.
+    """
+    camel = lambda c: c.split("_")[0] + "".join(x.capitalize() for x in c.split("_")[1:])
+    props = F.struct(*[F.col(c).alias(camel(c)) for c in g.nodes.columns if c not in ("id", "label")])
+    n = g.nodes.select(F.lit(1).alias("part"), F.col("id").alias("k"), F.to_json(F.struct("id", "label", props.alias("properties"))).alias("json"))
+    get = lambda c: F.col(c) if c in g.edges.columns else F.lit(None)
+    e = g.edges.select(F.lit(3).alias("part"), F.col("id").alias("k"), F.to_json(F.struct("id", F.col("source_id").alias("sourceId"), F.col("target_id").alias("targetId"), "type", get("confidence").alias("confidence"), get("reason").alias("reason"), get("step").alias("step"))).alias("json"))
+    rows = n.unionByName(e)
+    first = rows.groupBy("part").agg(F.min("k").alias("least"))  # two rows
+    rows = rows.join(F.broadcast(first), "part").select("part", "k", F.concat(F.when(F.col("k") == F.col("least"), "").otherwise(","), F.to_json(F.struct(F.col("k").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("k").alias("x")))) - 6), F.lit(":"), F.col("json")).alias("value"))
+    marks = g.nodes.sparkSession.createDataFrame([(0, "", '{"nodes":{'), (2, "", '},"relationships":{'), (4, "", "}}")], "part int, k string, value string")
+    return marks.unionByName(rows)
+
+
+def write_snapshot(g: PropertyGraph, path: str) -> None:
+    """The snapshot as text; a document is one file by its form, so one task writes the sorted lines."""
+    snapshot_lines(g).repartitionByRange("part", "k").sortWithinPartitions("part", "k").orderBy("part", "k").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
 def node_rows(nodes: DataFrame) -> DataFrame:
     """Columns of the CSV form: control characters dropped, long contents cut, binary ones emptied."""
     cols = nodes.columns

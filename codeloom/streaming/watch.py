@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from codeloom.graph import PropertyGraph
 from codeloom.operators.etl import extract, graph_tables, manifest, manifest_diff, scan
@@ -43,6 +43,51 @@ def incremental_update(g: PropertyGraph, events: DataFrame, old: DataFrame | Non
     return PropertyGraph(all_nodes, stale.join(back, "target_id", "left_semi").select(g.edges.columns).unionByName(edges, allowMissingColumns=True), g.rel_types)
 
 
+def apply_batch(write_graph: Callable[[PropertyGraph], None], write_manifest: Callable[[DataFrame], None], read: Callable[[], tuple[PropertyGraph, DataFrame | None]], after: Callable[[PropertyGraph], None] | None = None, progress: Callable[[str, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A handler for :func:`watch` that keeps the order in which a restart finds nothing lost.
+
+    ``read`` gives the graph and the manifest as they were written last. The new graph is written first, then the
+    manifest, then ``after`` runs (communities, dead code and the like, which a batch leaves out by default).
+    ``progress`` hears of each step by name, with the batch's number.
+    """
+    say = progress or (lambda step, batch: None)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        say("start", number)
+        g, old = read()
+        events = latest_files(batch)
+        new = incremental_update(g, batch, old)
+        write_graph(new)
+        say("graph", number)
+        fresh = manifest(events.where(~F.coalesce("is_deleted", F.lit(False))).select(F.col("path").alias("file_path"), "content"))
+        write_manifest(fresh if old is None else old.join(events.select("path"), "path", "left_anti").select("path", "hash", "size").unionByName(fresh))
+        say("manifest", number)
+        if after is not None:
+            after(new)
+            say("after", number)
+
+    return handle
+
+
+class Progress(StreamingQueryListener):
+    """Hands the progress of streaming queries on to a callable: ``(query id, batch, rows)``, and -1 rows at the end."""
+
+    def __init__(self, tell: Callable[[str, int, int], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell(str(event.id), -1, 0)
+
+    def onQueryProgress(self, event) -> None:
+        self.tell(str(event.progress.id), event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell(str(event.id), -1, -1)
+
+
 def watch(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """A stream of file events (JSON lines) handed on batch by batch; restarts go on after the last batch.
 

@@ -265,3 +265,27 @@ def test_docx(spark, tmp_path):
         z.writestr("word/document.xml", doc)
     (tmp_path / "a.docx").write_bytes(b.getvalue())
     assert I.read_docx(spark, str(tmp_path)).first()["content"] == "## Title\n\nBody text"
+
+
+def test_snapshot_document(g, spark, tmp_path):
+    I.write_snapshot(g, str(tmp_path / "snap"))
+    import glob
+
+    text = open(glob.glob(str(tmp_path / "snap" / "part-*"))[0]).read()
+    doc = json.loads(text)
+    assert set(doc["nodes"]) == {r["id"] for r in g.nodes.collect()} and set(doc["relationships"]) == {r["id"] for r in g.edges.collect()}
+    back = I.read_snapshot(spark, str(tmp_path / "snap"))
+    assert got(back.edges.select("id", "source_id", "target_id", "type")) == got(g.edges.select("id", "source_id", "target_id", "type"))
+    assert got(back.nodes.select("id", "label", "name")) == got(g.nodes.select("id", "label", "name"))
+
+
+def test_batches_write_the_graph_first(spark):
+    state, order = {"m": None}, []
+    empty = PropertyGraph(spark.createDataFrame([], "id string, label string, name string, file_path string"), spark.createDataFrame([], "id string, source_id string, target_id string, type string"))
+    state["g"] = empty
+    handle = W.apply_batch(lambda x: (order.append("g"), state.update(g=x)), lambda m: (order.append("m"), state.update(m=m)), lambda: (state["g"], state["m"]), lambda x: order.append("after"), lambda step, k: order.append((step, k)))
+    ev = lambda rows: spark.createDataFrame([(p, c, dt.datetime(2025, 1, 1, 0, t), d) for p, c, t, d in rows], W.FILES)
+    handle(ev([("a.py", "def f():\n    pass\n", 1, False)]), 7)
+    assert order == [("start", 7), "g", ("graph", 7), "m", ("manifest", 7), "after", ("after", 7)]
+    handle(ev([("a.py", None, 2, True), ("b.py", "class B:\n    pass\n", 2, False)]), 8)
+    assert got(state["g"].nodes.select("name")) == [("B",)] and [r[0] for r in got(state["m"].select("path"))] == ["b.py"]

@@ -231,3 +231,34 @@ def test_flows_and_paths(spark):
     assert sorted(r["id"] for r in T.induced(g, T.impact_paths(g, "D").select("id")).collect()) == ["1", "2", "3"]
     assert [(r["k"], r["id"]) for r in T.process_flow(g, 3).orderBy("k").collect()] == [(1, "A"), (2, "B"), (3, "C")]
     assert [r["id"] for r in T.process_steps(g, "P").orderBy("k").collect()] == ["A", "B"] and T.process_steps(g, "Q").count() == 0
+
+
+def test_index_scores_as_the_scan_does(spark, tmp_path):
+    from codeloom.operators import search as S
+
+    d = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, ""), (4, None), (5, "green tree fox fox fox")], "id long, text string")
+    S.write_index(d, "id", F.col("text"), str(tmp_path / "ix"))
+    for q in ("fox red red", "tree", "nothing", "  "):
+        got = {r["id"]: round(r["score"], 9) for r in S.search_index(spark, str(tmp_path / "ix"), "id", q).collect()}
+        assert got == {r["id"]: round(r["score"], 9) for r in S.bm25(d, "id", F.col("text"), q).collect()}
+    plan = S.search_index(spark, str(tmp_path / "ix"), "id", "fox")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_labels_and_types_reach_the_scan(spark):
+    import os
+
+    from codeloom.graph import code_graph
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{sf}/nodes.parquet"):
+        pytest.skip("no test data here")
+    g = code_graph(spark, sf)
+    assert "EqualTo(label,Method)" in g.label("Method")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(rel_type,CALLS)" in g.out_edges("CALLS")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_cycles(spark):
+    n = spark.createDataFrame([(x, "File", x, x) for x in "abcde"], "id string, label string, name string, file_path string")
+    e = spark.createDataFrame([(str(i), a, b, "IMPORTS") for i, (a, b) in enumerate(["ab", "ba", "bc", "ca", "cd", "dd", "de"])], "id string, source_id string, target_id string, type string")
+    assert [(r["length"], "".join(r["members"])) for r in A.short_cycles(PropertyGraph(n, e)).collect()] == [(1, "d"), (2, "ab"), (3, "abc")]
