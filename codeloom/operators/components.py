@@ -10,6 +10,7 @@ from codeloom.session import settle as materialize
 
 SPLITTER_EVERY = 8
 HEAVY_LEAST, HEAVY_SHARE = 5000, 1000
+WORTH = 0.2  # share of nodes with one successor from which another contraction pays
 
 
 def _is_splitter(key: Column, level: int) -> Column:
@@ -44,7 +45,7 @@ def _reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _core(edges: DataFrame) -> DataFrame:
-    """``node, component`` of a graph in which every node has several successors and predecessors, by label colouring.
+    """``node, component`` of a graph in which most nodes have several successors and predecessors, by label colouring.
 
     Every node takes the greatest label that reaches it; what the owner of a label reaches backwards within its colour
     is its component; repeated on what is left. Such graphs are shallow, which bounds the rounds.
@@ -110,25 +111,29 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     Components of one node count only with a self-loop. Chains are contracted by hash splitters: of the nodes with one
     successor a share is drawn as splitters, these and all nodes with several successors are stops, and every other
     node walks to its next stop. The stops alone form the reduced graph, which is solved likewise, with the directions
-    swapped where no node has one successor; loops without a stop are told apart. What is left when every node has
+    swapped where few nodes have one successor; loops without a stop are told apart. What is left when most nodes have
     several neighbours each way is coloured. Going back, a way between two stops of one component is expanded and
     joins it. So a loop of n nodes takes about log n rounds. ``component`` is the greatest key of the component.
     Null ends are ignored, repeated edges count once, an empty table gives an empty result.
     """
     left = materialize(edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).where("src is not null and dst is not null").distinct())
-    found = left.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    loops = left.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    found = loops.limit(0)
     left = _trim(left.where("src <> dst"))
     ways, level, swapped = [], 0, False
-    while not is_empty(left):
-        degree = left.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next"))
-        single = materialize(degree.where("n = 1").select(F.col("src").alias("node"), "next"))
-        if is_empty(single):
+    while True:
+        degree = materialize(left.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next")))
+        nodes, chained = degree.agg(F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
+        if nodes == 0:
+            break
+        if chained < WORTH * nodes:
             left = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
             if swapped:
                 found = found.unionByName(_core(left))
                 break
             swapped = True
             continue
+        single = degree.where("n = 1").select(F.col("src").alias("node"), "next")
         chain = single.where(~_is_splitter(F.col("node"), level))
         inner = chain.select(F.col("node").alias("i_node"))
         start = chain.join(inner, F.col("next") == F.col("i_node"), "left").select("node", F.col("next").alias("cur"), F.array("next").alias("path"), F.col("i_node").isNotNull().alias("open"))
@@ -149,9 +154,8 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         a, b = found.select(F.col("node").alias("src"), F.col("component").alias("c_src")), found.select(F.col("node").alias("dst"), F.col("component").alias("c_dst"))
         inside = reduced.where(F.size("way") > 0).join(a, "src").join(b, "dst").where("c_src = c_dst")
         found = found.unionByName(inside.select(F.explode("way").alias("node"), F.col("c_src").alias("component")))
-    # a node with a self-loop may be of a greater component as well, which comes from a later level
-    own = F.min(F.struct((F.col("node") == F.col("component")).cast("int").alias("own"), "component"))
-    found = materialize(found.groupBy("node").agg(own.alias("c")).select("node", F.col("c.component").alias("component")))
+    found = materialize(found.distinct())
+    found = found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
     names = found.groupBy(F.col("component").alias("label")).agg(F.max("node").alias("greatest"))
     return found.join(names, F.col("component") == F.col("label")).select("node", F.col("greatest").alias("component"))
 

@@ -279,9 +279,15 @@ add(
     "import_cycles", lambda s, f: algorithms.cycles(code_graph(s, f), "imports").select("component", "length", "severity", F.array_join("members", ",").alias("members")),
     f"{GRAPH}, fl AS (SELECT id FROM gn WHERE label = 'File'), i AS (SELECT DISTINCT source_id AS a, target_id AS b FROM ge WHERE type = 'IMPORTS' AND source_id IN (SELECT id FROM fl) AND target_id IN (SELECT id FROM fl)), r(a, b) AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON r.b = i.a), m AS (SELECT x.a AS id, list_sort(list(DISTINCT x.b)) AS ms FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT DISTINCT ms[1] AS component, len(ms) AS length, CASE WHEN len(ms) <= 3 THEN 'low' WHEN len(ms) <= 6 THEN 'medium' ELSE 'high' END AS severity, array_to_string(ms, ',') AS members FROM m",
 )
-add("call_cycles", lambda s, f: algorithms.cycles(code_graph(s, f), "calls"))
+add(
+    "call_cycles", lambda s, f: algorithms.cycles(code_graph(s, f), "calls").select("component", "length", "severity", F.array_join("members", ",").alias("members")),
+    f"{GRAPH}, fl AS (SELECT id FROM gn WHERE label IN {CALLABLE}), i AS (SELECT DISTINCT source_id AS a, target_id AS b FROM ge WHERE type = 'CALLS' AND source_id IN (SELECT id FROM fl) AND target_id IN (SELECT id FROM fl)), r(a, b) AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON r.b = i.a), m AS (SELECT x.a AS id, list_sort(list(DISTINCT x.b)) AS ms FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT DISTINCT ms[1] AS component, len(ms) AS length, CASE WHEN len(ms) <= 3 THEN 'low' WHEN len(ms) <= 6 THEN 'medium' ELSE 'high' END AS severity, array_to_string(ms, ',') AS members FROM m",
+)
 add("short_cycles", lambda s, f: algorithms.short_cycles(code_graph(s, f)).select("length", F.array_join("members", ",").alias("members")))
-add("import_levels", lambda s, f: algorithms.levels((g := code_graph(s, f)).out_edges("IMPORTS").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), g.label("File")))
+add(
+    "import_levels", lambda s, f: algorithms.levels((g := code_graph(s, f)).out_edges("IMPORTS").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), g.label("File")),
+    f"{GRAPH}, fl AS (SELECT id FROM gn WHERE label = 'File'), i AS (SELECT DISTINCT source_id AS a, target_id AS b FROM ge WHERE type = 'IMPORTS' AND source_id <> target_id AND source_id IN (SELECT id FROM fl) AND target_id IN (SELECT id FROM fl)), r(a, b) AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON r.b = i.a), bad AS (SELECT DISTINCT r.a AS id FROM r JOIN r c ON c.a = r.b AND c.a = c.b UNION SELECT a FROM r WHERE a = b), w(id, k) AS (SELECT id, 0 FROM fl WHERE id NOT IN (SELECT a FROM i) UNION SELECT i.a, k + 1 FROM w JOIN i ON i.b = w.id WHERE i.a NOT IN (SELECT id FROM bad)), l AS (SELECT id, max(k) AS level FROM w GROUP BY 1) SELECT * FROM l UNION ALL SELECT id, coalesce((SELECT max(level) + 1 FROM l), 0) FROM bad",
+)
 add("clone_clusters", lambda s, f: algorithms.clone_clusters(table(s, f, "source_files").select(F.col("file_id").cast("string").alias("id"), F.col("content").alias("text"))))
 add("snapshot_summary", lambda s, f: analytics.snapshot_summary(code_graph(s, f, _UNTIL), code_graph(s, f)), f"WITH {NODES}, {_OLD}, c AS (SELECT label, 1 AS o, 0 AS n FROM go UNION ALL SELECT label, 0, 1 FROM gn) SELECT label, sum(o)::BIGINT AS n_old, sum(n)::BIGINT AS n_new, (sum(n) - sum(o))::BIGINT AS delta FROM c GROUP BY ROLLUP (label)")
 add(

@@ -131,7 +131,7 @@ def test_components_of_chains_loops_and_dense_parts(spark):
         for _ in range(3):
             ring = r.sample(range(n), r.randrange(1, n - 2))
             edges |= {(str(a), str(b)) for a, b in zip(ring, ring[1:] + ring[:1])}
-        edges |= {(str(r.randrange(n)), str(r.randrange(n))) for _ in range(extra)}
+        edges |= {(str(r.randrange(n)), str(r.randrange(n))) for _ in range(extra)} | {(x, x) for x in map(str, r.sample(range(n), n // 4))}
         got = {}
         for x in C.strongly_connected(spark.createDataFrame(sorted(edges), "src string, dst string")).collect():
             got.setdefault(x["component"], set()).add(x["node"])
