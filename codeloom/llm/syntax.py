@@ -94,7 +94,10 @@ def _grammar(text: str, tokens: list, at: list[int], language: str, stack: list[
 
 def judge(content: str, language: str, piece: int = PIECE) -> str | None:
     """What is wrong with a file read at one go, piece by piece; None if nothing."""
-    text = prepare(content, language)
+    return judged(prepare(content, language), language, piece)
+
+
+def judged(text: str, language: str, piece: int = PIECE) -> str | None:
     if not text.strip():
         return None
     r = follow(lexers.pieces(text, piece), language)
@@ -209,7 +212,7 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"file_id": pdf["file_id"], "error": [judge(c, x) for c, x in zip(pdf["content"], pdf["language"])]})
+        yield pd.DataFrame({"file_id": pdf["file_id"], "error": [judged(t, x) for t, x in zip(pdf["text"], pdf["language"])]})
 
 
 def parse_errors(files: DataFrame, piece: int = PIECE, stretch: int = STRETCH) -> DataFrame:
@@ -251,7 +254,8 @@ def parse_errors(files: DataFrame, piece: int = PIECE, stretch: int = STRETCH) -
     one = open_.groupBy("file_id", "language", "statement").agg(F.array_sort(F.collect_list(F.struct("k", "begins", "first", "text", "state", "stack"))).alias("parts"))
     across = one.select("file_id", "language", "parts").mapInPandas(_joined, "file_id long, error string").where("error is not null")
     within = parts.where("error is not null").select("file_id", "error")
-    unsure = f.join(folded.where("unsure").select("file_id"), "file_id", "left_semi").select("file_id", "language", "content").mapInPandas(_whole, "file_id long, error string").where("error is not null")
+    again = long.join(folded.where("unsure").select("file_id"), "file_id", "left_semi").groupBy("file_id", "language").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("r"))
+    unsure = again.select("file_id", "language", F.array_join("r.text", "").alias("text")).mapInPandas(_whole, "file_id long, error string").where("error is not null")
     by_stretch = folded.where("error is not null").select("file_id", "error").unionByName(within).unionByName(across).groupBy("file_id").agg(F.min("error").alias("error"))
     return decided.unionByName(by_stretch).unionByName(unsure)
 
