@@ -20,7 +20,7 @@ from codeloom.session import materialize, month_index
 RANGE_BITS = 15
 RANGE = 1 << RANGE_BITS
 ARRAY_MOST = RANGE // 16
-SALTS = 8
+HOT_LEAST, HOT_SHARE = 5000, 1000  # a key and month with more references than both say is split
 NEVER = -1  # period of references without an instant
 
 
@@ -101,7 +101,11 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     every reference is an orphan.
     """
     refs = references.where("key is not null").select("ref", "endpoint", "key", "at", F.coalesce(month_index(F.col("at")), F.lit(NEVER)).cast("int").alias("period"))
-    pairs = materialize(refs.select("key", "period").distinct())
+    pairs = materialize(refs.groupBy("key", "period").agg(F.count(F.lit(1)).alias("n")))
+    # hot ones are split by their size; they are at most HOT_SHARE, since each holds more than that part of all references
+    line = max(HOT_LEAST, (pairs.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(pairs.where(F.col("n") > line).select(F.col("key").alias("h_key"), F.col("period").alias("h_period"), F.ceil(F.col("n") / line).cast("int").alias("splits")))
+    is_hot = (F.col("key") == F.col("h_key")) & (F.col("period") == F.col("h_period"))
     states = materialize(version_states(parents))
     # the dictionary: all keys once; written, so that the numbers stay the same for every later reader
     words = materialize(pairs.select("key").union(states.select("key")).distinct().withColumn("wide", F.monotonically_increasing_id()))
@@ -112,9 +116,10 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     left = ref_maps.groupBy("rng").cogroup(state_bits.groupBy("rng")).applyInPandas(_survivors, "code long, period int, mixed boolean")
     decoded = left.join(words.select("code", "key"), "code").join(states.select("key", "period", "s0", "changes"), ["key", "period"], "left")
     decoded = decoded.select("key", "period", "mixed", F.when(F.col("mixed"), F.col("s0")).alias("s0"), F.when(F.col("mixed"), F.col("changes")).alias("changes"))
-    # a key with very many references is spread over salts; the surviving side is small and repeated for each
-    salted = decoded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = refs.withColumn("salt", F.pmod(F.xxhash64("ref", "at"), F.lit(SALTS)).cast("int")).join(salted, ["key", "period", "salt"])
+    # the surviving side is small, and its hot rows are repeated for each split of their references
+    salted = decoded.join(hot, is_hot, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))).drop("h_key", "h_period", "splits")
+    spread_ = refs.join(hot, is_hot, "left").withColumn("salt", F.when(F.col("splits").isNotNull(), F.pmod(F.xxhash64("ref", "at"), F.col("splits"))).otherwise(0).cast("int"))
+    hit = spread_.drop("h_key", "h_period", "splits").join(salted, ["key", "period", "salt"])
     dead = ~F.col("mixed") | ~F.coalesce(F.try_element_at(F.transform(F.filter("changes", lambda c: c["at"] <= F.col("at")), lambda c: c["live"]), F.lit(-1)), F.col("s0"))
     return hit.where(dead).select("ref", "endpoint", "key", "period").distinct()
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,7 +27,9 @@ def day(n):
     return dt.datetime(2025, 1, 1) + dt.timedelta(days=n)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("least", [5000, 3])
+def test_against_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(orphans, "HOT_LEAST", least)  # 3: the hot keys are split
     r = random.Random(2)
     keys = [f"k{i}" for i in range(60)] + ["K1", "k1 "]
     vers = [(r.choice(keys), day(r.randrange(120)), r.choice([True, False, False, None])) for _ in range(150)]
