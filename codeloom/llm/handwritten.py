@@ -90,8 +90,11 @@ def layout(files: DataFrame, content: str = "content") -> DataFrame:
     shaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", r"\"[^\"\n]*+\"|'[^'\n]*+'", "s"), r"[\p{L}_][\p{L}\p{N}_]*+", "a"), r"\d[\d.]*+", "0")
     df = df.withColumn("n_lines", F.size("_lines")).withColumn("max_line", F.coalesce(F.array_max(F.transform("_lines", F.length)), F.lit(0)))
     df = df.withColumn("mean_line", F.col("n") / F.greatest(F.col("n_lines"), F.lit(1)))
-    df = df.withColumn("space", 1 - F.length(F.translate("_text", " \t\n\f\v", "")) / n).withColumn("alnum", 1 - F.length(F.regexp_replace("_text", r"[\p{L}\p{N}]+", "")) / n)
-    df = df.withColumn("words", F.regexp_count("_text", F.lit(r"[\p{L}\p{N}_.]++"))).withColumn("numbers", F.regexp_count("_text", F.lit(r"(?<![\p{L}_\d.])\d[\d.xXa-fA-F]*(?![\p{L}_])")) / (F.col("words") + PRIOR["words"]))
+    df = df.withColumn("space", 1 - F.length(F.translate("_text", " \t\n\f\v", "")) / n)
+    df = df.withColumn("_words", F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0))).withColumn("words", F.size("_words"))
+    df = df.withColumn("numbers", F.size(F.filter("_words", lambda w: F.substring(w, 1, 1).between("0", "9"))) / (F.col("words") + PRIOR["words"]))
+    # letters and digits are what words hold besides points and underscores, all of which are in words
+    df = df.withColumn("alnum", (F.length(F.array_join("_words", "")) - F.col("n") + F.length(F.translate("_text", "_.", ""))) / n).drop("_words")
     df = df.withColumn("encoded", (F.col("n") - F.length(F.regexp_replace("_text", r"[A-Za-z0-9+/=]{40,}", ""))) / (F.col("n") + PRIOR["chars"]))
     df = df.withColumn("shapes", (F.size(F.array_distinct(F.filter(F.split(shaped, "\n"), lambda x: F.trim(x) != ""))) + PRIOR["lines"]) / (F.col("n_lines") + PRIOR["lines"]))
     df = df.withColumn("head", F.regexp_extract("_text", HEAD, 0)).withColumn("_body", F.trim(F.regexp_replace(F.expr("substr(_text, length(head) + 1)"), r"\s+", " ")))
