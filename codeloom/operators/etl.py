@@ -364,16 +364,32 @@ def resolve(calls: DataFrame, symbols: DataFrame, named: DataFrame, imports: Dat
     is_exported, required, params and, for members, owner. ``named``: file, name, source_file, source_name.
     ``imports``: file, imported. ``packages``: file, package. ``fields``: file, field, type. In C# files the type of a
     field (without its I) and then a receiver that is a class come first: the symbol must belong to that type or lie in
-    a file named after it. Equi-joins and one choice per call; each candidate of the last tier is a symbol of that name.
-    A null n_args fits any symbol.
+    a file named after it. A null n_args fits any symbol.
+
+    Symbols that a call could not tell apart (same place, name and arity) are one candidate, the least of them. What a file
+    sees by itself and by its imports is listed per file and name, packages and the whole graph per name, and a call
+    meets each list once, so no call is paired with all symbols of its name.
     """
     owner = F.col("owner") if "owner" in symbols.columns else F.lit(None).cast("string")
-    s = symbols.select(F.col("id").alias("target_id"), F.col("file").alias("s_file"), F.col("name").alias("s_name"), "is_exported", "required", "params", owner.alias("s_owner"))
+    arity = [F.coalesce("required", F.lit(0)).alias("lo"), F.coalesce("params", F.lit(1 << 30)).alias("hi")]
+    s = symbols.select(F.col("id").alias("target_id"), F.col("file").alias("s_file"), F.col("name").alias("s_name"), "is_exported", *arity, owner.alias("s_owner"))
     c = calls.select("call_id", "file", "name", "n_args", (F.col("receiver") if "receiver" in calls.columns else F.lit(None).cast("string")).alias("receiver"))
-    out = ["call_id", "target_id", "n_args", "required", "params"]
+
+    def rank(name: str) -> Column:
+        return F.lit([t for t, _ in TIERS].index(name)).alias("k")
+
+    def candidate(k: Column, lo: Column, hi: Column, target: Column) -> Column:
+        fits = F.col("n_args").isNull() | F.col("n_args").between(lo, hi)
+        return F.struct(k.alias("k"), F.when(fits, 0).otherwise(1).alias("m"), target.alias("target_id"))
+
+    def listed(df: DataFrame, *keys: str) -> DataFrame:
+        least = df.repartition(*keys).groupBy(*keys, "k", "lo", "hi").agg(F.min("target_id").alias("target_id"))
+        return least.groupBy(*keys).agg(F.collect_list(F.struct("k", "lo", "hi", "target_id")).alias("listed"))
+
+    best_listed = F.array_min(F.transform("listed", lambda x: candidate(x["k"], x["lo"], x["hi"], x["target_id"])))
 
     def tier(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*out, F.lit([t for t, _ in TIERS].index(name)).alias("k"))
+        return df.select("call_id", candidate(rank(name), F.col("lo"), F.col("hi"), F.col("target_id")).alias("b"))
 
     of_type = F.coalesce(F.col("s_owner").contains(F.col("type")), F.lit(False)) | F.col("s_file").contains(F.col("type"))
     on = c.where(F.col("receiver").isNotNull() & F.col("file").endswith(".cs"))
@@ -386,21 +402,36 @@ def resolve(calls: DataFrame, symbols: DataFrame, named: DataFrame, imports: Dat
     if classes is not None:
         static = on.join(classes, F.col("receiver") == F.col("type")).join(s, F.col("name") == F.col("s_name")).where(of_type)
         found.append(tier(static, "static_class"))
-    same = tier(c.join(s, (F.col("file") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), "same_file")
-    n = named.select(F.col("file").alias("n_file"), F.col("name").alias("n_name"), "source_file", "source_name")
-    by_name = tier(c.join(n, (F.col("file") == F.col("n_file")) & (F.col("name") == F.col("n_name"))).join(s, (F.col("source_file") == F.col("s_file")) & (F.col("source_name") == F.col("s_name"))), "named_import")
+
     exported = s.where("is_exported")
-    i = imports.select(F.col("file").alias("i_file"), "imported")
-    scoped = tier(c.join(i, F.col("file") == F.col("i_file")).join(exported, (F.col("imported") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), "import_scoped")
-    p = packages.select(F.col("file").alias("p_file"), "package")
-    within = (F.col("s_file") == F.col("package")) | F.col("s_file").startswith(F.concat("package", F.lit("/"))) | F.col("s_file").contains(F.concat(F.lit("/"), F.col("package"), F.lit("/")))
-    package = tier(c.join(p, F.col("file") == F.col("p_file")).join(exported, F.col("name") == F.col("s_name")).where(within), "package_scoped")
-    global_ = tier(c.join(exported, F.col("name") == F.col("s_name")), "global")
-    all_ = same.unionByName(by_name).unionByName(scoped).unionByName(package).unionByName(global_)
+    rest = ["lo", "hi", "target_id"]
+    same = s.select(F.col("s_file").alias("file"), F.col("s_name").alias("name"), rank("same_file"), *rest)
+    by_name = named.join(s, (F.col("source_file") == F.col("s_file")) & (F.col("source_name") == F.col("s_name"))).select("file", "name", rank("named_import"), *rest)
+    scoped = imports.join(exported, F.col("imported") == F.col("s_file")).select("file", F.col("s_name").alias("name"), rank("import_scoped"), *rest)
+    near = c.select("call_id", "file", "name", "n_args").join(listed(same.unionByName(by_name).unionByName(scoped), "file", "name"), ["file", "name"], "left")
+    near = near.select("call_id", "file", "name", "n_args", best_listed.alias("near"))
+
+    # a package holds the file of its own name and what lies in a folder whose path has the package's as a run of whole parts
+    known = packages.select("package").where("package is not null").distinct()
+    last = F.substring_index("s_file", "/", -1)
+    placed = exported.withColumn("folder", F.when(F.instr("s_file", "/") > 0, F.substring(F.col("s_file"), F.lit(1), F.length("s_file") - F.length(last) - 1)))
+    runs = placed.select("folder").where("folder is not null").distinct().withColumn("parts", F.split("folder", "/"))
+    runs = runs.withColumn("first", F.explode(F.sequence(F.lit(1), F.size("parts")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("parts") - F.col("first") + 1)))
+    holds = runs.select("folder", F.array_join(F.slice("parts", F.col("first"), F.col("n")), "/").alias("package")).join(known, "package").distinct()
+    name = F.col("s_name").alias("name")
+    inside = placed.join(holds, "folder").select(F.col("package").alias("scope"), name, rank("package_scoped"), *rest)
+    itself = exported.join(known, F.col("s_file") == F.col("package")).select(F.col("package").alias("scope"), name, rank("package_scoped"), *rest)
+    anywhere = exported.select(F.lit("").alias("scope"), name, rank("global"), *rest)
+    far = listed(inside.unionByName(itself).unionByName(anywhere).withColumn("place", F.col("k")), "place", "scope", "name")
+    places = packages.groupBy("file").agg(F.collect_set("package").alias("packages"))
+    place = lambda k, scope: F.struct(k.alias("place"), scope.alias("scope"))
+    nowhere, own = F.array(place(F.lit(-1), F.lit(""))), F.coalesce("packages", F.array().cast("array<string>"))
+    wide = F.concat(F.transform(own, lambda x: place(rank("package_scoped"), x)), F.array(place(rank("global"), F.lit(""))))
+    asked = near.join(places, "file", "left").select("call_id", "name", "n_args", "near", F.explode(F.when(F.col("near").isNull(), wide).otherwise(nowhere)).alias("at")).select("call_id", "name", "n_args", "near", "at.*")
+    all_ = asked.join(far, ["place", "scope", "name"], "left").select("call_id", F.coalesce("near", best_listed).alias("b")).where("b is not null")
     for more in found:
         all_ = all_.unionByName(more)
-    fits = F.col("n_args").isNull() | F.col("n_args").between(F.coalesce("required", F.lit(0)), F.coalesce("params", F.lit(1 << 30)))
-    best = all_.groupBy("call_id").agg(F.min(F.struct("k", F.when(fits, 0).otherwise(1).alias("m"), "target_id")).alias("b"))
+    best = all_.groupBy("call_id").agg(F.min("b").alias("b"))
     name, conf = F.element_at(F.array(*[F.lit(t) for t, _ in TIERS]), F.col("b.k") + 1), F.element_at(F.array(*[F.lit(x) for _, x in TIERS]), F.col("b.k") + 1)
     return best.select("call_id", "b.target_id", name.alias("tier"), conf.alias("confidence"))
 

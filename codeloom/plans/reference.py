@@ -11,7 +11,7 @@ from codeloom.functions import kernels
 from codeloom.graph import code_graph, star_graph
 from codeloom.lang.compile import run_query
 from codeloom.operators import algorithms, analytics, etl, search, traverse, views
-from codeloom.session import table
+from codeloom.session import materialize, table
 from codeloom.sources import interchange
 from codeloom.streaming.watch import sessions, windowed_counts
 
@@ -358,12 +358,15 @@ def _resolved(s: SparkSession, f: str) -> DataFrame:
     """Calls of the graph resolved anew: the arity is that of the method called, a named import the least exported symbol
     of an imported file, a package the folder of one."""
     g = code_graph(s, f)
-    n = g.nodes.where(F.col("label").isin("Method", "Function"))
-    ends = g.out_edges("CALLS").join(n.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(n.select(F.col("id").alias("target_id"), "name", "parameter_count"), "target_id")
+    n = materialize(g.nodes.where(F.col("label").isin("Method", "Function")).select("id", "file_path", "name", "is_exported", "parameter_count"))
+    # the least answer of a call id counts, so duplicates of edges need not go before the joins
+    e = table(s, f, "edges").where("source_id is not null and target_id is not null")
+    ends = e.where("rel_type = 'CALLS'").select("id", "source_id", "target_id").repartition("source_id").distinct()
+    ends = ends.join(n.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(n.select(F.col("id").alias("target_id"), "name", "parameter_count"), "target_id")
     calls = ends.select(F.col("id").alias("call_id"), "file", "name", F.col("parameter_count").alias("n_args"))
     symbols = n.select("id", F.col("file_path").alias("file"), "name", F.coalesce("is_exported", F.lit(False)).alias("is_exported"), F.lit(0).alias("required"), F.col("parameter_count").alias("params"))
     paths = g.label("File").select(F.col("id"), "file_path")
-    imports = g.out_edges("IMPORTS").join(paths.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(paths.select(F.col("id").alias("target_id"), F.col("file_path").alias("imported")), "target_id").select("file", "imported").distinct()
+    imports = e.where("rel_type = 'IMPORTS'").select("source_id", "target_id").distinct().join(paths.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")), "source_id").join(paths.select(F.col("id").alias("target_id"), F.col("file_path").alias("imported")), "target_id").select("file", "imported").distinct()
     least = symbols.where("is_exported").groupBy(F.col("file").alias("imported")).agg(F.min("name").alias("name"))
     named = imports.join(least, "imported").select("file", "name", F.col("imported").alias("source_file"), F.col("name").alias("source_name"))
     packages = imports.select("file", F.regexp_replace("imported", "/[^/]*$", "").alias("package")).distinct()

@@ -3,6 +3,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph
 from codeloom.operators import etl as E
@@ -126,6 +127,43 @@ def test_resolution_tiers(spark):
     assert r == {"c1": ("1", "same_file", 1.0), "c2": ("3", "import_scoped", 0.8), "c3": ("4", "package_scoped", 0.7), "c4": ("6", "global", 0.5), "c6": ("8", "named_import", 0.95)}
 
 
+def metric(df, name):
+    """The greatest value of a metric in the plan of a query that has run."""
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        m = p.metrics().get(name)
+        return max([m.get().value() if m.isDefined() else 0, *(walk(p.children().apply(i)) for i in range(p.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_resolution_pairs_no_call_with_all_symbols_of_its_name(spark):
+    n = spark.range(1500)
+    text = lambda prefix: F.concat(F.lit(prefix), F.col("id").cast("string"))
+    sym = n.select(text("s").alias("id"), F.concat(text("lib/m"), F.lit("/x.py")).alias("file"), F.lit("run").alias("name"), F.lit(True).alias("is_exported"), F.lit(0).alias("required"), (F.col("id") % 5).cast("int").alias("params"))
+    calls = n.select(text("c").alias("call_id"), text("src/f").alias("file"), F.lit("run").alias("name"), F.lit(4).alias("n_args"))
+    none = spark.createDataFrame([], "file string, name string, source_file string, source_name string")
+    imports, packages = spark.createDataFrame([], "file string, imported string"), spark.createDataFrame([("src/f7", "lib"), ("src/f8", "m3"), ("src/f9", "gone")], "file string, package string")
+    r = E.resolve(calls, sym, none, imports, packages)
+    got_ = {x["call_id"]: (x["target_id"], x["tier"]) for x in r.collect()}
+    assert got_ == {f"c{i}": ("s1004", "global") for i in range(1500)} | {"c7": ("s1004", "package_scoped"), "c8": ("s3", "package_scoped")}
+    assert metric(r, "numOutputRows") < 20_000
+
+
+def test_packages_are_runs_of_whole_parts(spark):
+    paths, names = ["a/b/a/x", "/b/x", "a//b/x", "ab/c", "x", "", "b", "a/b", "b/"], ["a", "b", "", "a/b", "b/a", "/b", "x", "a/", "/", "ab", "//", "b/a/x"]
+    sym = spark.createDataFrame([(f"s{i}", p, f"n{i}", True, 0, 1) for i, p in enumerate(paths)], "id string, file string, name string, is_exported boolean, required int, params int")
+    calls = spark.createDataFrame([(f"{j}-{i}", f"caller{j}", f"n{i}", 1) for j in range(len(names)) for i in range(len(paths))], "call_id string, file string, name string, n_args int")
+    packages = spark.createDataFrame([(f"caller{j}", p) for j, p in enumerate(names)], "file string, package string")
+    r = E.resolve(calls, sym, spark.createDataFrame([], "file string, name string, source_file string, source_name string"), spark.createDataFrame([], "file string, imported string"), packages)
+    within = {f"{j}-{i}" for j, p in enumerate(names) for i, f in enumerate(paths) if f == p or f.startswith(p + "/") or f"/{p}/" in f}
+    assert {x["call_id"] for x in r.where("tier = 'package_scoped'").collect()} == within
+
+
 def test_extraction(spark):
     py = "class A(Base):\n    def m(self, x):\n        if x and x > 1:\n            return 1\n\ndef f(a, b=2):\n    return [i for i in a if i]\n"
     ts = "export class C extends D {\n  run(a, b) {\n    if (a && b) {\n      return 1;\n    }\n  }\n}\nfunction g(x) {\n}\n"
