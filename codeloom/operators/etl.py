@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.kernels import bytes_head, next_route, normalize_route
-from codeloom.session import materialize, spread
+from codeloom.session import is_empty, materialize, partitions, spread
 
 #: Languages by extension, folders that are not scanned, the greatest file.
 LANGUAGES = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "java": "java", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "kt": "kotlin", "swift": "swift", "cshtml": "razor"}
@@ -293,18 +293,33 @@ def mentions(chunk: DataFrame, nodes: DataFrame) -> DataFrame:
     """``source_path, chunk_index, id``: symbols that a chunk names as a whole word, of names of 5 letters and more.
 
     Chunks are cut into words, which join the names; a name of several words meets the chunks through its longest word
-    and is then looked for as a whole. No text is searched for every name.
+    and is then looked for as a whole. No text is searched for every name. Each chunk has a name once before the name's
+    symbols join, so the pairs, which may be many more than chunks and symbols, are neither sorted nor shuffled; only
+    those of ids with several names are made distinct.
     """
     parts = lambda c: F.split(c, r"[^\p{L}\p{N}_]+")
-    w = chunk.select("source_path", "chunk_index", F.explode(F.array_distinct(parts("content"))).alias("word"))
-    n = nodes.where(F.col("label").isin("Class", "Method", "Function", "Interface", "Struct", "Controller", "Service") & (F.length("name") >= 5)).select("id", "name")
+    key = ["source_path", "chunk_index"]
+    n = materialize(nodes.where(F.col("label").isin("Class", "Method", "Function", "Interface", "Struct", "Controller", "Service") & (F.length("name") >= 5)).select("id", "name").distinct())
+    w = chunk.select(*key, F.explode(F.array_distinct(parts("content"))).alias("word"))
     single = F.col("name").rlike(r"^[\p{L}\p{N}_]+$")
-    plain = w.join(n.where(single).withColumnRenamed("name", "word"), "word").select("source_path", "chunk_index", "id")
-    longest = F.element_at(F.array_sort(F.transform(parts("name"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1)["x"]
-    many = n.where(~single).withColumn("word", longest).where("word <> ''")
-    j = w.join(many, "word").join(chunk.select("source_path", "chunk_index", "content"), ["source_path", "chunk_index"])
-    bound = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    return plain.unionByName(j.where(F.rlike("content", bound)).select("source_path", "chunk_index", "id")).distinct()
+    slots = partitions(n.sparkSession)
+    words = w.withColumnRenamed("word", "name").where(F.length("name") >= 5).repartition(slots, "name")
+    named = [words.join(n.where(single).select("name").repartition(slots, "name").distinct(), "name", "left_semi").distinct()]
+    if not is_empty(n.where(~single)):
+        longest = F.element_at(F.array_sort(F.transform(parts("name"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1)["x"]
+        many = n.where(~single).select("name", longest.alias("word")).where("word <> ''").distinct()
+        j = w.join(many, "word").join(chunk.select(*key, "content"), key)
+        bound = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}_])"))
+        named.append(j.where(F.rlike("content", bound)).select("name", *key).distinct())
+    several = n.groupBy("id").agg(F.count(F.lit(1)).alias("names")).where("names > 1").select("id")
+
+    def pairs(n: DataFrame) -> DataFrame:
+        found = [x.join(n.repartition(slots, "name"), "name").select(*key, "id") for x in named]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+    if is_empty(several):
+        return pairs(n)
+    return pairs(n.join(several, "id", "left_anti")).unionByName(pairs(n.join(several, "id", "left_semi")).distinct())
 
 
 SHORT_WORDS = 50

@@ -164,6 +164,22 @@ def test_packages_are_runs_of_whole_parts(spark):
     assert {x["call_id"] for x in r.where("tier = 'package_scoped'").collect()} == within
 
 
+def test_mentions_shuffle_no_pairs(spark):
+    text = lambda prefix: F.concat(F.lit(prefix), F.col("id").cast("string"))
+    c = spark.range(100).select(text("d").alias("source_path"), F.lit(0).alias("chunk_index"), F.lit("calls runBatch, then runBatch").alias("content"))
+    c = c.unionByName(c.where("source_path = 'd7'"))
+    n = spark.range(200).select(text("m").alias("id"), F.lit("Method").alias("label"), F.lit("runBatch").alias("name"))
+    r = E.mentions(c, n)
+    assert sorted((x["source_path"], x["id"]) for x in r.collect()) == sorted((f"d{i}", f"m{j}") for i in range(100) for j in range(200))
+    assert 0 < metric(r, "shuffleRecordsWritten") < 1_000
+
+
+def test_mentions_of_ids_with_several_names(spark):
+    c = spark.createDataFrame([("d", 0, "Space::OuterName and PlainName"), ("e", 0, "PlainName"), ("e", 0, "OuterName"), ("f", 0, None)], "source_path string, chunk_index int, content string")
+    n = spark.createDataFrame([("1", "Class", "Space::OuterName"), ("1", "Struct", "PlainName"), ("2", "Class", "PlainName"), ("2", "Class", "PlainName"), ("3", "Class", "OuterName"), ("4", "File", "PlainName"), ("5", "Class", None)], "id string, label string, name string")
+    assert got(E.mentions(c, n)) == [("d", 0, "1"), ("d", 0, "2"), ("d", 0, "3"), ("e", 0, "1"), ("e", 0, "2"), ("e", 0, "3")]
+
+
 def test_extraction(spark):
     py = "class A(Base):\n    def m(self, x):\n        if x and x > 1:\n            return 1\n\ndef f(a, b=2):\n    return [i for i in a if i]\n"
     ts = "export class C extends D {\n  run(a, b) {\n    if (a && b) {\n      return 1;\n    }\n  }\n}\nfunction g(x) {\n}\n"
